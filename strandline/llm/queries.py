@@ -10,6 +10,32 @@ from pyspark.sql import functions as F
 from strandline.llm.common import table
 
 
+def op2_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every document, from two co-trained views."""
+    from strandline.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains, with the best window."""
+    from strandline.llm import decontam
+
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    from strandline.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.sample(docs.filter(~langid.held_out())))
+    # doc_id is carried along; the prediction sees the text only.
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and what they decode to, as digests."""
     import public_tokenizers
@@ -33,9 +59,20 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_cotraining_quality": op2_cotraining_quality,
+    "op4_benchmark_windows": op4_benchmark_windows,
+    "op5_cross_parsing_language": op5_cross_parsing_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_simhash_pivots": op10_simhash_pivots,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
