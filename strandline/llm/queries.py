@@ -18,6 +18,16 @@ def op2_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written in the binary format and read back."""
+    import public_tokenizers
+
+    from strandline.llm import ans
+
+    found = ans.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 def op4_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document contains, with the best window."""
     from strandline.llm import decontam
@@ -68,6 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cotraining_quality": op2_cotraining_quality,
+    "op3_rans_files": op3_rans_files,
     "op4_benchmark_windows": op4_benchmark_windows,
     "op5_cross_parsing_language": op5_cross_parsing_language,
     "op6_byte_bpe": op6_byte_bpe,
