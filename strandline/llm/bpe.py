@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.llm.common import map_arrow
 
@@ -189,4 +190,4 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
         return batch.append_column("decoded", pa.array([own.decode(x or b"") for x in ids], pa.binary()))
 
-    return map_arrow(encoded, fn, encoded.schema.add("decoded", "binary"))
+    return map_arrow(encoded, fn, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
