@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from strandline.llm.common import table
 
 
+def op1_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of every document that match a licence template, with the best template."""
+    from strandline.llm import license_scan
+
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of good quality of every document, from two co-trained views."""
     from strandline.llm import quality
@@ -62,6 +69,55 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the URL query: host, path prefix, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    from strandline.llm import url_filter
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op8_chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that imitates control strings, formatted and read back."""
+    from strandline.llm import chat
+
+    odd = [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(odd, rows.schema))
+    turns, learned = chat.read_turns(F.col("formatted")), chat.loss_text(F.col("segments"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = chat.format_conversations(rows).select("conv_id", "formatted", turns.alias("turns"), learned.alias("learned"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a PNG picture, read back, with a cosine hash."""
+    from strandline.llm import media
+
+    found = media.read(media.store(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from strandline.llm import simhash
@@ -77,13 +133,48 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_dice": op1_license_dice,
     "op2_cotraining_quality": op2_cotraining_quality,
     "op3_rans_files": op3_rans_files,
     "op4_benchmark_windows": op4_benchmark_windows,
     "op5_cross_parsing_language": op5_cross_parsing_language,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_url_rules": op7_url_rules,
+    "op8_chat_blocks": op8_chat_blocks,
+    "op9_png_media": op9_png_media,
     "op10_simhash_pivots": op10_simhash_pivots,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: From the definition: every rule tried on every host and path.
+URL_SQL = """
+WITH rules(host, path, verdict) AS (VALUES %s),
+p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+m AS (SELECT h.host, h.path, max({'n': length(r.host || r.path), 'rule': r.host || r.path, 'verdict': r.verdict}) AS best
+      FROM (SELECT DISTINCT host, path FROM h) h JOIN rules r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY ALL)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (host, path)
+""" % ", ".join(map(str, URL_RULES))
+
+#: What the texts say of turns and loss; the template's marks are <s>[ ] </s> for a run of one role and [+] in it.
+CHAT_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT *, row_number() OVER w AS k, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+e AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\\\<\\[\\]]', '', 'g')) AS n, length(role) + length(regexp_replace(role, '[^\\\\<\\[\\]]', '', 'g')) AS rn FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(n + CASE WHEN before = role THEN 3 ELSE 9 + rn END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _license_sql() -> str:
+    from strandline.llm import license_scan
+
+    return license_scan.scan_sql()
+
+
+ORACLE_SQL: dict[str, str] = {"op1_license_dice": _license_sql(), "op7_url_rules": URL_SQL, "op8_chat_blocks": CHAT_SQL}
