@@ -175,9 +175,9 @@ def _(t: Tables) -> DataFrame:
     return readers.items_by_label(t.items, "rbc", "50804")
 
 
-@query("dict_label_both", "SELECT item, label FROM itm WHERE lower(label) LIKE '%packed%' AND lower(label) LIKE '%50803%'")
+@query("dict_label_both", "SELECT item, label FROM itm WHERE lower(label) LIKE '%packed%' AND lower(label) LIKE '%5080%'")
 def _(t: Tables) -> DataFrame:
-    return readers.items_by_label(t.items, "PACKED", "50803", every=True)
+    return readers.items_by_label(t.items, "PACKED", "5080", every=True)
 
 
 @query("text_value_regex", "SELECT p_partkey AS item, p_name AS text FROM part WHERE regexp_matches(lower(p_name), '(red|blue)\\s+w')")
@@ -380,9 +380,9 @@ def cohort_trajectory(t: Tables) -> DataFrame:
     return rows.join(trajectory.large_enough(trajectory.edge_stats(rows)).select("d1", "d2"), ["d1", "d2"], "left_semi").select("cohort", "entity", "encounter", "label")
 
 
-@query("edge_select", "SELECT d1, d2, rr, diff_days FROM edg WHERE (d1, d2) IN (('A00', 'B01'), ('C02', 'H04'))")
+@query("edge_select", "SELECT d1, d2, rr, diff_days FROM edg WHERE (d1, d2) IN (('A00', 'B01'), ('C02', 'H00'))")
 def _(t: Tables) -> DataFrame:
-    return trajectory.select_edges(t.edges, [("A00", "B01"), ("C02", "H04"), ("Q00", "Q01")])
+    return trajectory.select_edges(t.edges, [("A00", "B01"), ("C02", "H00"), ("Q00", "Q01")])
 
 
 # --- labels --------------------------------------------------------------------------------------------------------
@@ -625,8 +625,3 @@ SELECT entity, encounter, label FROM l WHERE label IS NOT NULL""",
 )
 def _(t: Tables) -> DataFrame:
     return K.aplasia(t.people, t.codes, t.procedures, t.events, F.col("value") < 0.3, C.matches(("000",)), CHEMO, 300).select("entity", "encounter", "label")
-
-
-@query("cohort_registry", "SELECT * FROM (VALUES %s) v(cohort)" % ", ".join(f"('{n}')" for n in K.COHORTS))
-def _(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(n,) for n in K.COHORTS], "cohort string")

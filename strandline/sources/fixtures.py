@@ -7,15 +7,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Trajectory edges over the derived three-character codes: d1, d2, relative risk, days between (fractional).
-EDGES = [
-    ("A00", "B01", 2.1, 791.08), ("C02", "H04", 1.7, 400.5), ("A01", "C03", 1.2, 365.25), ("B02", "D04", 3.4, 120.75), ("C00", "E01", 0.9, 900.0),
-    ("D03", "A02", 1.1, 250.5), ("E04", "F00", 2.8, 610.4), ("F01", "G02", 1.5, 45.25), ("G03", "H00", 1.9, 730.0), ("H01", "A04", 2.2, 1000.6),
-    ("A03", "E02", 1.3, 500.0), ("B00", "B03", 4.0, 333.3), ("C04", "D00", 1.05, 150.0), ("D01", "G04", 2.5, 820.9), ("E03", "C01", 1.6, 275.0),
-    ("F02", "A00", 3.1, 640.0), ("G00", "B04", 1.4, 90.5), ("H03", "F03", 2.0, 410.0), ("Z99", "A00", 1.0, 100.0), ("A00", "Z99", 1.0, 100.0),
-]
-
-
 class Tables:
     """The derived tables of a data folder; each is a lazy DataFrame."""
 
@@ -87,11 +78,15 @@ class Tables:
 
     @cached_property
     def items(self) -> DataFrame:
-        return self.spark.range(50800, 50812).selectExpr("id as item", "concat(if(id % 3 = 0, 'Packed RBC ', 'Creatinine '), cast(id as string)) as label")
+        found = self.raw("part").selectExpr("50800 + p_partkey % 12 as item", "p_type").groupBy("item").agg(F.min("p_type").alias("kind"))
+        return found.selectExpr("item", "concat(if(item % 3 = 0, 'Packed RBC ', 'Creatinine '), cast(item as string), ' ', kind) as label")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.spark.createDataFrame(EDGES, "d1 string, d2 string, rr double, diff_days double")
+        """An edge between two code groups, with relative risk and fractional days, for each nation."""
+        group = "concat(char(cast(65 + ({0}) % 8 as int)), lpad(cast(({1}) % 5 as string), 2, '0'))"
+        one, two = group.format("n_nationkey", "n_nationkey"), group.format("3 * n_nationkey + 1", "2 * n_nationkey + 1")
+        return self.raw("nation").selectExpr(f"{one} as d1", f"{two} as d2", "1 + n_nationkey / 10D as rr", "90.5D + 37.25D * n_nationkey as diff_days")
 
     @cached_property
     def people(self) -> DataFrame:
@@ -117,10 +112,31 @@ class Tables:
     def scores(self) -> DataFrame:
         return self.raw("orders").selectExpr("o_orderpriority as cohort", "cast(o_orderstatus = 'F' as int) as label", "((o_orderkey * 7919) % 1000) / 1000.0D as score", "o_orderkey as id")
 
+    @cached_property
+    def results(self) -> DataFrame:
+        """Scores of models by cohort and fold, under one of two prefixes and with a parameter that can be null."""
+        rows = self.raw("orders").selectExpr(
+            "o_custkey % 40 as cohort", "o_orderpriority as model", "o_orderkey % 5 as fold", "if(o_custkey % 3 = 0, 'new', 'old') as prefix", "nullif(o_orderkey % 3, 0) as depth",
+            "(o_orderkey * 7919) % 1000 as a", "(o_orderkey * 104729) % 1000 as b", "o_orderkey % 50 as e",
+        )
+        return rows.groupBy("cohort", "model", "fold", "prefix", "depth").agg(*[(F.sum(c) / (F.count("*") * n)).alias(name) for c, n, name in (("a", 1009, "auroc"), ("b", 1009, "auprc"), ("e", 1, "epoch"))])
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        """A cohort for each nation and market segment of the customers."""
+        rows = self.raw("customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count_if(F.col("c_acctbal") > 6000).alias("n_pos"), F.count_if(F.col("c_acctbal") <= 6000).alias("n_neg"))
+        return rows.selectExpr(
+            "concat(c_nationkey, '-', c_mktsegment) as cohort", "concat(char(cast(65 + c_nationkey % 20 as int)), '00') as d1", "concat(char(cast(65 + (length(c_mktsegment) + c_nationkey) % 18 as int)), '01') as d2",
+            "1 + c_nationkey * 0.15D as rr", "365.25D * (30 + c_nationkey) as age_days", "100D + 20 * c_nationkey as diff_days", "n_pos", "n_neg",
+        )
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        return self.encounters.selectExpr("entity", "encounter", "concat('c', cast(encounter % 5 as string)) as cohort", "died as label", "case when entity % 10 < 7 then 'train' when entity % 10 < 9 then 'val' else 'test' end as split")
+
 
 #: The same tables as DuckDB common table expressions, written from their definition.
-EDGES_SQL = ", ".join("('%s', '%s', CAST(%s AS DOUBLE), CAST(%s AS DOUBLE))" % e for e in EDGES)
-BASE_SQL = f"""WITH enc AS (SELECT o_custkey AS entity, o_orderkey AS encounter, CAST(o_orderdate AS TIMESTAMP) + to_hours(o_orderkey % 24) AS admit,
+BASE_SQL = """WITH enc AS (SELECT o_custkey AS entity, o_orderkey AS encounter, CAST(o_orderdate AS TIMESTAMP) + to_hours(o_orderkey % 24) AS admit,
     CAST(o_orderdate AS TIMESTAMP) + to_hours(o_orderkey % 24) + to_hours(24 * (1 + o_orderkey % 12) + 6) AS disch, CAST(o_orderkey % 37 = 0 AS INT) AS died,
     CASE WHEN o_orderkey % 37 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + to_hours(o_orderkey % 24) + to_hours(24 * (1 + o_orderkey % 12) + 6) END AS death,
     CAST(24 * (1 + o_orderkey % 12) + 6 AS DOUBLE) / 24 AS los, CASE WHEN o_custkey % 5 = 0 THEN 'BLACK' ELSE 'OTHER' END AS race FROM orders),
@@ -136,11 +152,17 @@ st AS (SELECT entity, encounter, encounter * 10 + 1 AS stay, admit + INTERVAL 4
     CASE encounter % 4 WHEN 0 THEN 'Medical ICU' WHEN 1 THEN 'CCU' WHEN 2 THEN 'CORONARY CARE' END AS unit, death FROM enc WHERE encounter % 3 = 0),
 ev AS (SELECT enc.entity, enc.encounter, 50800 + l_partkey % 12 AS item, admit - INTERVAL 48 HOUR + to_minutes((l_partkey * 37 + l_linenumber * 101) % 20160) AS ts,
     CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_quantity / 10 END AS value FROM lineitem JOIN enc ON l_orderkey = enc.encounter),
-itm AS (SELECT i AS item, CASE WHEN i % 3 = 0 THEN 'Packed RBC ' ELSE 'Creatinine ' END || i AS label FROM range(50800, 50812) t(i)),
-edg(d1, d2, rr, diff_days) AS (VALUES {EDGES_SQL}),
+itm AS (SELECT 50800 + p_partkey % 12 AS item, CASE WHEN any_value(50800 + p_partkey % 12) % 3 = 0 THEN 'Packed RBC ' ELSE 'Creatinine ' END || any_value(50800 + p_partkey % 12) || ' ' || min(p_type) AS label FROM part GROUP BY 50800 + p_partkey % 12),
+edg AS (SELECT chr(CAST(65 + n_nationkey % 8 AS INT)) || lpad(CAST(n_nationkey % 5 AS VARCHAR), 2, '0') AS d1, chr(CAST(65 + (3 * n_nationkey + 1) % 8 AS INT)) || lpad(CAST((2 * n_nationkey + 1) % 5 AS VARCHAR), 2, '0') AS d2,
+    1 + CAST(n_nationkey AS DOUBLE) / 10 AS rr, 90.5 + 37.25 * CAST(n_nationkey AS DOUBLE) AS diff_days FROM nation),
 ppl AS (SELECT enc.*, age, gender, dod FROM enc JOIN ent USING (entity)),
 sp AS (SELECT st.*, admit, disch, died, race, age, gender, dod FROM st JOIN enc USING (entity, encounter) JOIN ent USING (entity)),
 ser AS (SELECT user_id AS series, event_type AS item, CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS DOUBLE) / 6e7 AS minute, value FROM events),
 lab AS (SELECT DISTINCT series, CAST(series % 4 = 0 AS INT) AS label, CASE WHEN series % 5 < 4 THEN 'train' ELSE 'test' END AS split FROM ser),
-sco AS (SELECT o_orderpriority AS cohort, CAST(o_orderstatus = 'F' AS INT) AS label, CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000.0 AS score, o_orderkey AS id FROM orders)
+sco AS (SELECT o_orderpriority AS cohort, CAST(o_orderstatus = 'F' AS INT) AS label, CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000.0 AS score, o_orderkey AS id FROM orders),
+res AS (SELECT o_custkey % 40 AS cohort, o_orderpriority AS model, o_orderkey % 5 AS fold, CASE WHEN o_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS prefix, nullif(o_orderkey % 3, 0) AS depth,
+    CAST(sum((o_orderkey * 7919) % 1000) AS DOUBLE) / (count(*) * 1009) AS auroc, CAST(sum((o_orderkey * 104729) % 1000) AS DOUBLE) / (count(*) * 1009) AS auprc, CAST(sum(o_orderkey % 50) AS DOUBLE) / count(*) AS epoch FROM orders GROUP BY ALL),
+cat AS (SELECT c_nationkey || '-' || c_mktsegment AS cohort, chr(CAST(65 + c_nationkey % 20 AS INT)) || '00' AS d1, chr(CAST(65 + (length(c_mktsegment) + c_nationkey) % 18 AS INT)) || '01' AS d2, 1 + c_nationkey * CAST(0.15 AS DOUBLE) AS rr,
+    CAST(365.25 AS DOUBLE) * (30 + c_nationkey) AS age_days, CAST(100 + 20 * c_nationkey AS DOUBLE) AS diff_days, count(*) FILTER (WHERE c_acctbal > 6000) AS n_pos, count(*) FILTER (WHERE c_acctbal <= 6000) AS n_neg FROM customer GROUP BY c_nationkey, c_mktsegment),
+spl AS (SELECT entity, encounter, 'c' || (encounter % 5) AS cohort, died AS label, CASE WHEN entity % 10 < 7 THEN 'train' WHEN entity % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM enc)
 """
