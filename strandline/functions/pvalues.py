@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -65,7 +66,7 @@ def chi2_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(x < a + 1, 1 - front * total, front * h)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided; null or without degrees of freedom: null."""
     ok = t.notna() & (df > 0)
@@ -75,7 +76,7 @@ def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     ok = x.notna() & (df > 0)
     out = pd.Series(np.nan, index=x.index)
@@ -84,7 +85,7 @@ def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     """Two-sided."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else np.nan)
