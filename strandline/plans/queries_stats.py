@@ -74,8 +74,11 @@ def _(t: Tables) -> DataFrame:
 # --- splits --------------------------------------------------------------------------------------------------------
 
 #: A rank that SQL can compute too: an arithmetic key in place of the hash; buckets are ranges of it.
-KEY = F.pmod(F.col("entity") * 7919, F.lit(1_000_003))
-BUCKET = F.floor(KEY / 50_000)
+def arithmetic() -> dict:
+    key = F.pmod(F.col("entity") * 7919, F.lit(1_000_003))
+    return {"key": key, "bucket": F.floor(key / 50_000)}
+
+
 RANK = ", ce2 AS (SELECT cohort, entity, max(label) AS label FROM spl GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY cohort, label ORDER BY (entity * 7919) % 1000003) - 1 AS place FROM ce2)"
 FOLDS = RANK + """, fo AS (SELECT cohort, entity, label, place, CAST(fold AS BIGINT) AS fold, place - (place + (4 - fold)) // 5 AS rest FROM rk, (SELECT unnest(range(5)) AS fold)),
 kf AS (SELECT cohort, entity, label, fold, CASE WHEN place % 5 = fold THEN 'test' WHEN rest % 5 = fold % 5 THEN 'val' ELSE 'train' END AS split FROM fo)
@@ -83,7 +86,7 @@ kf AS (SELECT cohort, entity, label, fold, CASE WHEN place % 5 = fold THEN 'test
 
 
 def folds(t: Tables) -> DataFrame:
-    return splits.kfold(t.splits.select("cohort", "entity", "label"), key=KEY, bucket=BUCKET).withColumn("fold", F.col("fold").cast("long"))
+    return splits.kfold(t.splits.select("cohort", "entity", "label"), **arithmetic()).withColumn("fold", F.col("fold").cast("long"))
 
 
 @query("split_kfold_entity", FOLDS + "SELECT * FROM kf")
@@ -99,12 +102,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("split_group_holdout", ", e AS (SELECT DISTINCT entity FROM enc), r AS (SELECT entity, row_number() OVER (ORDER BY (entity * 7919) % 1000003) - 1 AS place, count(*) OVER () AS n FROM e) SELECT entity, CASE WHEN place < round(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM r")
 def _(t: Tables) -> DataFrame:
-    return splits.group_holdout(t.encounters, key=KEY, bucket=BUCKET)
+    return splits.group_holdout(t.encounters, **arithmetic())
 
 
 @query("split_inner_groupfold", FOLDS + "SELECT cohort, entity, label, (row_number() OVER (PARTITION BY cohort, label ORDER BY (entity * 7919) % 1000003) - 1) % 3 AS inner_fold FROM kf WHERE fold = 0 AND split <> 'test'")
 def _(t: Tables) -> DataFrame:
-    return splits.inner_folds(folds(t).filter("fold = 0"), key=KEY, bucket=BUCKET).withColumnRenamed("inner", "inner_fold")
+    return splits.inner_folds(folds(t).filter("fold = 0"), **arithmetic()).withColumnRenamed("inner", "inner_fold")
 
 
 @query("split_final", "SELECT encounter, CASE WHEN split = 'test' THEN 'test' ELSE 'train' END AS split FROM spl")
