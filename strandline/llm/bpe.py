@@ -27,7 +27,7 @@ from strandline.llm.common import map_arrow
 
 #: Chunks whose ids a Python worker remembers at most; beyond that the memo starts anew.
 MEMO_CHUNKS = 400_000
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 600_000
 
 
 class BpeCodec:
@@ -50,8 +50,9 @@ class BpeCodec:
         automaton.make_automaton()
         self.matches = automaton.iter
         self.halves: dict[int, tuple[int, int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.packed = [np.uint32(k).tobytes() for k in range(len(self.vocab))]
 
     def merged(self, piece: bytes, below: float = float("inf")) -> list[int]:
         """Plain merging with ranks under a bound: for vocabulary entries and tests, not for texts."""
@@ -76,7 +77,7 @@ class BpeCodec:
         Undoes the later merge of the two sides again and again; at each step the two tokens that touch the boundary
         must not have had a merge of their own that comes before the merge just undone.
         """
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.pairs.get(key)) is not None:
             return known
         if len(self.pairs) >= MEMO_PAIRS:
@@ -133,7 +134,7 @@ class BpeCodec:
         ids: list[int] = []
         for piece in self.find(text):
             ids += self.encode_piece(piece.encode("utf-8").decode("latin-1"))
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.packed.__getitem__, ids))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text. No match of the pattern spans a single space after a non-space character, so the

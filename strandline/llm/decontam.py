@@ -38,9 +38,9 @@ RADIUS = 20
 BLOCKS, BLOCK_BITS = 4, 16
 ITEMS_AT_ONCE = 1000
 #: Characters of documents whose words are hashed at a time.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 1_000_000
 #: Window positions whose bits are summed at a time.
-SPAN_AT_ONCE = 100_000
+SPAN_AT_ONCE = 20_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))

@@ -38,7 +38,7 @@ SAMPLE_SYMBOLS = 40_000
 ALPHABET = 61
 STRETCH = 2048
 #: Symbols that are parsed at a time.
-AT_ONCE = 8_000_000
+AT_ONCE = 2_000_000
 #: How sharply the score falls when another language parses nearly as well.
 SHARPNESS = 8
 SEPARATOR, FOREIGN = 0, 1
@@ -158,15 +158,25 @@ class Model:
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Label and score of each text."""
-        codes = [self.codes(t or "") for t in texts]
-        lettered = np.array([bool((c != SEPARATOR).any()) for c in codes], bool)
         if not self.labels:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        bits = self.phrases(codes) * np.array(self.logs)
-        best = bits.argmin(axis=1)
-        least = np.maximum(bits.min(axis=1, keepdims=True), 1e-9)
-        score = 1 / ((least / np.maximum(bits, 1e-9)) ** SHARPNESS).sum(axis=1)
-        return [self.labels[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)], np.where(lettered, score, 0.0)
+        labels: list[str] = []
+        scores = [np.zeros(0)]
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and (end == begin or size + len(texts[end] or "") <= AT_ONCE):
+                size += len(texts[end] or "")
+                end += 1
+            codes = [self.codes(t or "") for t in texts[begin:end]]
+            lettered = np.array([bool((c != SEPARATOR).any()) for c in codes], bool)
+            bits = self.phrases(codes) * np.array(self.logs)
+            least = np.maximum(bits.min(axis=1, keepdims=True), 1e-9)
+            score = 1 / ((least / np.maximum(bits, 1e-9)) ** SHARPNESS).sum(axis=1)
+            labels += [self.labels[k] if ok else UNDETERMINED for k, ok in zip(bits.argmin(axis=1), lettered)]
+            scores.append(np.where(lettered, score, 0.0))
+            begin = end
+        return labels, np.concatenate(scores)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

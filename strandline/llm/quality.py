@@ -42,6 +42,8 @@ LAYOUT = 10
 META = 2 * HASHED + LAYOUT
 #: Documents under this probability of good quality are rejected: well under a half, as clean ones are to stay.
 THRESHOLD = 0.3
+#: Rows whose features are in memory at a time.
+ROWS_AT_ONCE = 500
 #: Bytes of text whose sequences are counted at a time.
 BYTES_AT_ONCE = 1 << 22
 
@@ -220,12 +222,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     return cotrain(views, np.array([r[1] for r in by_hash], int))
 
 
+def _scores(batch: pa.RecordBatch, model: CoTrained, columns: tuple[str, str, str, str]) -> list[np.ndarray]:
+    """Probabilities of a batch's rows, some rows at a time."""
+    parts = [model.score(_views(batch.slice(at, ROWS_AT_ONCE), columns)) for at in range(0, max(1, batch.num_rows), ROWS_AT_ONCE)]
+    return [np.concatenate([p[k] for p in parts]).astype(float) for k in range(3)]
+
+
 def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", columns: tuple[str, str, str, str] = ("text", "lang", "source", "n_chars"), threshold: float = THRESHOLD) -> DataFrame:
     """(id, content_score, metadata_score, score, keep) of each row of docs."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = model.score(_views(batch, columns))
-        arrays = [batch.column(0), *(pa.array(p.astype(float)) for p in parts), pa.array(parts[2] >= threshold)]
+        parts = _scores(batch, model, columns)
+        arrays = [batch.column(0), *map(pa.array, parts), pa.array(parts[2] >= threshold)]
         return pa.RecordBatch.from_arrays(arrays, [id_col, "content_score", "metadata_score", "score", "keep"])
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, content_score double, metadata_score double, score double, keep boolean"
@@ -234,4 +242,4 @@ def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", columns: tu
 
 def good_rows(docs: DataFrame, model: CoTrained, columns: tuple[str, str, str, str] = ("text", "lang", "source", "n_chars"), threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs whose score reaches the threshold, as they are."""
-    return keep_rows(docs, lambda batch: model.score(_views(batch, columns))[2] >= threshold)
+    return keep_rows(docs, lambda batch: _scores(batch, model, columns)[2] >= threshold)
