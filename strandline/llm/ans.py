@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,11 @@ FIRST_STATE = np.uint64(1 << 32)
 BROADCAST_CHUNKS = 200_000
 #: Words whose ids a Python worker remembers at most.
 MEMO_WORDS = 600_000
-#: A byte that is a word of its own between words that are encoded together.
+#: Bytes of texts whose words are looked up at a time.
+BYTES_AT_ONCE = 32_000_000
+#: Words whose ids are gathered at a time.
+WORDS_AT_ONCE = 500_000
+#: A sign that is a word of its own between words that are encoded together.
 BETWEEN = "\x01"
 
 
@@ -69,14 +74,13 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[str, bytes] = {}
         (self.between,) = self._plain([BETWEEN])[0]
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8") for w in words]
+    def _learn(self, texts: list[str]) -> None:
         together = [k for k, t in enumerate(texts) if BETWEEN not in t and "<|" not in t]
         apart = [k for k, t in enumerate(texts) if BETWEEN in t or "<|" in t]
         for at in range(0, len(together), 1000):
@@ -85,27 +89,56 @@ class WordTokenizer:
             ends = np.append(np.flatnonzero(ids == self.between), len(ids))
             begin = 0
             for k, end in zip(part, ends.tolist()):
-                self.memo[words[k]] = ids[begin:end].tobytes()
+                self.memo[texts[k]] = ids[begin:end].tobytes()
                 begin = end + 1
         for k, ids in zip(apart, self._plain([texts[k] for k in apart])):
-            self.memo[words[k]] = np.array(ids, self.kind).tobytes()
+            self.memo[texts[k]] = np.array(ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Ids of each text with the end id, as little-endian integers of ``kind``."""
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, of which new ones are learned."""
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
+        if new := [w for w in words if w not in self.memo]:
+            self._learn(new)
+        return list(map(self.memo.__getitem__, words))
+
+    def _some(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        """Ids of some texts: the different words among them are looked up, and their ids gathered in order."""
+        lists = pc.ascii_split_whitespace(texts)
+        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        pool = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, pool), np.int64, len(pool)) // self.kind.itemsize
+        begin = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(pool), self.kind)
+        words = coded.indices.to_numpy()
+        out: list[bytes] = []
+        row = 0
+        while row < len(texts):
+            stop = max(row + 1, int(np.searchsorted(first, first[row] + WORDS_AT_ONCE)) - 1)
+            word = words[first[row] : first[stop]]
+            sizes = size[word]
+            ends = np.cumsum(sizes)
+            own = ids[np.repeat(begin[word] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            at = np.concatenate([[0], ends])[first[row : stop + 1] - first[row]].tolist()
+            out += [own[a:b].tobytes() + end for a, b in zip(at, at[1:])]
+            row = stop
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of each text with the end id, as little-endian integers of ``kind``."""
         end = np.array([end_id], self.kind).tobytes()
+        if pc.any(pc.match_substring(texts, "<|")).as_py():  # may hold a special token's string: not lower-cased
+            plain = texts
+        else:
+            plain = pc.ascii_lower(texts)
+        sizes = pc.binary_length(texts).to_numpy()
         out: list[bytes] = []
-        for text in texts:
-            raw = text.encode("utf-8")
-            words = (raw if b"<|" in raw else raw.lower()).split()
-            try:
-                parts = list(map(self.memo.__getitem__, words))
-            except KeyError:
-                self._learn([w for w in dict.fromkeys(words) if w not in self.memo])
-                parts = list(map(self.memo.__getitem__, words))
-            parts.append(end)
-            out.append(b"".join(parts))
+        begin = 0
+        while begin < len(texts):
+            stop = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), BYTES_AT_ONCE)))
+            out += self._some(plain.slice(begin, stop - begin), end)
+            begin = stop
         return out
 
 
@@ -261,7 +294,7 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(word_tokenizer(tokenizer).encode(batch.column(1).to_pylist(), end_id), pa.binary())], [id_col, "tokens"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(word_tokenizer(tokenizer).encode(batch.column(1), end_id), pa.binary())], [id_col, "tokens"])
 
     return map_arrow(rows, fn, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, tokens binary")
 
