@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from strandline.functions.pvalues import t_pvalue
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of rows that have both values; null where one of them does not vary (the built-in one raises)."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def item_means(features: DataFrame, members: DataFrame, train_only: bool = True) -> DataFrame:
     """(cohort, encounter, item, value, label): means of an encounter's item, of training members."""
     own = members.filter("split = 'train'") if train_only else members
@@ -18,7 +25,7 @@ def item_means(features: DataFrame, members: DataFrame, train_only: bool = True)
 def correlations(means: DataFrame, min_count: int = 10) -> DataFrame:
     """(cohort, item, n, r, reason): point-biserial correlation with the label, or why there is none."""
     own = means.groupBy("cohort", "item").agg(
-        F.count("*").alias("n"), F.corr("value", F.col("label").cast("double")).alias("r"), F.countDistinct("value").alias("values"), F.countDistinct("label").alias("labels")
+        F.count("*").alias("n"), pearson(F.col("value"), F.col("label").cast("double")).alias("r"), F.countDistinct("value").alias("values"), F.countDistinct("label").alias("labels")
     )
     reason = F.when(F.col("n") < min_count, "min_count").when(F.col("values") < 2, "value_const").when(F.col("labels") < 2, "label_const").when(F.col("r").isNull() | F.isnan("r") | (F.col("n") < 3), "nan_pval")
     return own.withColumn("reason", reason).select("cohort", "item", "n", F.when(F.col("reason").isNull(), F.col("r")).alias("r"), "reason")
@@ -154,7 +161,7 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by..., n, r) over rows that have both values."""
     both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_ranks(average_ranks(both, x, by, "__x"), y, by, "__y")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("r"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson(F.col("__x"), F.col("__y")).alias("r"))
 
 
 def paired_t(pairs: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -70,6 +70,11 @@ def _(t: Tables) -> DataFrame:
     return t.events.filter("item % 2 = 0").join(t.stays.select("encounter", "stay"), "encounter").select("stay", "item", "ts")
 
 
+@query("io_input_events", "SELECT stay, item, ts, value FROM ev JOIN st USING (encounter) WHERE item % 3 = 0")
+def _(t: Tables) -> DataFrame:
+    return t.events.filter("item % 3 = 0").join(t.stays.select("encounter", "stay"), "encounter").select("stay", "item", "ts", "value")
+
+
 @query("io_edges", "SELECT d1, d2, rr, diff_days FROM edg")
 def _(t: Tables) -> DataFrame:
     return t.edges

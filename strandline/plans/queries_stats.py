@@ -498,7 +498,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("st_pearson", "SELECT model, round(corr(auroc, auprc), 6) AS r FROM res GROUP BY model")
 def _(t: Tables) -> DataFrame:
-    return t.results.groupBy("model").agg(F.round(F.corr("auroc", "auprc"), 6).alias("r"))
+    return t.results.groupBy("model").agg(F.round(selection.pearson(F.col("auroc"), F.col("auprc")), 6).alias("r"))
 
 
 AVGRANK = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0"
