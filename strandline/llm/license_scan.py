@@ -7,6 +7,10 @@ both. With a least coefficient t it needs sizes whose ratio is between t / (2 -
 of such a size are compared, and a unit takes part only if the bigrams that any template has make up t / (2 - t) of
 its own: neither bound can lose a match.
 
+For the same reason a match has all but 1 - t / (2 - t) of its template's bigrams. *Key words* are chosen so that more
+than that share of every template's bigrams have one of them in it: a text or unit without any key word (long ones even as part
+of other words) matches no template, and is left out before its words are looked at.
+
 Everything is computed within a row: no shuffle, whatever the keys' distribution.
 
 Cases: null and empty texts and units under two words match nothing; of templates that match equally well the one
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,9 +85,31 @@ def template_bigrams(text: str) -> Counter:
     return Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, unit, position, words): unit is line, paragraph or text; positions count from 1."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def key_words(counted: list[tuple[str, Counter]], threshold: float) -> list[str]:
+    """Words of which every match has one; those that cover most bigrams first, long ones rather than short ones."""
+    chosen: list[str] = []
+    for _, bigrams in sorted(counted, key=lambda t: sum(t[1].values())):
+        spare = sum(bigrams.values()) * (1 - threshold / (2 - threshold)) + 1e-9
+        while sum(c for b, c in bigrams.items() if not set(b.split()).isdisjoint(chosen)) <= spare:
+            gain: Counter = Counter()
+            for b, c in bigrams.items():
+                if set(b.split()).isdisjoint(chosen):
+                    for word in set(b.split()):
+                        gain[word] += c
+            chosen.append(max(gain, key=lambda w: (len(w) > 5, gain[w], len(w), w)))
+    return chosen
+
+
+def _has_any(text: Column, words: list[str]) -> Column:
+    """Whether a text has some of the words: long ones even inside other words, short ones as words of their own."""
+    tests = [F.contains(F.lower(text), F.lit(w)) if len(w) > 3 else text.rlike(f"(?i)(^|[^a-zA-Z0-9]){w}([^a-zA-Z0-9]|$)") for w in words]
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+
+
+def units(docs: DataFrame, keys: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, unit, position, words) of units with a key word: unit is line, paragraph or text; positions count from 1."""
+    docs = docs.select(id_col, text_col).filter(_has_any(F.col(text_col), keys))
+    text = F.col(text_col)
     lines, paragraphs = F.split(text, "\n"), F.split(text, BLANK_LINE)
 
     def entries(parts: Column, kind: str) -> Column:
@@ -90,7 +117,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     long = F.filter(entries(paragraphs, "paragraph"), lambda e: F.contains(e["body"], F.lit("\n")))
     whole = F.when(F.size(paragraphs) > 1, entries(F.array(text), "text")).otherwise(F.filter(entries(F.array(text), "text"), lambda e: F.lit(False)))
-    every = docs.select(id_col, F.explode(F.concat(entries(lines, "line"), long, whole)).alias("e"))
+    every = docs.select(id_col, F.explode(F.concat(entries(lines, "line"), long, whole)).alias("e")).filter(_has_any(F.col("e.body"), keys))
     words = F.filter(F.split(F.translate("e.body", UPPER, LOWER), "[^a-z0-9]+"), lambda w: w != "")
     return every.select(id_col, "e.unit", "e.position", words.alias("words"))
 
@@ -100,7 +127,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     counted = [(name, template_bigrams(text)) for name, text in templates]
     ratio = threshold / (2 - threshold)
     some = sorted({b for _, bigrams in counted for b in bigrams})
-    rows = units(docs, id_col, text_col).filter(F.size("words") > 1)
+    rows = units(docs, key_words(counted, threshold), id_col, text_col).filter(F.size("words") > 1)
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     rows = rows.select(id_col, "unit", "position", pairs.alias("bigrams"))
     n = F.size("bigrams")
