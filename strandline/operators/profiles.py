@@ -18,33 +18,47 @@ def before_end(events: DataFrame, encounters: DataFrame) -> DataFrame:
 
 
 def encounter_profile(events: DataFrame, encounters: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """One row for each encounter with events: first and last, lengths in days, counts, and counts in each window."""
+    """One row for each encounter with events: first and last, lengths in days, counts, and counts in each window.
+
+    Summed by encounter and item first: an item is in a window if its latest event is, so no distinct count is needed.
+    """
     rows = before_end(events, encounters)
-    per_window = [x for w in windows for x in (F.count_if(F.col("ago") <= w).alias(f"n_events_{w}"), F.countDistinct(F.when(F.col("ago") <= w, F.col("item"))).alias(f"n_items_{w}"))]
-    out = rows.groupBy("encounter").agg(
-        F.min("ts").alias("first_event"),
-        F.max("ts").alias("last_event"),
+    items = rows.groupBy("encounter", "item").agg(
+        F.min("ts").alias("first"),
+        F.max("ts").alias("last"),
         F.max(days(F.col("admit"), F.col("disch"))).alias("los"),
         F.max("ago").alias("lod"),
-        F.greatest(F.max(days(F.col("ts"), F.col("admit"))), F.lit(0.0)).alias("pre_days"),
-        F.countDistinct("of_encounter").alias("n_encounters"),
-        F.countDistinct("item").alias("n_items"),
-        F.count("*").alias("n_events"),
-        F.count_if(F.col("ts") < F.col("admit")).alias("n_before"),
-        F.count_if(F.col("ts") >= F.col("admit")).alias("n_during"),
+        F.min("ago").alias("latest"),
+        F.max(days(F.col("ts"), F.col("admit"))).alias("pre"),
+        F.collect_set("of_encounter").alias("seen"),
+        F.count("*").alias("n"),
+        F.count_if(F.col("ts") < F.col("admit")).alias("before"),
+        *[F.count_if(F.col("ago") <= w).alias(f"n_{w}") for w in windows],
+    )
+    per_window = [x for w in windows for x in (F.sum(f"n_{w}").alias(f"n_events_{w}"), F.count_if(F.col("latest") <= w).alias(f"n_items_{w}"))]
+    return items.groupBy("encounter").agg(
+        F.min("first").alias("first_event"),
+        F.max("last").alias("last_event"),
+        F.max("los").alias("los"),
+        F.max("lod").alias("lod"),
+        F.greatest(F.max("pre"), F.lit(0.0)).alias("pre_days"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).cast("long").alias("n_encounters"),
+        F.count("*").alias("n_items"),
+        F.sum("n").alias("n_events"),
+        F.sum("before").alias("n_before"),
+        (F.sum("n") - F.sum("before")).alias("n_during"),
         *per_window,
     )
-    return out
 
 
 def item_counts(events: DataFrame, encounters: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """(encounter, window, item, n): events of each item in each window before the end.
 
-    Counted by the smallest window that holds an event first; a running sum then adds the smaller windows.
+    All windows are counted in one aggregate; only its rows are spread by window.
     """
-    inside = F.array(*[F.when(F.col("ago") <= w, F.lit(w)) for w in sorted(windows)])
-    rows = before_end(events, encounters).withColumn("window", F.explode(F.array_compact(inside)))
-    return rows.groupBy("encounter", "window", "item").agg(F.count("*").alias("n"))
+    counts = before_end(events, encounters).groupBy("encounter", "item").agg(*[F.count_if(F.col("ago") <= w).alias(f"n_{w}") for w in windows])
+    spread = counts.select("encounter", "item", F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"n_{w}").alias("n")) for w in windows])).alias("x"))
+    return spread.select("encounter", "x.window", "item", "x.n").filter("n > 0")
 
 
 def cohort_profile(profile: DataFrame, members: DataFrame, enough: int = 50, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
