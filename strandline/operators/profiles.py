@@ -12,7 +12,7 @@ WINDOWS = (15, 30, 90, 180, 365, 730)
 
 def before_end(events: DataFrame, encounters: DataFrame) -> DataFrame:
     """Events of each encounter's entity up to its end, with the days before it."""
-    own = events.select("entity", F.col("encounter").alias("of_encounter"), "item", "ts")
+    own = events.select("entity", "item", "ts")
     joined = encounters.select("entity", "encounter", "admit", "disch").join(own, "entity").filter("ts <= disch")
     return joined.withColumn("ago", days(F.col("ts"), F.col("disch")))
 
@@ -30,25 +30,28 @@ def encounter_profile(events: DataFrame, encounters: DataFrame, windows: tuple[i
         F.max("ago").alias("lod"),
         F.min("ago").alias("latest"),
         F.max(days(F.col("ts"), F.col("admit"))).alias("pre"),
-        F.collect_set("of_encounter").alias("seen"),
         F.count("*").alias("n"),
         F.count_if(F.col("ts") < F.col("admit")).alias("before"),
         *[F.count_if(F.col("ago") <= w).alias(f"n_{w}") for w in windows],
     )
     per_window = [x for w in windows for x in (F.sum(f"n_{w}").alias(f"n_events_{w}"), F.count_if(F.col("latest") <= w).alias(f"n_items_{w}"))]
-    return items.groupBy("encounter").agg(
+    # An encounter of the entity is among those seen if its first event is: one row for each encounter to join.
+    begun = events.groupBy("entity", F.col("encounter").alias("of_encounter")).agg(F.min("ts").alias("begun"))
+    seen = encounters.select("entity", "encounter", "disch").join(begun, "entity").filter("begun <= disch")
+    seen = seen.groupBy("encounter").agg(F.count("of_encounter").alias("n_encounters"))
+    out = items.groupBy("encounter").agg(
         F.min("first").alias("first_event"),
         F.max("last").alias("last_event"),
         F.max("los").alias("los"),
         F.max("lod").alias("lod"),
         F.greatest(F.max("pre"), F.lit(0.0)).alias("pre_days"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).cast("long").alias("n_encounters"),
         F.count("*").alias("n_items"),
         F.sum("n").alias("n_events"),
         F.sum("before").alias("n_before"),
         (F.sum("n") - F.sum("before")).alias("n_during"),
         *per_window,
     )
+    return out.join(seen, "encounter")
 
 
 def item_counts(events: DataFrame, encounters: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
