@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import map_arrow, written
@@ -201,9 +201,12 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows that repeat an id are one document; one of them stays.
     """
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    found = written(found.groupBy(id_col).agg(F.max(F.col(id_col) == F.col("component_id")).alias("first"), F.count("*").alias("rows")), "members")
-    gone = found.filter(f"`{id_col}` is not null and not coalesce(first, false)").select(id_col)
-    again = found.filter(f"`{id_col}` is not null and first and rows > 1").select(id_col)
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    repeated = kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(repeated)
+    first = written(found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "survivors")
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    name = "__place"
+    while name in docs.columns:
+        name += "_"
+    one = docs.filter(F.col(id_col).isNotNull()).withColumn(name, place).filter(F.col(name) == 1).drop(name)
+    # The texts are shuffled once, by id; both the window and the join work on that.
+    kept = one.join(first, id_col, "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
