@@ -51,7 +51,7 @@ FIRST_STATE = np.uint64(1 << 32)
 #: Up to so many chunks (of a million tokens each) their first tokens' places are broadcast, 16 bytes each.
 BROADCAST_CHUNKS = 200_000
 #: Words whose ids a Python worker remembers at most.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 #: Bytes of texts whose words are looked up at a time.
 BYTES_AT_ONCE = 32_000_000
 #: Words whose ids are gathered at a time.
