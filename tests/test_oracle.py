@@ -10,7 +10,7 @@ from strandline.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: Empty on tables this small.
-MAY_BE_EMPTY = {"min_class_filter", "cohort_trajectory", "edge_cohort_sink", "agg_grid_complete", "cohort_prostate", "fs_bh_fdr", "fs_topk", "fs_summary", "st_holm", "cohort_bone_tumor"}
+MAY_BE_EMPTY = {"min_class_filter", "cohort_trajectory", "edge_cohort_sink", "agg_grid_complete", "cohort_prostate", "fs_bh_fdr", "fs_topk", "fs_summary", "st_holm", "cohort_bone_tumor", "catalog_query", "catalog_sink", "cohort_all", "exclude_entities_of", "set_except"}
 
 
 def plain(value):
