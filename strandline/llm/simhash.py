@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm import near
 from strandline.llm.common import map_arrow, written
 from strandline.llm.components import components
 
@@ -196,12 +197,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, one of each component: the one with the smallest id. Rows with a null id stay: they cannot be named.
+    """Rows of docs, one of each component of near copies (module ``near``: five words, 0.8): the one with the smallest id. Rows with a null id stay: they cannot be named.
 
     Rows that repeat an id are one document; one of them stays.
     """
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    first = written(found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "survivors")
+    first = written(near.least_ids(docs, id_col, text_col), "survivors")
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
     name = "__place"
     while name in docs.columns:

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from strandline.llm import components, decontam, simhash
+from strandline.llm import components, decontam, near, simhash
 from strandline.llm.queries import QUERIES
 
 
@@ -131,3 +131,38 @@ def test_contaminated_in_blocks_and_odd_rows(spark, sf_dir, odd_docs, no_docs, m
     assert decontam.contaminated(docs, benchmark.limit(0)).count() == 0
     kept = decontam.clean_rows(docs, benchmark)
     assert kept.count() == docs.count() - 1 and kept.columns == docs.columns
+
+
+def plain_survivors(ids, texts):
+    """Smallest ids of the components of pairs with a five-word Jaccard similarity of 0.8 or more, by all pairs."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(ids)))
+    for a in range(len(ids)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    return sorted(min(i for i, r in zip(ids, root) if r == one) for one in set(root))
+
+
+def test_survivors_against_all_pairs(spark, monkeypatch):
+    """Edited copies at all similarities around 0.8, most of them more than three bits apart; also in small chunks."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(25):
+        base = [f"w{rng.randint(0, 999)}" for _ in range(rng.choice([9, 30, 120, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(9):
+            own = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 30)):
+                own[rng.randrange(len(own))] = f"v{rng.randint(0, 999)}"
+            texts.append(" ".join(own))
+    ids = rng.sample(range(1000), len(texts))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    want = plain_survivors(ids, texts)
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert len(set(plain_components(ids, prints))) > len(want) + 20
+    assert sorted(r.doc_id for r in simhash.survivors(docs).collect()) == want
+    monkeypatch.setattr(near, "CHUNK", 3)
+    assert sorted(r.doc_id for r in simhash.survivors(docs).collect()) == want
