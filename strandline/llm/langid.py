@@ -10,12 +10,14 @@ once, one table look-up per letter and language. Letters outside the sample's al
 has; runs of other characters are one separator. Texts are cut into stretches of ``STRETCH`` symbols that are parsed
 each from its start, so one long text is as quick as many short ones; phrases of all stretches add up.
 
-Fitting reads at most ``ROWS_PER_LANGUAGE`` rows of each label (the smallest by a hash of the id, of 200 to
-``LONGEST_SAMPLE`` characters) and up to ``SAMPLE_SYMBOLS`` symbols of each; the model's size is bounded by that and
-by the number of labels. Everything else covers whole texts of all rows.
+Fitting reads at most ``ROWS_PER_LANGUAGE`` rows of each label and up to ``SAMPLE_SYMBOLS`` symbols of each; the model's
+size is bounded by that and by the number of labels. Rows of 200 to ``LONGEST_SAMPLE`` characters come first (the
+smallest by a hash of the id); a label with too few of them also gets the beginnings of longer texts, then shorter
+texts, if they have letters. Everything else covers whole texts of all rows.
 
 Cases: null texts and texts without a letter give ``und`` and score 0; ties go to the first label in order; rows
-with a null label teach nothing; with no labelled rows at all every text is ``und``; repeated rows repeat in the
+with a null label teach nothing; with no labelled rows at all every text is ``und``, and ``with_language`` keeps the
+texts that have letters; repeated rows repeat in the
 result; an empty table gives an empty result; other columns are not read.
 """
 
@@ -185,20 +187,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, list[str]]]:
-    """A bounded number of rows of each label, chosen by a hash of the id: first within sixteen parts, then of those."""
-    rows = labelled.filter(F.col(label_col).isNotNull() & F.length(text_col).between(200, LONGEST_SAMPLE))
-    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    picks = rows.select("label", "h").withColumn("part", F.pmod("h", F.lit(16)))
-    first = Window.partitionBy("label", "part").orderBy("h")
-    then = Window.partitionBy("label").orderBy("h")
+    """A bounded number of rows of each label, chosen by length and a hash of the id: first within sixteen parts, then of those."""
+    size = F.length(text_col)
+    turn = F.when(size.between(200, LONGEST_SAMPLE), 0).when(size > LONGEST_SAMPLE, 1).otherwise(2)
+    rows = labelled.filter(F.col(label_col).isNotNull() & ((turn == 0) | F.col(text_col).rlike(r"\p{L}")))
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.substring(text_col, 1, LONGEST_SAMPLE).alias("text"), turn.alias("turn"), F.xxhash64(id_col).alias("h"))
+    picks = rows.select("label", "turn", "h").withColumn("part", F.pmod("h", F.lit(16)))
+    first = Window.partitionBy("label", "part").orderBy("turn", "h")
+    then = Window.partitionBy("label").orderBy("turn", "h")
     picks = picks.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= ROWS_PER_LANGUAGE)
-    picks = picks.withColumn("n", F.row_number().over(then)).filter(F.col("n") <= ROWS_PER_LANGUAGE).select("label", "h")
+    picks = picks.withColumn("n", F.row_number().over(then)).filter(F.col("n") <= ROWS_PER_LANGUAGE).select("label", "turn", "h")
     # At most ROWS_PER_LANGUAGE rows of each label: small enough to broadcast whatever the input's size.
-    got = rows.join(F.broadcast(picks.distinct()), ["label", "h"]).dropDuplicates(["label", "h"]).collect()
-    by_label: dict[str, list[tuple[int, str]]] = {}
+    keys = ["label", "turn", "h"]
+    got = rows.join(F.broadcast(picks.distinct()), keys).dropDuplicates(keys).collect()
+    by_label: dict[str, list[tuple[int, int, str]]] = {}
     for r in got:
-        by_label.setdefault(r["label"], []).append((r["h"], r["text"]))
-    return [(label, [t for _, t in sorted(by_label[label])]) for label in sorted(by_label)]
+        by_label.setdefault(r["label"], []).append((r["turn"], r["h"], r["text"]))
+    return [(label, [t for *_, t in sorted(by_label[label])]) for label in sorted(by_label)]
 
 
 def fit(samples: list[tuple[str, list[str]]]) -> Model:
@@ -242,11 +247,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """Rows of docs that have a language, with a score above the least."""
+    """Rows of docs that have a language, with a score above the least; without any label, rows that have letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def mask(batch: pa.RecordBatch) -> np.ndarray:
-        labels, score = shared.value.judge(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        if not shared.value.labels:
+            return np.array([bool((shared.value.codes(t or "") != SEPARATOR).any()) for t in texts], bool)
+        labels, score = shared.value.judge(texts)
         return (np.array(labels) != UNDETERMINED) & (score > least_score)
 
     return keep_rows(docs, mask)

@@ -151,6 +151,22 @@ def test_language_held_out(spark, sf_dir, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.identify(odd_docs, langid.fit(langid.sample(no_docs))).collect()} == {"und"}
 
 
+def test_languages_of_short_and_long_texts_only(spark):
+    """Labels without a text of the preferred length are learned too; without any label, lettered texts stay."""
+    rng = random.Random(4)
+    en, de = "the cat and this other one that were there with them".split(), "der Hund und die andere Katze ist nicht mit ihm dort".split()
+    rows = [(k, " ".join(rng.choice(en) for _ in range(12)), "en") for k in range(60)]
+    rows += [(100 + k, " ".join(rng.choice(de) for _ in range(5000)), "de") for k in range(3)] + [(200, "12 34", "xx"), (201, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.sample(docs)
+    assert [(name, len(texts)) for name, texts in samples] == [("de", 3), ("en", 48)]
+    assert max(len(t) for _, texts in samples for t in texts) == langid.LONGEST_SAMPLE
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.fit(samples)).collect()}
+    assert all(found[k] == lang for k, _, lang in rows if k < 200) and found[200] == found[201] == "und"
+    none = langid.fit(langid.sample(docs.withColumn("lang", F.lit(None).cast("string"))))
+    assert sorted(r.doc_id for r in langid.with_language(docs, none).collect()) == [k for k, *_ in rows if k < 200]
+
+
 def test_quality_held_out(spark, sf_dir, odd_docs, no_docs):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels.filter("doc_id % 3 <> 0"))
