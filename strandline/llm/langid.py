@@ -6,8 +6,9 @@ matches and the fewer the phrases. Phrases times the logarithm of the sample's l
 estimate the bits a letter costs in that language; the language with the fewest wins.
 
 The automata become plain transition tables (a missing transition starts a new phrase), so many texts are parsed at
-once, one table look-up per letter and language. Letters outside the sample's alphabet are one symbol that no sample
-has; runs of other characters are one separator. Texts are cut into stretches of ``STRETCH`` symbols that are parsed
+once, one table look-up per letter and language. Every letter of the samples is a symbol of its own: a label's table has
+columns for its ``DENSE`` most frequent letters, and its other letters' transitions are looked up in sorted arrays, so
+scripts with thousands of letters cost no wide tables. Letters that no sample has are one symbol; runs of other characters are one separator. Texts are cut into stretches of ``STRETCH`` symbols that are parsed
 each from its start, so one long text is as quick as many short ones; phrases of all stretches add up.
 
 Fitting reads at most ``ROWS_PER_LANGUAGE`` rows of each label and up to ``SAMPLE_SYMBOLS`` symbols of each; the model's
@@ -37,7 +38,8 @@ UNDETERMINED = "und"
 ROWS_PER_LANGUAGE = 48
 LONGEST_SAMPLE = 20_000
 SAMPLE_SYMBOLS = 40_000
-ALPHABET = 61
+#: Letters of a label that have a column of its table; the others are looked up.
+DENSE = 61
 STRETCH = 2048
 #: Symbols that are parsed at a time.
 AT_ONCE = 2_000_000
@@ -91,26 +93,78 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+@dataclass
+class Table:
+    """Transitions of one label: a dense row of columns for each state, and sorted ones of letters that have no column.
+
+    Columns are the separator, letters that the label has not, its most frequent letters, and (RARE) all its others.
+    """
+
+    column: np.ndarray
+    flat: np.ndarray
+    keys: np.ndarray
+    to: np.ndarray
+    start: np.ndarray
+
+    @property
+    def rare(self) -> int:
+        return DENSE + 2
+
+    def step(self, state: np.ndarray, symbols: np.ndarray, columns: np.ndarray, some_rare: bool) -> np.ndarray:
+        """Entries for states (as first entries of their rows) and symbols with their columns."""
+        got = self.flat[state + columns]
+        if some_rare:
+            at = np.flatnonzero(columns == self.rare)
+            own = symbols[at].astype(np.int64)
+            key = state[at].astype(np.int64) * len(self.column) + own
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            got[at] = np.where(self.keys[place] == key, self.to[place], self.start[own])
+        return got
+
+
+def _table(step: list[dict[int, int]], symbols: list[int], n_symbols: int) -> Table:
+    counts = Counter(c for c in symbols if c > FOREIGN)
+    column = np.full(n_symbols, FOREIGN, np.uint8)
+    column[SEPARATOR] = SEPARATOR
+    for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))):
+        column[c] = min(k, DENSE) + 2
+    width = DENSE + 3
+    # A missing transition ends the phrase: the symbol is looked up from the start again.
+    start = np.ones(n_symbols, np.int32)
+    for c, to in step[0].items():
+        start[c] = (to * width << 1) + 1
+    first = np.ones(width, np.int32)
+    dense = np.flatnonzero((column != FOREIGN) & (column < DENSE + 2))
+    first[column[dense]] = start[dense]
+    flat = np.tile(first, (len(step), 1))
+    rare: list[tuple[int, int]] = []
+    for s, out in enumerate(step):
+        for c, to in out.items():
+            if column[c] < DENSE + 2:
+                flat[s, column[c]] = (to * width) << 1
+            else:
+                rare.append((s * width * n_symbols + c, (to * width) << 1))
+    rare.sort()
+    return Table(column, flat.ravel(), np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32), start)
+
+
 @dataclass
 class Model:
-    """labels in order; for each a table and the logarithm of its sample's length.
+    """labels in order; for each a table, its other letters' transitions, and the logarithm of its sample's length.
 
-    A table entry for (state, symbol) is (next state's first entry << 1) + 1 if a new phrase starts there.
+    A table entry for (state, column) is (next state's first entry << 1) + 1 if a new phrase starts there.
     """
 
     labels: list[str]
     alphabet: str
-    tables: list[np.ndarray]
+    tables: list[Table]
     logs: list[float]
 
-    @property
-    def width(self) -> int:
-        return len(self.alphabet) + 2
-
     def codes(self, text: str) -> np.ndarray:
         """Symbols of a text: its letters in lower case, with one separator for each run of anything else."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        known = np.where(letter_table()[points], np.uint8(FOREIGN), np.uint8(SEPARATOR))
+        kind = self._lookup.dtype.type
+        known = np.where(letter_table()[points], kind(FOREIGN), kind(SEPARATOR))
         small = points < len(self._lookup)
         found = self._lookup[np.where(small, points, 0)]
         known = np.where(small & (found > 0), found, known)
@@ -121,7 +175,8 @@ class Model:
     @property
     def _lookup(self) -> np.ndarray:
         if "_table" not in self.__dict__:
-            self._table = np.zeros(max(map(ord, self.alphabet), default=0) + 1, np.uint8)
+            kind = np.min_scalar_type(len(self.alphabet) + 1)
+            self._table = np.zeros(max(map(ord, self.alphabet), default=0) + 1, kind)
             for k, c in enumerate(self.alphabet):
                 self._table[ord(c)] = k + 2
         return self._table
@@ -144,16 +199,18 @@ class Model:
         pieces.sort(key=lambda p: -len(p[1]))
         size = np.array([len(p) for _, p in pieces])
         text = np.array([t for t, _ in pieces])
-        grid = np.zeros((len(pieces), size[0]), np.uint8)
+        grid = np.zeros((len(pieces), size[0]), self._lookup.dtype)
         for row, (_, p) in zip(grid, pieces):
             row[: len(p)] = p
         steps = np.ascontiguousarray(grid.T)
         alive = np.searchsorted(-size, -np.arange(size[0]), "left")
-        for k, flat in enumerate(self.tables):
+        for k, table in enumerate(self.tables):
+            columns = table.column[steps]
+            rare = (columns == table.rare).any(axis=1) if len(table.keys) else np.zeros(len(steps), bool)
             state = np.zeros(len(pieces), np.int32)
             count = np.zeros(len(pieces), np.int32)
             for t, n in enumerate(alive):
-                got = flat[state[:n] + steps[t, :n]]
+                got = table.step(state[:n], steps[t, :n], columns[t, :n], rare[t])
                 count[:n] += got & 1
                 state[:n] = got >> 1
             np.add.at(out[:, k], text, count + 1)
@@ -209,8 +266,7 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def fit(samples: list[tuple[str, list[str]]]) -> Model:
     """Automata of each label's texts, each cut at SAMPLE_SYMBOLS symbols in all."""
     letters = letter_table()
-    counts = Counter(c for _, texts in samples for t in texts for c in t.lower() if letters[ord(c)])
-    alphabet = "".join(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]))
+    alphabet = "".join(sorted({c for _, texts in samples for t in texts for c in t.lower() if letters[ord(c)]}))
     model = Model([label for label, _ in samples], alphabet, [], [])
     for _, texts in samples:
         symbols: list[int] = []
@@ -219,17 +275,7 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
             if len(symbols) >= SAMPLE_SYMBOLS:
                 break
         symbols = symbols[:SAMPLE_SYMBOLS]
-        step = suffix_automaton([c for c in symbols if c != FOREIGN])
-        width = model.width
-        # A missing transition ends the phrase: the symbol is looked up from the start again.
-        start = np.zeros(width, np.int64)
-        for c, to in step[0].items():
-            start[c] = to * width
-        flat = np.tile((start << 1) + 1, (len(step), 1))
-        for s, out in enumerate(step):
-            for c, to in out.items():
-                flat[s, c] = (to * width) << 1
-        model.tables.append(flat.astype(np.int32).ravel())
+        model.tables.append(_table(suffix_automaton(symbols), symbols, len(alphabet) + 2))
         model.logs.append(float(np.log2(max(2, len(symbols)))))
     return model
 

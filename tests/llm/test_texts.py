@@ -167,6 +167,34 @@ def test_languages_of_short_and_long_texts_only(spark):
     assert sorted(r.doc_id for r in langid.with_language(docs, none).collect()) == [k for k, *_ in rows if k < 200]
 
 
+def test_languages_of_many_scripts():
+    """Labels with thousands of different letters between them: phrases as by definition, and each label found."""
+    rng = random.Random(6)
+    scripts = {"el": (0x3B1, 24), "ja": (0x4E00, 900), "ko": (0xAC00, 700), "la": (0x61, 26), "ru": (0x430, 32), "zh": (0x5E00, 900)}
+    words = {name: ["".join(chr(first + rng.randrange(n)) for _ in range(rng.randint(1, 5))) for _ in range(150)] for name, (first, n) in scripts.items()}
+    # Two languages that share their script.
+    words["zh"] = [w[::-1] for w in words["ja"][:20]] + words["zh"]
+    text = lambda name, n: " ".join(rng.choice(words[name]) for _ in range(n))
+    samples = [(name, [text(name, 60) for _ in range(12 if name == "la" else 40)]) for name in sorted(scripts)]
+    model = langid.fit(samples)
+    texts = [text(name, 40) for name in sorted(scripts) for _ in range(10)]
+    assert model.judge(texts)[0] == [name for name in sorted(scripts) for _ in range(10)]
+    assert any(len(t.keys) for t in model.tables) and all(t.flat.size <= 2 * 64 * langid.SAMPLE_SYMBOLS for t in model.tables)
+    mixed = [text("ja", 5) + text("ru", 3) + "\u0e01\u0e02 " + text("zh", 5), *texts[::9]]
+    got = model.phrases([model.codes(t) for t in mixed])
+    for k, (_, own) in enumerate(samples):
+        learned = "\0" + "\0".join("".join(map(chr, model.codes(t).tolist())) for t in own)
+        learned = learned[: langid.SAMPLE_SYMBOLS]
+        for t, found in zip(mixed, got[:, k]):
+            phrases, run = 1, ""
+            for c in map(chr, model.codes(t).tolist()):
+                if run + c in learned:
+                    run += c
+                else:
+                    phrases, run = phrases + 1, c if c in learned else ""
+            assert found == phrases
+
+
 def test_quality_held_out(spark, sf_dir, odd_docs, no_docs):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels.filter("doc_id % 3 <> 0"))
