@@ -285,6 +285,12 @@ def _(t: Tables) -> DataFrame:
     return rounded(own.select("series", F.posexplode("features").alias("place", "x")), "x").withColumn("place", F.col("place").cast("long"))
 
 
+@query("ts_flatten_concat_all", GRID + ", o AS (SELECT series, x, row_number() OVER (PARTITION BY series ORDER BY bin, block, item) - 1 AS place FROM vr) SELECT series, place, round(x, 6) AS x FROM o")
+def _(t: Tables) -> DataFrame:
+    own = S.flatten(scaled(t))
+    return rounded(own.select("series", F.posexplode("features").alias("place", "x")), "x").withColumn("place", F.col("place").cast("long"))
+
+
 @query("ts_feature_names", GRID + ", o AS (SELECT DISTINCT bin, block, item, kind FROM vr) SELECT row_number() OVER (ORDER BY bin, block, item) - 1 AS place, item || '_' || kind || '_Bin' || bin AS name FROM o")
 def _(t: Tables) -> DataFrame:
     return S.feature_names(grid(t)).withColumn("place", F.col("place").cast("long"))
@@ -418,6 +424,21 @@ def _(t: Tables) -> DataFrame:
     return in_us(S.forecast_samples(t.series, picked(t))[1], "t1")
 
 
+@query(
+    "ts_forecast_sample_all",
+    ANC + """, i AS (SELECT p.series, p.t1, minute, row_number() OVER (PARTITION BY p.series, p.t1 ORDER BY minute DESC, item DESC, value DESC) AS k FROM ser JOIN an p ON p.series = ser.series AND minute BETWEEN t1 - 10080 AND t1)
+    SELECT series, CAST(round(t1 * 6e7) AS BIGINT) AS t1, count(*) AS n, round(sum((minute - greatest(t1 - 10080, 0)) / 10080 * 2 - 1), 5) AS times FROM i WHERE k <= 1000 GROUP BY series, t1""",
+)
+def _(t: Tables) -> DataFrame:
+    inputs, _targets = S.forecast_samples(t.series, S.anchors(t.series))
+    return inputs.groupBy("series", "t1").agg(F.count("*").alias("n"), F.round(F.sum("time"), 5).alias("times")).withColumn("t1", F.round(F.col("t1") * 6e7).cast("long"))
+
+
+@query("ts_forecast_target_all", ANC + "SELECT p.series, CAST(round(t1 * 6e7) AS BIGINT) AS t1, item, arg_min(value, (minute, value)) AS target FROM ser JOIN an p ON p.series = ser.series AND minute > t1 AND minute <= t1 + 1440 GROUP BY p.series, t1, item")
+def _(t: Tables) -> DataFrame:
+    return in_us(S.forecast_samples(t.series, S.anchors(t.series))[1], "t1")
+
+
 @query(
     "ts_forecast_sample_fixed",
     """, w AS (SELECT unnest(range(20, 360, 24)) * 60.0 AS w), f AS (SELECT DISTINCT s.series, w FROM (SELECT DISTINCT series FROM ser) s, w

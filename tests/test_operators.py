@@ -261,3 +261,16 @@ def test_models_learn(spark):
         assert metrics.auroc(scored.withColumn("g", F.lit(1)), ["g"]).first().auroc > 0.95
     clustered, inertia, silhouette = models.clusters(own, 2)
     assert inertia > 0 and -1 <= silhouette <= 1 and models.medoids(clustered).count() == 2
+
+
+def test_whole_series_queries(spark, sf_dir):
+    """All series are flattened and all anchors give inputs, more than twelve where there are more."""
+    from strandline.plans import QUERIES
+
+    rows = {name: QUERIES[name](spark, sf_dir).cache() for name in ("ts_standardise", "ts_flatten_concat_all", "ts_anchor_times", "ts_forecast_sample_all", "ts_forecast_target", "ts_forecast_target_all")}
+    series = {r.series for r in rows["ts_standardise"].select("series").distinct().collect()}
+    assert {r.series for r in rows["ts_flatten_concat_all"].select("series").distinct().collect()} == series
+    anchors = {(r.series, r.t1) for r in rows["ts_anchor_times"].collect()}
+    samples = {(r.series, r.t1): r.n for r in rows["ts_forecast_sample_all"].collect()}
+    assert set(samples) == anchors and max(samples.values()) > 12
+    assert set(rows["ts_forecast_target"].collect()) < set(rows["ts_forecast_target_all"].collect())
