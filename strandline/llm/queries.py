@@ -60,7 +60,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm import bpe
 
     vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary, pattern), vocabulary, pattern)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, pattern)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -29,10 +30,30 @@ def test_ids_as_tiktoken(reference):
     codec, rng = bpe.codec(RANKS, PATTERN), random.Random(1)
     texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     texts += ["", "a" * 3000, " " * 300, "ab" * 900, "=-" * 400, "".join(rng.choice("abcdefgh") for _ in range(2000)), "x  y", " x ", "x \n y"]
-    for t in texts:
-        ids = codec.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t), repr(t)
-        assert codec.decode(ids) == t.encode()
+    for batch in (texts, texts[:1], texts[-1:], []):
+        ids = codec.encode(pa.array(batch, pa.string()))
+        for t, own, back in zip(batch, ids.to_pylist(), codec.decode(ids).to_pylist(), strict=True):
+            assert np.frombuffer(own, "<u4").tolist() == reference.encode_ordinary(t), repr(t)
+            assert back == t.encode()
+
+
+def test_walks_of_pieces(reference):
+    codec, rng = bpe.codec(RANKS, PATTERN), random.Random(4)
+    words = ["".join(rng.choice("abcdeéñ漢") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    ids, offsets = codec.walk([w.encode() for w in words])
+    for k, w in enumerate(words):
+        want = reference.encode_ordinary(w)
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == want == codec.encode_piece(w.encode().decode("latin-1"))
+
+
+def test_memo_that_overflows(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_CHUNKS", 50)
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 300)
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 3)
+    with open(RANKS, "rb") as lines:
+        own = bpe.BpeCodec({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, PATTERN)
+    texts = [f"word{k} unlikely{k % 70}ness\n" + "x y " * (k % 3) for k in range(200)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(pa.array(texts)).to_pylist()] == list(map(reference.encode_ordinary, texts))
 
 
 def test_pairs_as_plain_merging():
@@ -72,8 +93,6 @@ def test_rans_one_symbol_many_symbols_and_damage():
 
 
 def test_words_as_the_library():
-    import pyarrow as pa
-
     own, whole, rng = ans.word_tokenizer(WORDS), Tokenizer.from_file(WORDS), random.Random(3)
     whole.encode_special_tokens = True
     texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a <|endoftext|> B", "X" * 500]
