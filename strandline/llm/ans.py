@@ -18,7 +18,8 @@ Coding: with frequencies that sum to 2**scale, a state x takes symbol s as (x //
 Frequencies are counted over all tokens of the corpus and rounded up to 1 at least, so every id that occurs can be
 coded. Documents are dealt by ranges of the id, so files follow one another in ascending order and none is large.
 
-Cases: null texts count as empty, which gives the end id alone; rows with a null id come first; rows that repeat an id
+Cases: the string of an added token in a text gives that token's id, as the library does; null texts count as empty,
+which gives the end id alone; rows with a null id come first; rows that repeat an id
 follow one another; an empty table gives an empty file set; extra columns are not read.
 """
 
@@ -64,7 +65,8 @@ class WordTokenizer:
     """A tokenizer of the tokenizers library whose pre-tokens never span white space, with a memo of words.
 
     Such a tokenizer gives a text the ids of its words in a row. It lower-cases, so words are remembered in lower
-    case (ASCII letters only: the library does the rest), unless a text might hold a special token's string.
+    case (ASCII letters only: the library does the rest). Texts that hold the string of an added token, in whatever
+    case, go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -72,7 +74,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         (self.between,) = self._plain([BETWEEN])[0]
@@ -81,8 +83,8 @@ class WordTokenizer:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, texts: list[str]) -> None:
-        together = [k for k, t in enumerate(texts) if BETWEEN not in t and "<|" not in t]
-        apart = [k for k, t in enumerate(texts) if BETWEEN in t or "<|" in t]
+        together = [k for k, t in enumerate(texts) if BETWEEN not in t]
+        apart = [k for k, t in enumerate(texts) if BETWEEN in t]
         for at in range(0, len(together), 1000):
             part = together[at : at + 1000]
             ids = np.array(self._plain([f" {BETWEEN} ".join(texts[k] for k in part)])[0], self.kind)
@@ -128,10 +130,12 @@ class WordTokenizer:
     def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
         """Ids of each text with the end id, as little-endian integers of ``kind``."""
         end = np.array([end_id], self.kind).tobytes()
-        if pc.any(pc.match_substring(texts, "<|")).as_py():  # may hold a special token's string: not lower-cased
-            plain = texts
-        else:
-            plain = pc.ascii_lower(texts)
+        plain = pc.ascii_lower(texts)
+        whole = np.zeros(len(texts), bool)
+        for name in self.added:
+            whole |= pc.match_substring(plain, name).to_numpy(zero_copy_only=False)
+        if whole.any():
+            plain = pc.if_else(pa.array(whole), "", plain)
         sizes = pc.binary_length(texts).to_numpy()
         out: list[bytes] = []
         begin = 0
@@ -139,6 +143,8 @@ class WordTokenizer:
             stop = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), BYTES_AT_ONCE)))
             out += self._some(plain.slice(begin, stop - begin), end)
             begin = stop
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.array(self._plain([texts[k].as_py()])[0], self.kind).tobytes() + end
         return out
 
 
@@ -305,10 +311,9 @@ def frequency_table(coded: DataFrame, kind: str) -> Table | None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(total))
+            own[: len(total)] += total
+            total = own
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 

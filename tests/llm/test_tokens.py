@@ -94,8 +94,9 @@ def test_rans_one_symbol_many_symbols_and_damage():
 
 def test_words_as_the_library():
     own, whole, rng = ans.word_tokenizer(WORDS), Tokenizer.from_file(WORDS), random.Random(3)
-    whole.encode_special_tokens = True
-    texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a <|endoftext|> B", "X" * 500]
+    texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["X" * 500]
+    some = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext|", "<| endoftext |>", "<|endoftext|><|startoftext|>", "<<|endoftext|>>"]
+    texts += [x.replace("#", m) for m in some for x in ("#", "a # B", "A#b", " #", "# ", "é#\n# Words of its own", "# x " * 50, "\x01#\x01")]
     for t, ids in zip(texts, own.encode(pa.array(texts), 2)):
         assert np.frombuffer(ids, own.kind).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2], repr(t)
 
