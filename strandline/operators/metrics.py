@@ -1,6 +1,7 @@
 """Exact classification metrics, for all groups (cohort, model, fold, split) in one job.
 
-Rows are first summed by group and distinct score, so the windows run over distinct scores, not over rows.
+Rows are first summed by group and distinct score. Running sums over the scores of a group are sums of score bands before
+a band, plus running sums inside it, so no group has to fit one task.
 """
 
 from __future__ import annotations
@@ -9,33 +10,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bands of equal width between 0 and 1; scores beyond belong to the outer ones.
+BANDS = 256
+
+
 def by_score(rows: DataFrame, by: list[str]) -> DataFrame:
     """(group..., score, pos, neg)."""
     return rows.filter("score is not null and label is not null").groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
+def running(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(group..., score, pos, neg, tp, fp, p, n): by_score() with the sums of its own and all higher scores, and of all."""
+    rows = by_score(rows, by).withColumn("__band", F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), F.floor(F.col("score") * BANDS))))
+    bands = rows.groupBy(*by, "__band").agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))  # BANDS rows a group at most
+    whole = Window.partitionBy(*by)
+    higher = whole.orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select(
+        *by, "__band", F.coalesce(F.sum("__pos").over(higher), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__neg").over(higher), F.lit(0)).alias("__fp"),
+        F.sum("__pos").over(whole).alias("p"), F.sum("__neg").over(whole).alias("n"),
+    )
+    down = Window.partitionBy(*by, "__band").orderBy(F.desc("score"))
+    inner = rows.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    same = [inner[c].eqNullSafe(bands[c]) for c in [*by, "__band"]]
+    joined = inner.join(bands, same)
+    return joined.select(*[inner[c] for c in [*by, "score", "pos", "neg"]], (F.col("tp") + F.col("__tp")).alias("tp"), (F.col("fp") + F.col("__fp")).alias("fp"), "p", "n")
+
+
 def auroc(rows: DataFrame, by: list[str]) -> DataFrame:
     """Share of (positive, negative) pairs in order, ties as half; null with one class only."""
-    below = F.sum("neg").over(Window.partitionBy(*by).orderBy("score")) - F.col("neg")
-    pairs = by_score(rows, by).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    pairs = running(rows, by).withColumn("won", F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2))
     return pairs.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def pr_curve(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(group..., score, precision, recall) at each distinct score from the highest down."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*by)
-    sums = by_score(rows, by).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)})
-    sums = sums.filter("p > 0 and n > 0")
-    return sums.select(*by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("p")).alias("recall"))
+    """(group..., score, precision, recall) at each distinct score, with those of the next higher one (p0, r0)."""
+    sums = running(rows, by).filter("p > 0 and n > 0")
+    tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    return sums.select(
+        *by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("p")).alias("recall"),
+        F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0)).alias("p0"), (tp0 / F.col("p")).alias("r0"),
+    )
 
 
 def auprc(rows: DataFrame, by: list[str]) -> DataFrame:
     """(group..., auprc, minrp): trapezoids under the curve from (recall 0, precision 1); best of the smaller of the two."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    curve = pr_curve(rows, by).withColumns({"r0": F.coalesce(F.lag("recall").over(down), F.lit(0.0)), "p0": F.coalesce(F.lag("precision").over(down), F.lit(1.0))})
     area = (F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2
-    return curve.groupBy(*by).agg(F.sum(area).alias("auprc"), F.max(F.least("precision", "recall")).alias("minrp"))
+    return pr_curve(rows, by).groupBy(*by).agg(F.sum(area).alias("auprc"), F.max(F.least("precision", "recall")).alias("minrp"))
 
 
 def log_loss(rows: DataFrame, by: list[str], clip: float = 1e-7) -> DataFrame:

@@ -43,6 +43,11 @@ def fit_score(rows: DataFrame, kind: str, fit_on: Iterable[str] = ("train", "val
     return scored.select(key, "label", vector_to_array("probability")[1].alias("score")), model
 
 
+def fit_protocol(rows: DataFrame, kind: str, grid: bool, key: str = "series", **params: float) -> tuple[DataFrame, Model]:
+    """For a grid of parameters: fit on train, score val. For the final model: fit on train and val, score test."""
+    return fit_score(rows, kind, ("train",), "val", key, **params) if grid else fit_score(rows, kind, ("train", "val"), "test", key, **params)
+
+
 def importances(model: Model, names: list[str]) -> DataFrame:
     """(feature, importance), largest first."""
     rows = sorted(zip(names, map(float, model.featureImportances.toArray())), key=lambda r: (-r[1], r[0]))

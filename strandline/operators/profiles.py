@@ -5,61 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalar import days, ratio
+from strandline.functions.scalar import days, plus_days, ratio
 
 WINDOWS = (15, 30, 90, 180, 365, 730)
 
 
-def before_end(events: DataFrame, encounters: DataFrame) -> DataFrame:
-    """Events of each encounter's entity up to its end, with the days before it."""
-    own = events.select("entity", "item", "ts")
-    joined = encounters.select("entity", "encounter", "admit", "disch").join(own, "entity").filter("ts <= disch")
-    return joined.withColumn("ago", days(F.col("ts"), F.col("disch")))
+def as_of(rows: DataFrame, points: DataFrame, by: list[str], running: dict[str, Column]) -> DataFrame:
+    """points (by..., at, after, ...) with running aggregates over the rows (by..., at, ...) before each.
+
+    Rows at a point's own time count if ``after`` is true. One sort of rows and points together by group and time, so a
+    group of many rows costs its size and not rows times points.
+    """
+    marked = rows.withColumn("__turn", F.lit(1)).unionByName(points.withColumn("__turn", F.when(F.col("after"), 2).otherwise(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy(*by).orderBy("at", "__turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return marked.select("*", *[c.over(so_far).alias(name) for name, c in running.items()]).filter("__turn <> 1").drop("__turn")
 
 
 def encounter_profile(events: DataFrame, encounters: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """One row for each encounter with events: first and last, lengths in days, counts, and counts in each window.
+    """One row for each encounter with events up to its end: first and last, lengths in days, counts, and counts in each window.
 
-    Summed by encounter and item first: an item is in a window if its latest event is, so no distinct count is needed.
+    Events of a window are the difference of two running counts; an item is in a window if its latest event is.
     """
-    rows = before_end(events, encounters)
-    items = rows.groupBy("encounter", "item").agg(
-        F.min("ts").alias("first"),
-        F.max("ts").alias("last"),
-        F.max(days(F.col("admit"), F.col("disch"))).alias("los"),
-        F.max("ago").alias("lod"),
-        F.min("ago").alias("latest"),
-        F.max(days(F.col("ts"), F.col("admit"))).alias("pre"),
-        F.count("*").alias("n"),
-        F.count_if(F.col("ts") < F.col("admit")).alias("before"),
-        *[F.count_if(F.col("ago") <= w).alias(f"n_{w}") for w in windows],
+    ends = encounters.select("entity", "encounter", "admit", "disch")
+    # Running counts by entity: at the end, just before each window's begin, and just before the admission.
+    begun = events.groupBy("entity", F.col("encounter").alias("of")).agg(F.min("ts").alias("at"))
+    rows = events.select("entity", F.col("ts").alias("at"), F.lit(1).alias("event"), F.lit(0).alias("begun"))
+    rows = rows.unionByName(begun.select("entity", "at", F.lit(0).alias("event"), F.lit(1).alias("begun")))
+    places = [("n", F.col("disch"), True), ("before", F.col("admit"), False), *[(f"n_{w}", plus_days(F.col("disch"), -w), False) for w in windows]]
+    points = ends.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.alias("at"), F.lit(after).alias("after")) for name, at, after in places])).alias("p"))
+    counted = as_of(
+        rows,
+        points.select("entity", "encounter", "admit", "disch", "p.name", "p.at", "p.after"),
+        ["entity"],
+        {"events": F.sum("event"), "seen": F.sum("begun"), "first": F.min(F.when(F.col("event") == 1, F.col("at"))), "last": F.max(F.when(F.col("event") == 1, F.col("at")))},
     )
-    per_window = [x for w in windows for x in (F.sum(f"n_{w}").alias(f"n_events_{w}"), F.count_if(F.col("latest") <= w).alias(f"n_items_{w}"))]
-    # An encounter of the entity is among those seen if its first event is: one row for each encounter to join.
-    begun = events.groupBy("entity", F.col("encounter").alias("of_encounter")).agg(F.min("ts").alias("begun"))
-    seen = encounters.select("entity", "encounter", "disch").join(begun, "entity").filter("begun <= disch")
-    seen = seen.groupBy("encounter").agg(F.count("of_encounter").alias("n_encounters"))
-    out = items.groupBy("encounter").agg(
-        F.min("first").alias("first_event"),
-        F.max("last").alias("last_event"),
-        F.max("los").alias("los"),
-        F.max("lod").alias("lod"),
-        F.greatest(F.max("pre"), F.lit(0.0)).alias("pre_days"),
-        F.count("*").alias("n_items"),
-        F.sum("n").alias("n_events"),
-        F.sum("before").alias("n_before"),
-        (F.sum("n") - F.sum("before")).alias("n_during"),
+
+    def at(name: str, column: str) -> Column:
+        return F.max(F.when(F.col("name") == name, F.col(column)))
+
+    per = counted.groupBy("entity", "encounter").agg(
+        at("n", "first").alias("first_event"), at("n", "last").alias("last_event"), F.max("admit").alias("admit"), F.max("disch").alias("disch"), at("n", "seen").alias("n_encounters"),
+        at("n", "events").alias("n_events"), *[F.coalesce(at(name, "events"), F.lit(0)).alias(f"__{name}") for name, *_ in places[1:]],
+    ).filter("n_events > 0")
+    # The latest event of each item, by entity and item.
+    pairs = events.select("entity", "item").distinct().join(ends, "entity")
+    latest = as_of(
+        events.select("entity", "item", F.col("ts").alias("at"), F.col("ts").alias("event_at")),
+        pairs.select("entity", "item", "encounter", F.col("disch").alias("at"), F.lit(True).alias("after")),
+        ["entity", "item"],
+        {"latest": F.max("event_at")},
+    ).filter("latest is not null")
+    items = latest.groupBy("entity", "encounter").agg(F.count("*").alias("n_items"), *[F.count_if(F.col("latest") >= plus_days(F.col("at"), -w)).alias(f"n_items_{w}") for w in windows])
+    per_window = [x for w in windows for x in ((F.col("n_events") - F.col(f"__n_{w}")).alias(f"n_events_{w}"), F.col(f"n_items_{w}"))]
+    return per.join(items, ["entity", "encounter"]).select(
+        "encounter",
+        "first_event",
+        "last_event",
+        days(F.col("admit"), F.col("disch")).alias("los"),
+        days(F.col("first_event"), F.col("disch")).alias("lod"),
+        F.greatest(days(F.col("first_event"), F.col("admit")), F.lit(0.0)).alias("pre_days"),
+        "n_items",
+        "n_events",
+        F.col("__before").alias("n_before"),
+        (F.col("n_events") - F.col("__before")).alias("n_during"),
         *per_window,
+        "n_encounters",
     )
-    return out.join(seen, "encounter")
 
 
 def item_counts(events: DataFrame, encounters: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """(encounter, window, item, n): events of each item in each window before the end.
 
-    All windows are counted in one aggregate; only its rows are spread by window.
+    Time is cut into pieces as long as the longest window: an encounter's events are in its end's piece or the one
+    before, so only these meet, however far back an entity's events go. All windows are counted in one aggregate; only
+    its rows are spread by window.
     """
-    counts = before_end(events, encounters).groupBy("encounter", "item").agg(*[F.count_if(F.col("ago") <= w).alias(f"n_{w}") for w in windows])
+    width = max(windows)
+
+    def piece(ts: str) -> Column:
+        return F.floor(days(F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) / width)
+
+    own = events.select("entity", "item", "ts", piece("ts").alias("piece"))
+    ends = encounters.select("entity", "encounter", "disch", F.explode(F.array(piece("disch"), piece("disch") - 1)).alias("piece"))
+    near = ends.join(own, ["entity", "piece"]).filter((F.col("ts") <= F.col("disch")) & (F.col("ts") >= plus_days(F.col("disch"), -width)))
+    counts = near.groupBy("encounter", "item").agg(*[F.count_if(F.col("ts") >= plus_days(F.col("disch"), -w)).alias(f"n_{w}") for w in windows])
     spread = counts.select("encounter", "item", F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"n_{w}").alias("n")) for w in windows])).alias("x"))
     return spread.select("encounter", "x.window", "item", "x.n").filter("n > 0")
 

@@ -43,16 +43,23 @@ def trajectory_rows(encounters: DataFrame, first_dates: DataFrame, edges: DataFr
 def edge_stats(rows: DataFrame) -> DataFrame:
     """Per edge: rows by label; its entities, women among them, mean age, deaths; mean whole days from d1 to d2 of positives."""
     gap = F.floor(days(F.col("d1_at"), F.col("d2_at")))
-    each = rows.groupBy("d1", "d2").agg(F.count_if(F.col("label") == 0).alias("n_neg"), F.count_if(F.col("label") == 1).alias("n_pos"))
-    people = rows.groupBy("d1", "d2", "entity").agg(F.first("gender").alias("gender"), F.first("age").alias("age"), F.first("dod").alias("dod"), F.max(F.when(F.col("label") == 1, gap)).alias("gap"))
-    of_people = people.groupBy("d1", "d2").agg(
+    people = rows.groupBy("d1", "d2", "entity").agg(
+        F.first("gender").alias("gender"),
+        F.first("age").alias("age"),
+        F.first("dod").alias("dod"),
+        F.max(F.when(F.col("label") == 1, gap)).alias("gap"),
+        F.count_if(F.col("label") == 0).alias("neg"),
+        F.count_if(F.col("label") == 1).alias("pos"),
+    )
+    return people.groupBy("d1", "d2").agg(
+        F.sum("neg").alias("n_neg"),
+        F.sum("pos").alias("n_pos"),
         F.count("*").alias("entities"),
         F.count_if(F.col("gender") == "F").alias("females"),
         F.avg("age").alias("mean_age"),
         F.avg("gap").alias("mean_days"),
         F.count_if(F.col("dod").isNotNull()).alias("deaths"),
     )
-    return each.join(of_people, ["d1", "d2"])
 
 
 def large_enough(stats: DataFrame, more_pos: int = 10, more_neg: int = 50) -> DataFrame:

@@ -10,9 +10,11 @@ from strandline.functions.scalar import hours, plus_days
 from strandline.operators import codes as C
 from strandline.operators import firsts, intervals, labels, trajectory
 from strandline.plans import cohorts as K
-from strandline.plans.registry import query
+from strandline.plans.registry import ORACLES, query
+from strandline.schemas import COHORT_COLUMNS, EVENTS
 from strandline.sources import readers
 from strandline.sources.fixtures import Tables
+from strandline.sources.scratch import scratch, written
 
 
 def r6(name: str, alias: str | None = None):
@@ -65,14 +67,33 @@ def _(t: Tables) -> DataFrame:
     return t.stays.select("entity", "encounter", "stay", "intime", "outtime", r6("los"), "unit")
 
 
-@query("io_proc_events", "SELECT stay, item, ts FROM ev JOIN st USING (encounter) WHERE item % 2 = 0")
+@query("io_proc_events", "SELECT stay, item, ts FROM pev")
 def _(t: Tables) -> DataFrame:
-    return t.events.filter("item % 2 = 0").join(t.stays.select("encounter", "stay"), "encounter").select("stay", "item", "ts")
+    return t.proc_events
 
 
-@query("io_input_events", "SELECT stay, item, ts, value FROM ev JOIN st USING (encounter) WHERE item % 3 = 0")
+@query("io_input_events", "SELECT stay, item, ts, value FROM iev")
 def _(t: Tables) -> DataFrame:
-    return t.events.filter("item % 3 = 0").join(t.stays.select("encounter", "stay"), "encounter").select("stay", "item", "ts", "value")
+    return t.input_events
+
+
+@query("io_code_list", "SELECT DISTINCT code FROM px ORDER BY code LIMIT 47")
+def _(t: Tables) -> DataFrame:
+    """A semicolon-separated file with all procedure codes in order, of which the first 47 are read."""
+    path = scratch(t.spark, "code-list")
+    listed = t.procedures.select(F.col("code").alias("icd_code"), F.concat(F.lit("Procedure "), "code").alias("title")).distinct()
+    listed.coalesce(1).sortWithinPartitions("icd_code").write.options(header=True, sep=";").csv(path)
+    return readers.read_code_list(t.spark, path, "icd_code", 47)
+
+
+@query("io_split_lists", "SELECT DISTINCT split, entity FROM spl")
+def _(t: Tables) -> DataFrame:
+    """Three lists of ids, one id a line, written and read."""
+    path = scratch(t.spark, "split-lists")
+    names = ("train", "val", "test")
+    for name in names:
+        t.splits.filter(F.col("split") == name).select(F.col("entity").cast("string")).distinct().write.text(f"{path}/{name}")
+    return readers.read_split_lists(t.spark, {name: f"{path}/{name}" for name in names})
 
 
 @query("io_edges", "SELECT d1, d2, rr, diff_days FROM edg")
@@ -97,12 +118,16 @@ def _(t: Tables) -> DataFrame:
 
 @query("ev_clean_store", "SELECT entity, encounter, item, ts, value FROM ev WHERE value IS NOT NULL AND item NOT IN (50800, 50805, 50811)")
 def _(t: Tables) -> DataFrame:
-    return readers.clean_events(t.events, (50800, 50805, 50811))
+    path = scratch(t.spark, "events")
+    readers.write_event_store(t.events, path, (50800, 50805, 50811))
+    return t.spark.read.schema(EVENTS).parquet(path)
 
 
-@query("ev_read_pushdown", "SELECT entity, encounter, item, ts, value FROM ev WHERE entity IN (SELECT entity FROM ent WHERE age > 90)")
+@query("ev_read_pushdown", "SELECT entity, encounter, item, ts, value FROM ev WHERE value IS NOT NULL AND entity IN (SELECT entity FROM ent WHERE age > 90)")
 def _(t: Tables) -> DataFrame:
-    return t.events.join(t.entities.filter("age > 90").select("entity"), "entity", "left_semi").select("entity", "encounter", "item", "ts", "value")
+    path = scratch(t.spark, "events")
+    readers.write_event_store(t.events, path)
+    return readers.read_event_store(t.spark, path, t.entities.filter("age > 90"))
 
 
 @query(
@@ -117,11 +142,21 @@ def _(t: Tables) -> DataFrame:
 SUMMARY = "SELECT cohort, count(*) AS n, count(DISTINCT entity) AS entities, CAST(sum(label) AS BIGINT) AS positives, round(avg(label) * 100, 6) AS percent FROM c GROUP BY cohort"
 
 
-@query("cohort_sink", f", c AS (SELECT CASE WHEN gender = 'F' THEN 'women' ELSE 'men' END AS cohort, entity, {DIED.format(28)} AS label FROM sp s) {SUMMARY}")
-@query("agg_cohort_summary", f", c AS (SELECT CASE WHEN gender = 'F' THEN 'women' ELSE 'men' END AS cohort, entity, {DIED.format(28)} AS label FROM sp s) {SUMMARY}")
+BY_GENDER = f", c AS (SELECT CASE WHEN gender = 'F' THEN 'women' ELSE 'men' END AS cohort, s.*, {DIED.format(28)} AS label FROM sp s)"
+
+
+def by_gender(t: Tables) -> DataFrame:
+    return t.stay_people.withColumns({"cohort": F.when(F.col("gender") == "F", "women").otherwise("men"), "label": labels.died_within(28)})
+
+
+@query("cohort_sink", BY_GENDER + "SELECT cohort, entity, encounter, stay, intime, outtime, race, round(los, 6) AS los, gender, age, dod, label FROM c")
+def _(t: Tables) -> DataFrame:
+    return readers.write_cohorts(by_gender(t), scratch(t.spark, "cohorts")).withColumn("los", F.round("los", 6))
+
+
+@query("agg_cohort_summary", BY_GENDER + SUMMARY)
 def _(t: Tables) -> DataFrame:
-    rows = t.stay_people.withColumns({"cohort": F.when(F.col("gender") == "F", "women").otherwise("men"), "label": labels.died_within(28)})
-    return readers.cohort_summary(rows)
+    return readers.cohort_summary(by_gender(t))
 
 
 # --- predicates ----------------------------------------------------------------------------------------------------
@@ -224,7 +259,7 @@ def _(t: Tables) -> DataFrame:
 @query("exclude_entities_of", "SELECT encounter FROM enc WHERE entity NOT IN (SELECT entity FROM st) AND entity NOT IN (SELECT entity FROM px)")
 @query("cohort_all", "SELECT encounter FROM enc WHERE entity NOT IN (SELECT entity FROM st) AND entity NOT IN (SELECT entity FROM px)")
 def _(t: Tables) -> DataFrame:
-    return K.everyone_else(t.encounters, t.stays, t.procedures).select("encounter")
+    return K.everyone_else(t.encounters, [t.stays, t.procedures]).select("encounter")
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------
@@ -269,9 +304,10 @@ def _(t: Tables) -> DataFrame:
     return intervals.lookback_events(t.events, t.encounters, by_day=True).withColumn("minute", F.round("minute", 6))
 
 
-@query("feature_sink", f"SELECT item, count(*) AS n, round(avg(value), 6) AS mean FROM ({LOOKBACK}) GROUP BY item")
+@query("feature_sink", f"SELECT l.*, cohort FROM ({LOOKBACK}) l JOIN spl USING (encounter)")
 def _(t: Tables) -> DataFrame:
-    return intervals.lookback_events(t.events, t.encounters).groupBy("item").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    rows = intervals.lookback_events(t.events, t.encounters).join(t.splits.select("encounter", "cohort"), "encounter")
+    return readers.write_features(rows, scratch(t.spark, "features")).withColumn("minute", F.round("minute", 6))
 
 
 @query("join_interval_anchor", f"SELECT stay, item, value, round(h, 6) AS hours FROM {SEV} WHERE h BETWEEN -6 AND 24")
@@ -378,11 +414,21 @@ def _(t: Tables) -> DataFrame:
 BIG = TRAJECTORY + STATS + "SELECT cohort, entity, encounter, label FROM tr JOIN es USING (d1, d2) WHERE n_pos > 10 AND n_neg > 50"
 
 
+def large_trajectories(t: Tables) -> DataFrame:
+    """The rows are written once; the statistics and the result read them."""
+    rows = written(trajectories(t).select("cohort", "d1", "d2", "entity", "encounter", "admit", "age", "gender", "dod", "d1_at", "d2_at", "label"), "trajectories")
+    large = trajectory.large_enough(trajectory.edge_stats(rows)).select("d1", "d2")
+    return rows.join(large, ["d1", "d2"], "left_semi")
+
+
 @query("cohort_trajectory", BIG)
+def _(t: Tables) -> DataFrame:
+    return large_trajectories(t).select("cohort", "entity", "encounter", "label")
+
+
 @query("edge_cohort_sink", BIG)
-def cohort_trajectory(t: Tables) -> DataFrame:
-    rows = trajectories(t)
-    return rows.join(trajectory.large_enough(trajectory.edge_stats(rows)).select("d1", "d2"), ["d1", "d2"], "left_semi").select("cohort", "entity", "encounter", "label")
+def _(t: Tables) -> DataFrame:
+    return readers.write_cohorts(large_trajectories(t), scratch(t.spark, "edge-cohorts"), COHORT_COLUMNS).select("cohort", "entity", "encounter", "label")
 
 
 @query("edge_select", "SELECT d1, d2, rr, diff_days FROM edg WHERE (d1, d2) IN (('A00', 'B01'), ('C02', 'H00'))")
@@ -630,3 +676,52 @@ SELECT entity, encounter, label FROM l WHERE label IS NOT NULL""",
 )
 def _(t: Tables) -> DataFrame:
     return K.aplasia(t.people, t.codes, t.procedures, t.events, F.col("value") < 0.3, C.matches(("000",)), CHEMO, 300).select("entity", "encounter", "label")
+
+
+def arguments(t: Tables) -> dict[str, dict]:
+    """Tables and parameters of every registered cohort, as the queries of single cohorts have them."""
+    stays = {"stays": t.stay_people, "codes": t.codes}
+    events = t.events.join(t.stays.select("encounter", "stay"), "encounter")
+    text = F.when(F.col("item") == 50803, "Afib (Atrial Fibrillation)").when(F.col("item") == 50806, "a-flutter").otherwise("Sinus rhythm")
+    chemo = {"encounters": t.people, "codes": t.codes, "procedures": t.procedures, "p": CHEMO}
+    many = ("A001", "B012", "C023", "D034", "E005", "F016", "G027")
+    return {
+        "aki": stays | {"encounters": t.encounters, "events": t.events, "procedures": events, "p": K.KidneyInjury(item=50801, dialysis=(50802,), chronic=("B",), black=("BLACK",))},
+        "alc_cirrhosis": stays | {"exact": ("A001", "B012", "C023", "D004", "E015")},
+        "aplasia": chemo | {"events": t.events, "low": F.col("value") < 0.3, "transfused": C.matches(("000",)), "days_after": 300},
+        "af": stays | {"procedures": t.procedures, "rhythms": events.withColumn("text", text), "history": ("B001", "B012"), "surgery": ("002",)},
+        "bone_tumor": stays | {"prefixes": ("E", "F01")},
+        "gi_bleed": stays | {"inputs": events, "items": readers.items_by_label(t.items, "PRBC", "PACKED RBC"), "exact": (*many, "H031")},
+        "hf_af": stays | {"failure": many, "prefixes": ("A", "B"), "exact": ("C001",)},
+        "immunocompromised": stays | {"prefixes": ("B", "C0", "D02"), "min_hours": 30},
+        "liver_cirrhosis": stays | {"encounters": t.encounters, "procedures": t.procedures, "rules": LIVER},
+        "everyone_else": {"encounters": t.encounters, "cohorts": [t.stays, t.procedures]},
+        "mi": stays | {"prefixes": ("A0", "B01")},
+        "neutropenic_fever": chemo | {"fever": ("A",), "neutropenia": ("B",), "days_after": 400},
+        "obesity_pneumonia": stays | {"events": t.events, "prefixes": ("D", "E", "F"), "heights": (50801, 50802, 50803), "weights": (50804, 50805, 50806)},
+        "pneumonia": stays | {"encounters": t.encounters, "prefixes": ("A", "B", "C")},
+        "prostate_cancer": {"encounters": t.people, "codes": t.codes, "cancer": "C011", "hyperplasia": "F022", "family": "C01"},
+        "thrombosis": stays | {"cancer": ("C", "D"), "history": ("C04",), "clots": ("G0",), "pregnancy": ("H03",)},
+        "pressure_ulcer": {"stays": t.stay_people, "events": events, "items": (50802, 50804)},
+        "uti": stays | {"prefixes": ("C0", "D01")},
+    }
+
+
+#: The queries of single cohorts under other names than the registry's.
+OTHER_NAMES = {"everyone_else": "cohort_all", "prostate_cancer": "cohort_prostate"}
+
+
+def registry_sql() -> str:
+    """Every cohort's own SQL, counted. The common tables come before the first select."""
+    parts = []
+    for name in K.COHORTS:
+        label = "NULL" if name == "everyone_else" else "label"
+        own = ORACLES[OTHER_NAMES.get(name, f"cohort_{name}")]
+        parts.append(f"SELECT '{name}' AS cohort, count(*) AS n, CAST(count(DISTINCT encounter) AS BIGINT) AS encounters, CAST(coalesce(sum({label}), 0) AS BIGINT) AS positives FROM ({own})")
+    return ", every AS (" + " UNION ALL ".join(parts) + ") SELECT * FROM every WHERE n > 0"
+
+
+@query("cohort_registry", registry_sql())
+def _(t: Tables) -> DataFrame:
+    rows = K.extract(["all"], arguments(t)).groupBy("cohort")
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("encounter").alias("encounters"), F.coalesce(F.sum("label"), F.lit(0)).alias("positives"))

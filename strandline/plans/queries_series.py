@@ -278,14 +278,11 @@ def _(t: Tables) -> DataFrame:
     return rounded(S.variant(scaled(t), "MD"), "x")
 
 
-@query("ts_flatten_concat", GRID + ", o AS (SELECT series, x, row_number() OVER (PARTITION BY series ORDER BY bin, block, item) - 1 AS place FROM vr) SELECT series, place, round(x, 6) AS x FROM o WHERE series % 10 = 0")
-def _(t: Tables) -> DataFrame:
-    # Arrays of the series whose number ends in 0, one row a feature.
-    own = S.flatten(scaled(t).filter("series % 10 = 0"))
-    return rounded(own.select("series", F.posexplode("features").alias("place", "x")), "x").withColumn("place", F.col("place").cast("long"))
+FLAT = GRID + ", o AS (SELECT series, x, row_number() OVER (PARTITION BY series ORDER BY bin, block, item) - 1 AS place FROM vr) SELECT series, place, round(x, 6) AS x FROM o"
 
 
-@query("ts_flatten_concat_all", GRID + ", o AS (SELECT series, x, row_number() OVER (PARTITION BY series ORDER BY bin, block, item) - 1 AS place FROM vr) SELECT series, place, round(x, 6) AS x FROM o")
+@query("ts_flatten_concat", FLAT)
+@query("ts_flatten_concat_all", FLAT)
 def _(t: Tables) -> DataFrame:
     own = S.flatten(scaled(t))
     return rounded(own.select("series", F.posexplode("features").alias("place", "x")), "x").withColumn("place", F.col("place").cast("long"))
@@ -402,39 +399,22 @@ def _(t: Tables) -> DataFrame:
     return S.fixed_windows(t.series).withColumn("w", F.col("w").cast("long"))
 
 
-PICK = ANC + ", pk AS (SELECT series, t1 FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY t1) AS k FROM an) WHERE k % 9 = 0)"
-
-
-def picked(t: Tables) -> DataFrame:
-    return S.anchors(t.series).withColumn("k", F.expr("row_number() over (partition by series order by t1)")).filter("k % 9 = 0").select("series", "t1")
+SAMPLES = ANC + """, i AS (SELECT p.series, p.t1, minute, row_number() OVER (PARTITION BY p.series, p.t1 ORDER BY minute DESC, item DESC, value DESC) AS k FROM ser JOIN an p ON p.series = ser.series AND minute BETWEEN t1 - 10080 AND t1)
+    SELECT series, CAST(round(t1 * 6e7) AS BIGINT) AS t1, count(*) AS n, round(sum((minute - greatest(t1 - 10080, 0)) / 10080 * 2 - 1), 5) AS times FROM i WHERE k <= 1000 GROUP BY series, t1"""
 
 
-@query(
-    "ts_forecast_sample",
-    PICK + """, i AS (SELECT p.series, p.t1, minute, row_number() OVER (PARTITION BY p.series, p.t1 ORDER BY minute DESC, item DESC, value DESC) AS k FROM ser JOIN pk p ON p.series = ser.series AND minute BETWEEN t1 - 10080 AND t1)
-    SELECT series, CAST(round(t1 * 6e7) AS BIGINT) AS t1, count(*) AS n, round(sum((minute - greatest(t1 - 10080, 0)) / 10080 * 2 - 1), 5) AS times FROM i WHERE k <= 12 GROUP BY series, t1""",
-)
+@query("ts_forecast_sample", SAMPLES)
+@query("ts_forecast_sample_all", SAMPLES)
 def _(t: Tables) -> DataFrame:
-    inputs, _targets = S.forecast_samples(t.series, picked(t), most=12)
+    inputs, _targets = S.forecast_samples(t.series, S.anchors(t.series))
     return inputs.groupBy("series", "t1").agg(F.count("*").alias("n"), F.round(F.sum("time"), 5).alias("times")).withColumn("t1", F.round(F.col("t1") * 6e7).cast("long"))
 
 
-@query("ts_forecast_target", PICK + "SELECT p.series, CAST(round(t1 * 6e7) AS BIGINT) AS t1, item, arg_min(value, (minute, value)) AS target FROM ser JOIN pk p ON p.series = ser.series AND minute > t1 AND minute <= t1 + 1440 GROUP BY p.series, t1, item")
-def _(t: Tables) -> DataFrame:
-    return in_us(S.forecast_samples(t.series, picked(t))[1], "t1")
-
-
-@query(
-    "ts_forecast_sample_all",
-    ANC + """, i AS (SELECT p.series, p.t1, minute, row_number() OVER (PARTITION BY p.series, p.t1 ORDER BY minute DESC, item DESC, value DESC) AS k FROM ser JOIN an p ON p.series = ser.series AND minute BETWEEN t1 - 10080 AND t1)
-    SELECT series, CAST(round(t1 * 6e7) AS BIGINT) AS t1, count(*) AS n, round(sum((minute - greatest(t1 - 10080, 0)) / 10080 * 2 - 1), 5) AS times FROM i WHERE k <= 1000 GROUP BY series, t1""",
-)
-def _(t: Tables) -> DataFrame:
-    inputs, _targets = S.forecast_samples(t.series, S.anchors(t.series))
-    return inputs.groupBy("series", "t1").agg(F.count("*").alias("n"), F.round(F.sum("time"), 5).alias("times")).withColumn("t1", F.round(F.col("t1") * 6e7).cast("long"))
+TARGETS = ANC + "SELECT p.series, CAST(round(t1 * 6e7) AS BIGINT) AS t1, item, arg_min(value, (minute, value)) AS target FROM ser JOIN an p ON p.series = ser.series AND minute > t1 AND minute <= t1 + 1440 GROUP BY p.series, t1, item"
 
 
-@query("ts_forecast_target_all", ANC + "SELECT p.series, CAST(round(t1 * 6e7) AS BIGINT) AS t1, item, arg_min(value, (minute, value)) AS target FROM ser JOIN an p ON p.series = ser.series AND minute > t1 AND minute <= t1 + 1440 GROUP BY p.series, t1, item")
+@query("ts_forecast_target", TARGETS)
+@query("ts_forecast_target_all", TARGETS)
 def _(t: Tables) -> DataFrame:
     return in_us(S.forecast_samples(t.series, S.anchors(t.series))[1], "t1")
 

@@ -13,6 +13,7 @@ from strandline.plans.queries_series import rounded
 from strandline.plans.registry import query
 from strandline.sources import readers
 from strandline.sources.fixtures import Tables
+from strandline.sources.scratch import scratch, shared_folder, written
 
 # --- metrics -------------------------------------------------------------------------------------------------------
 
@@ -90,11 +91,15 @@ def folds(t: Tables) -> DataFrame:
 
 
 @query("split_kfold_entity", FOLDS + "SELECT * FROM kf")
-@query("split_sink", FOLDS + "SELECT * FROM kf")
 def _(t: Tables) -> DataFrame:
     return folds(t)
 
 
+@query("split_sink", FOLDS + "SELECT * FROM kf")
+def _(t: Tables) -> DataFrame:
+    return readers.write_splits(folds(t), scratch(t.spark, "splits"))
+
+
 @query("split_kfold_sizes", FOLDS + "SELECT cohort, fold, split, label, count(*) AS n FROM kf GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     return folds(t).groupBy("cohort", "fold", "split", "label").agg(F.count("*").alias("n"))
@@ -167,7 +172,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Rows: the objective after each pass that improved it."""
     members = t.codes.select(F.substring("code", 1, 3).alias("cohort"), "entity")
-    checkpointed(t)
+    shared_folder(t.spark)
     _groups, history = splits.optimise(members, passes=8)
     return t.spark.createDataFrame([(k, float(v)) for k, v in enumerate(history)], "pass long, objective double")
 
@@ -178,14 +183,6 @@ def _(t: Tables) -> DataFrame:
     return splits.extend_to_all(own, t.encounters).groupBy("split").agg(F.count("*").alias("n"))
 
 
-def checkpointed(t: Tables) -> None:
-    """Spark's checkpoint folder: the cluster's; only where none is named (one machine) a temporary one."""
-    import tempfile
-
-    if not t.spark.conf.get("spark.checkpoint.dir", None):
-        t.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-strandline-"))
-
-
 @query("sample_oversample", ", c AS (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM lab) SELECT label, greatest(p, n) AS n FROM c, (SELECT DISTINCT label FROM lab)")
 def _(t: Tables) -> DataFrame:
     return splits.oversample(t.series_labels).groupBy("label").agg(F.count("*").alias("n"))
@@ -239,12 +236,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("catalog_sink", CHAR + "SELECT cohort, d1_type FROM chy WHERE n_pos * 0.5 >= 3 AND n_neg * 0.5 >= 3")
 def _(t: Tables) -> DataFrame:
-    return G.reliable(G.characterise(t.catalog), 0.5, 3).filter("reliable = 1").select("cohort", "d1_type")
+    summary, reliable = readers.write_catalog(G.reliable(G.characterise(t.catalog), 0.5, 3), scratch(t.spark, "catalog"))
+    return summary.join(reliable, "cohort", "left_semi").select("cohort", "d1_type")
 
 
 @query("catalog_scan", "SELECT DISTINCT cohort FROM spl")
 def _(t: Tables) -> DataFrame:
-    return t.splits.select("cohort").distinct()
+    path = scratch(t.spark, "cohorts")
+    readers.write_cohorts(t.splits, path)
+    return readers.cohorts_on_disk(t.spark, path)
 
 
 EQUAL = ", ba AS (SELECT cohort, n_pos + n_neg AS n, min(n_pos + n_neg) OVER () AS lo, CAST(max(n_pos + n_neg) OVER () - min(n_pos + n_neg) OVER () AS DOUBLE) / 4 AS s FROM cat), bb AS (SELECT cohort, n, CASE WHEN n <= lo + s THEN 'very_low' WHEN n <= lo + s * 2 THEN 'low' WHEN n <= lo + s * 3 THEN 'medium' ELSE 'high' END AS band FROM ba)"
@@ -355,10 +355,26 @@ def _(t: Tables) -> DataFrame:
 FIRSTP = ", ff AS (SELECT *, rank() OVER (PARTITION BY cohort, model, fold ORDER BY CASE prefix WHEN 'new' THEN 1 ELSE 2 END) AS k FROM res) SELECT cohort, model, prefix, fold, depth, round(auroc, 6) AS auroc FROM ff WHERE k = 1"
 
 
+RESULT = ["cohort", "model", "prefix", "fold", "depth", "auroc"]
+
+
+def stored_results(t: Tables) -> str:
+    """Results of two runs in one folder, one appended to the other."""
+    path, runs = scratch(t.spark, "results"), t.results.select(RESULT)
+    for prefix in ("old", "new"):
+        readers.append_results(runs.filter(F.col("prefix") == prefix), path)
+    return path
+
+
+@query("results_sink", "SELECT cohort, model, prefix, fold, depth, round(auroc, 6) AS auroc FROM res")
+def _(t: Tables) -> DataFrame:
+    return rounded(readers.read_results(t.spark, stored_results(t), t.results.select(RESULT).schema), "auroc")
+
+
 @query("results_scan", FIRSTP)
-@query("results_sink", FIRSTP)
 def _(t: Tables) -> DataFrame:
-    return rounded(readers.first_prefix(t.results, ["new", "old"], ["auroc"]), "auroc").select("cohort", "model", "prefix", "fold", "depth", "auroc")
+    rows = readers.read_results(t.spark, stored_results(t), t.results.select(RESULT).schema, ["new", "old"], ["auroc"])
+    return rounded(rows, "auroc").select(RESULT)
 
 
 @query("agg_set_overlap", ", w AS (SELECT cohort, avg(auroc) FILTER (WHERE model = '1-URGENT') AS a, avg(auroc) FILTER (WHERE model = '5-LOW') AS b FROM res GROUP BY cohort) SELECT count(*) FILTER (WHERE a > b) AS better, count(*) FILTER (WHERE a = b) AS equal, count(*) FILTER (WHERE a < b) AS worse FROM w WHERE a IS NOT NULL AND b IS NOT NULL")
@@ -551,7 +567,7 @@ def features(t: Tables) -> DataFrame:
     """(series, features, label, split) of the event series, as vectors."""
     train = t.series_labels.filter("split = 'train'")
     grid = S.standardise(S.fill(S.grid_delta(S.discretise(S.with_bins(t.series, 72)))), train)
-    return models.as_vector(S.flatten(grid)).join(t.series_labels, "series").cache()
+    return written(models.as_vector(S.flatten(grid)).join(t.series_labels, "series"), "features")
 
 
 def scored(t: Tables, kind: str, **params: float) -> DataFrame:
@@ -564,11 +580,18 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("ml_logistic")
-@query("ml_fit_protocol")
 def _(t: Tables) -> DataFrame:
     return scored(t, "logistic")
 
 
+@query("ml_fit_protocol")
+def _(t: Tables) -> DataFrame:
+    """Both branches of the protocol; a quarter of the training series are for validation."""
+    rows = features(t).withColumn("split", F.when((F.col("split") == "train") & (F.col("series") % 5 == 3), "val").otherwise(F.col("split")))
+    parts = [models.fit_protocol(rows, "logistic", grid)[0].withColumn("branch", F.lit("grid" if grid else "final")) for grid in (True, False)]
+    return rounded(parts[0].unionByName(parts[1]), "score")
+
+
 @query("ml_gbt")
 def _(t: Tables) -> DataFrame:
     return scored(t, "gbt", maxIter=5)
@@ -581,10 +604,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("ml_importance")
 def _(t: Tables) -> DataFrame:
-    rows = features(t)
-    _scores, model = models.fit_score(rows, "random_forest", numTrees=20)
-    n = len(rows.select("features").first()[0])
-    return models.importances(model, [f"f{k}" for k in range(n)])
+    _scores, model = models.fit_score(features(t), "random_forest", numTrees=20)
+    return models.importances(model, [f"f{k}" for k in range(model.numFeatures)])
 
 
 @query("ml_nested_cv")
@@ -602,13 +623,13 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Inertia and silhouette for several numbers of clusters."""
     rows = features(t)
-    found = [(k, *models.clusters(rows, k)[1:]) for k in (2, 3, 4)]
+    found = [(k, *models.clusters(rows, k)[1:]) for k in range(2, 11)]
     return t.spark.createDataFrame(found, "k long, inertia double, silhouette double")
 
 
 @query("st_medoids")
 def _(t: Tables) -> DataFrame:
-    return models.medoids(models.clusters(features(t), 4)[0])
+    return models.medoids(models.clusters(features(t), 100)[0])
 
 
 @query("st_pca")

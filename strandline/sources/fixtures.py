@@ -76,6 +76,16 @@ class Tables:
         own = self.encounters.select("entity", "encounter", "admit")
         return lines.join(own, "encounter").selectExpr("entity", "encounter", "item", "admit + make_dt_interval(0, -48, minutes, 0) as ts", "value")
 
+    @cached_property
+    def proc_events(self) -> DataFrame:
+        """Procedures of stays: events of the even items."""
+        return self.events.filter("item % 2 = 0").join(self.stays.select("encounter", "stay"), "encounter").select("stay", "item", "ts")
+
+    @cached_property
+    def input_events(self) -> DataFrame:
+        """What stays were given: events of every third item."""
+        return self.events.filter("item % 3 = 0").join(self.stays.select("encounter", "stay"), "encounter").select("stay", "item", "ts", "value")
+
     @cached_property
     def items(self) -> DataFrame:
         found = self.raw("part").selectExpr("50800 + p_partkey % 12 as item", "p_type").groupBy("item").agg(F.min("p_type").alias("kind"))
@@ -152,6 +162,8 @@ st AS (SELECT entity, encounter, encounter * 10 + 1 AS stay, admit + INTERVAL 4
     CASE encounter % 4 WHEN 0 THEN 'Medical ICU' WHEN 1 THEN 'CCU' WHEN 2 THEN 'CORONARY CARE' END AS unit, death FROM enc WHERE encounter % 3 = 0),
 ev AS (SELECT enc.entity, enc.encounter, 50800 + l_partkey % 12 AS item, admit - INTERVAL 48 HOUR + to_minutes((l_partkey * 37 + l_linenumber * 101) % 20160) AS ts,
     CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_quantity / 10 END AS value FROM lineitem JOIN enc ON l_orderkey = enc.encounter),
+pev AS (SELECT stay, item, ts FROM ev JOIN st USING (encounter) WHERE item % 2 = 0),
+iev AS (SELECT stay, item, ts, value FROM ev JOIN st USING (encounter) WHERE item % 3 = 0),
 itm AS (SELECT 50800 + p_partkey % 12 AS item, CASE WHEN any_value(50800 + p_partkey % 12) % 3 = 0 THEN 'Packed RBC ' ELSE 'Creatinine ' END || any_value(50800 + p_partkey % 12) || ' ' || min(p_type) AS label FROM part GROUP BY 50800 + p_partkey % 12),
 edg AS (SELECT chr(CAST(65 + n_nationkey % 8 AS INT)) || lpad(CAST(n_nationkey % 5 AS VARCHAR), 2, '0') AS d1, chr(CAST(65 + (3 * n_nationkey + 1) % 8 AS INT)) || lpad(CAST((2 * n_nationkey + 1) % 5 AS VARCHAR), 2, '0') AS d2,
     1 + CAST(n_nationkey AS DOUBLE) / 10 AS rr, 90.5 + 37.25 * CAST(n_nationkey AS DOUBLE) AS diff_days FROM nation),

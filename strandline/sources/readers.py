@@ -55,12 +55,28 @@ def clean_events(events: DataFrame, banned_items: tuple[int, ...] = ()) -> DataF
     return kept.filter(~F.col("item").isin(*banned_items)) if banned_items else kept
 
 
+#: Up to so many wanted entities are written into a scan's filter.
+PUSHED_IDS = 1000
+
+
 def write_event_store(events: DataFrame, path: str, banned_items: tuple[int, ...] = ()) -> None:
     """Cleaned events as Parquet, in ranges of the entity, so that reads of a few entities skip most row groups."""
     kept = clean_events(events, banned_items)
     kept.repartitionByRange("entity", "ts").sortWithinPartitions("entity", "ts").write.mode("overwrite").parquet(path)
 
 
+def read_event_store(spark: SparkSession, path: str, members: DataFrame) -> DataFrame:
+    """Events of some entities from a store: a few ids are pushed into the scan as a list, many as their range, which
+    the store's order turns into few row groups; then a semi-join keeps the wanted ones."""
+    events = spark.read.schema(schemas.EVENTS).parquet(path)
+    wanted = members.select("entity").distinct()
+    some = [r[0] for r in wanted.filter("entity is not null").limit(PUSHED_IDS + 1).collect()]
+    if len(some) <= PUSHED_IDS:
+        return events.filter(F.col("entity").isin(some))
+    least, most = wanted.agg(F.min("entity"), F.max("entity")).first()
+    return events.filter(F.col("entity").between(least, most)).join(wanted, "entity", "left_semi")
+
+
 def events_of_entities(events: DataFrame, members: DataFrame) -> DataFrame:
     """Events with a value of some entities; a missing encounter becomes 0, other missing values drop the row."""
     kept = events.filter(F.col("value").isNotNull()).join(members.select("entity").distinct(), "entity", "left_semi")
@@ -88,11 +104,21 @@ def items_by_label(items: DataFrame, *texts: str, every: bool = False) -> DataFr
     return items.filter(test)
 
 
-def write_cohorts(cohorts: DataFrame, path: str, columns: list[str] = schemas.STAY_COHORT_COLUMNS) -> DataFrame:
-    """Write all cohorts to one table, a folder for each; returns their summary."""
+def write_cohorts(cohorts: DataFrame, path: str, columns: list[str] = schemas.STAY_COHORT_COLUMNS, files: int = 16) -> DataFrame:
+    """Write the declared columns of all cohorts to one table, a folder of so many files for each; returns the table."""
     kept = schemas.conform(cohorts, columns, ("cohort", "entity", "label"))
-    kept.repartition("cohort", F.pmod(F.xxhash64("entity"), F.lit(16))).write.mode("overwrite").partitionBy("cohort").parquet(path)
-    return cohort_summary(cohorts)
+    _write_parts(kept, path, ["cohort"], F.pmod(F.xxhash64("entity"), F.lit(files)))
+    return _read_parts(cohorts.sparkSession, path, kept.schema)
+
+
+def _write_parts(rows: DataFrame, path: str, by: list[str], spread: Column, mode: str = "overwrite") -> None:
+    """One folder for each value of the columns by, whose rows several tasks write."""
+    rows.repartition(*by, spread).write.mode(mode).partitionBy(*by).parquet(path)
+
+
+def _read_parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """With the types as declared: a partition's value is else taken for a number where it looks like one."""
+    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema])).parquet(path)
 
 
 def cohort_summary(cohorts: DataFrame) -> DataFrame:
@@ -105,18 +131,40 @@ def cohort_summary(cohorts: DataFrame) -> DataFrame:
     )
 
 
-def write_features(features: DataFrame, path: str) -> None:
-    features.repartition("cohort", F.pmod(F.xxhash64("encounter"), F.lit(16))).write.mode("overwrite").partitionBy("cohort").parquet(path)
+def write_features(features: DataFrame, path: str, files: int = 16) -> DataFrame:
+    """Long features, a folder for each cohort; returns the table."""
+    _write_parts(features, path, ["cohort"], F.pmod(F.xxhash64("encounter"), F.lit(files)))
+    return _read_parts(features.sparkSession, path, features.schema)
+
+
+def write_splits(splits: DataFrame, path: str, files: int = 4) -> DataFrame:
+    """Folds of all cohorts as one table, a folder for each split; returns the table."""
+    _write_parts(splits, path, ["split"], F.pmod(F.xxhash64("cohort", "entity"), F.lit(files)))
+    return _read_parts(splits.sparkSession, path, splits.schema)
+
+
+def write_catalog(catalog: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """A characterised catalog, and the list of its reliable cohorts; returns both tables."""
+    spark = catalog.sparkSession
+    catalog.write.mode("overwrite").parquet(f"{path}/summary")
+    summary = spark.read.schema(catalog.schema).parquet(f"{path}/summary")
+    summary.filter("reliable = 1").select("cohort").write.mode("overwrite").parquet(f"{path}/reliable")
+    return summary, spark.read.schema("cohort string").parquet(f"{path}/reliable")
+
+
+#: What a result's folder says; cohorts, of which there are thousands, are a column of the files.
+RESULT_FOLDERS = ["prefix", "model", "fold"]
 
 
 def append_results(results: DataFrame, path: str) -> None:
-    """Result rows under folders of what they are results of."""
-    results.write.mode("append").partitionBy("cohort", "model", "prefix", "fold").parquet(path)
+    """Result rows of a run, added to those that are there."""
+    _write_parts(results, path, RESULT_FOLDERS, F.lit(0), "append")
 
 
-def read_results(spark: SparkSession, path: str, prefixes: list[str], metrics: list[str]) -> DataFrame:
-    """Results of the first of the prefixes that a (cohort, model, fold) has; metrics as numbers, others as null."""
-    return first_prefix(spark.read.parquet(path), prefixes, metrics)
+def read_results(spark: SparkSession, path: str, schema: T.StructType, prefixes: list[str] | None = None, metrics: list[str] = ()) -> DataFrame:
+    """Results of all runs; or of the first of the prefixes that a (cohort, model, fold) has, from their folders only."""
+    rows = _read_parts(spark, path, schema)
+    return rows if prefixes is None else first_prefix(rows.filter(F.col("prefix").isin(prefixes)), prefixes, metrics)
 
 
 def first_prefix(results: DataFrame, prefixes: list[str], metrics: list[str]) -> DataFrame:

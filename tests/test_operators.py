@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import pvalues, scalar
 from strandline.operators import catalog, codes, firsts, intervals, labels, metrics, models, selection, series, splits, trajectory
+from strandline.plans import cohorts
 from strandline.schemas import conform
 from strandline.sources import readers
 from strandline.streaming import incremental
@@ -231,11 +232,13 @@ def test_readers_sinks_and_stream(spark, tmp_path):
     lists = readers.read_split_lists(spark, {n: str(tmp_path / n) for n in ("train", "held_out")})
     assert {(r.split, r.entity) for r in lists.collect()} == {("train", 1), ("train", 2), ("held_out", 3)}
     rows = spark.createDataFrame([("a-b", 1, 10, 1, 0), ("a-b", 2, 20, 0, 0)], "cohort string, entity long, encounter long, label int, extra int")
-    assert readers.write_cohorts(rows, str(tmp_path / "cohorts")).first().percent == 50
+    table = readers.write_cohorts(rows, str(tmp_path / "cohorts"))
+    assert table.schema["cohort"].dataType.simpleString() == "string"
+    assert readers.cohort_summary(table).first().percent == 50
     assert [r.cohort for r in readers.cohorts_on_disk(spark, str(tmp_path / "cohorts")).collect()] == ["a-b"]
     results = spark.createDataFrame([("c", "m", "old", 0, "0.5"), ("c", "m", "new", 0, "bad"), ("c", "m", "old", 1, "0.7")], "cohort string, model string, prefix string, fold int, auroc string")
     readers.append_results(results, str(tmp_path / "results"))
-    back = readers.read_results(spark, str(tmp_path / "results"), ["new", "old"], ["auroc"])
+    back = readers.read_results(spark, str(tmp_path / "results"), results.schema, ["new", "old"], ["auroc"])
     assert {(r.fold, r.prefix, r.auroc) for r in back.collect()} == {(0, "new", None), (1, "old", 0.7)}
     ev = spark.createDataFrame([(1, 10, 5, day(0), 1.0), (1, 10, 6, day(0), None), (1, 10, 7, day(0), 2.0)], "entity long, encounter long, item long, ts timestamp_ntz, value double")
     ev.write.parquet(str(tmp_path / "in"))
@@ -245,6 +248,52 @@ def test_readers_sinks_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "clean")).count() == 1
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_event_store_of_some_entities(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(readers, "PUSHED_IDS", most)
+    ev = spark.createDataFrame([(e, e * 10, 5, day(e), 1.0) for e in range(20)], "entity long, encounter long, item long, ts timestamp_ntz, value double")
+    readers.write_event_store(ev, str(tmp_path / "store"))
+    found = readers.read_event_store(spark, str(tmp_path / "store"), spark.createDataFrame([(3,), (7,), (None,), (99,)], "entity long"))
+    assert sorted(r.entity for r in found.collect()) == [3, 7]
+    assert readers.read_event_store(spark, str(tmp_path / "store"), spark.createDataFrame([], "entity long")).count() == 0
+
+
+def test_curves_equal_plain_sums(spark):
+    """Scores in one band, in many, beyond 0..1, and tied; a null group and one with a single class."""
+    rng = random.Random(9)
+    rows = [(g, 1 + rng.randint(-3, 3) / 1000 if g == "one" else rng.randint(-20, 120) / 100, rng.randint(0, 1)) for g in ("one", "many", None) for _ in range(300)]
+    rows += [("single", rng.random(), 1) for _ in range(5)]
+    frame = spark.createDataFrame(rows, "g string, score double, label int")
+    areas = {r.g: r.auroc for r in metrics.auroc(frame, ["g"]).collect()}
+    curves = {r.g: (r.auprc, r.minrp) for r in metrics.auprc(frame, ["g"]).collect()}
+    for g in ("one", "many", None):
+        pos, neg = ([s for h, s, y in rows if h == g and y == k] for k in (1, 0))
+        assert abs(areas[g] - sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)) < 1e-9
+        points = [(0.0, 1.0)]
+        for t in sorted({*pos, *neg}, reverse=True):
+            tp, fp = sum(p >= t for p in pos), sum(n >= t for n in neg)
+            points.append((tp / len(pos), tp / (tp + fp)))
+        area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+        assert abs(curves[g][0] - area) < 1e-9 and abs(curves[g][1] - max(min(p) for p in points[1:])) < 1e-9
+    assert areas["single"] is None and "single" not in curves
+
+
+def test_protocol_branches(spark):
+    rng = random.Random(8)
+    rows = [(k, [float(k % 2) + rng.random(), rng.random()], k % 2, ("train", "train", "val", "test")[k // 2 % 4]) for k in range(80)]
+    own = models.as_vector(spark.createDataFrame(rows, "series long, features array<double>, label int, split string"))
+    turned = own.withColumn("label", F.when(F.col("split") == "val", 1 - F.col("label")).otherwise(F.col("label")))
+    scores = {(grid, x is own): {r.series: r.score for r in models.fit_protocol(x, "logistic", grid)[0].collect()} for grid in (True, False) for x in (own, turned)}
+    assert set(scores[True, True]) == {r[0] for r in rows if r[3] == "val"} and set(scores[False, True]) == {r[0] for r in rows if r[3] == "test"}
+    assert scores[True, True] == scores[True, False]  # the grid's model has not seen the validation labels
+    assert scores[False, True] != scores[False, False]
+
+
+def test_registry_names(spark):
+    with pytest.raises(ValueError, match="nothing"):
+        cohorts.extract(["mi", "nothing"], {})
+
+
 def test_conform(spark):
     rows = spark.createDataFrame([(1, 2, 3)], "encounter long, entity long, other int")
     assert conform(rows, ["entity", "encounter", "label"]).columns == ["entity", "encounter"]
@@ -273,4 +322,4 @@ def test_whole_series_queries(spark, sf_dir):
     anchors = {(r.series, r.t1) for r in rows["ts_anchor_times"].collect()}
     samples = {(r.series, r.t1): r.n for r in rows["ts_forecast_sample_all"].collect()}
     assert set(samples) == anchors and max(samples.values()) > 12
-    assert set(rows["ts_forecast_target"].collect()) < set(rows["ts_forecast_target_all"].collect())
+    assert set(rows["ts_forecast_target"].collect()) == set(rows["ts_forecast_target_all"].collect())
