@@ -7,19 +7,20 @@ estimate the bits a letter costs in that language; the language with the fewest
 
 The automata become plain transition tables (a missing transition starts a new phrase), so many texts are parsed at
 once, one table look-up per letter and language. Every letter of the samples is a symbol of its own: a label's table has
-columns for its ``DENSE`` most frequent letters, and its other letters' transitions are looked up in sorted arrays, so
-scripts with thousands of letters cost no wide tables. Letters that no sample has are one symbol; runs of other characters are one separator. Texts are cut into stretches of ``STRETCH`` symbols that are parsed
-each from its start, so one long text is as quick as many short ones; phrases of all stretches add up.
+columns for its ``DENSE`` most frequent letters (fewer where there are so many labels that all tables would exceed
+``TABLE_BYTES``), and its other letters' transitions are looked up in sorted arrays, about 1.5 MB a label. So neither
+scripts of thousands of letters nor hundreds of labels make large tables. Letters that no sample has are one symbol;
+runs of other characters are one separator. By definition a text is parsed in stretches of ``STRETCH`` symbols, each from
+its start, so one long text is as quick as many short ones; phrases of all stretches add up.
 
-Fitting reads at most ``ROWS_PER_LANGUAGE`` rows of each label and up to ``SAMPLE_SYMBOLS`` symbols of each; the model's
-size is bounded by that and by the number of labels. Rows of 200 to ``LONGEST_SAMPLE`` characters come first (the
-smallest by a hash of the id); a label with too few of them also gets the beginnings of longer texts, then shorter
-texts, if they have letters. Everything else covers whole texts of all rows.
+Fitting reads at most ``ROWS_PER_LANGUAGE`` rows of each label, of each at most its first ``LONGEST_SAMPLE`` characters,
+and up to ``SAMPLE_SYMBOLS`` symbols in all. Rows of ``SHORT`` or more characters come first (the smallest by a hash of the
+id), then shorter ones, if they have letters. Everything else covers whole texts of all rows.
 
 Cases: null texts and texts without a letter give ``und`` and score 0; ties go to the first label in order; rows
 with a null label teach nothing; with no labelled rows at all every text is ``und``, and ``with_language`` keeps the
-texts that have letters; repeated rows repeat in the
-result; an empty table gives an empty result; other columns are not read.
+texts that have letters; without held-out labelled rows it does so too; repeated rows repeat in the result; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,16 +36,22 @@ from pyspark.sql import functions as F
 from strandline.llm.common import keep_rows, map_arrow
 
 UNDETERMINED = "und"
-ROWS_PER_LANGUAGE = 48
-LONGEST_SAMPLE = 20_000
+ROWS_PER_LANGUAGE = 128
+SHORT, LONGEST_SAMPLE = 200, 2000
 SAMPLE_SYMBOLS = 40_000
-#: Letters of a label that have a column of its table; the others are looked up.
+#: Letters of a label that have a column of its table at most; the others are looked up. Bytes of all columns at most.
 DENSE = 61
+TABLE_BYTES = 256_000_000
 STRETCH = 2048
 #: Symbols that are parsed at a time.
 AT_ONCE = 2_000_000
 #: How sharply the score falls when another language parses nearly as well.
 SHARPNESS = 8
+#: For rejecting: least letters, rows that thresholds are taken from, share of them that has to be right, margin of bits.
+ENOUGH = 200
+CHECKED = 2000
+RIGHT = 0.999
+BITS_MARGIN = 1.9
 SEPARATOR, FOREIGN = 0, 1
 
 
@@ -105,10 +112,7 @@ class Table:
     keys: np.ndarray
     to: np.ndarray
     start: np.ndarray
-
-    @property
-    def rare(self) -> int:
-        return DENSE + 2
+    rare: int
 
     def step(self, state: np.ndarray, symbols: np.ndarray, columns: np.ndarray, some_rare: bool) -> np.ndarray:
         """Entries for states (as first entries of their rows) and symbols with their columns."""
@@ -122,30 +126,30 @@ class Table:
         return got
 
 
-def _table(step: list[dict[int, int]], symbols: list[int], n_symbols: int) -> Table:
+def _table(step: list[dict[int, int]], symbols: list[int], n_symbols: int, dense_letters: int) -> Table:
     counts = Counter(c for c in symbols if c > FOREIGN)
     column = np.full(n_symbols, FOREIGN, np.uint8)
     column[SEPARATOR] = SEPARATOR
     for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))):
-        column[c] = min(k, DENSE) + 2
-    width = DENSE + 3
+        column[c] = min(k, dense_letters) + 2
+    width = dense_letters + 3
     # A missing transition ends the phrase: the symbol is looked up from the start again.
     start = np.ones(n_symbols, np.int32)
     for c, to in step[0].items():
         start[c] = (to * width << 1) + 1
     first = np.ones(width, np.int32)
-    dense = np.flatnonzero((column != FOREIGN) & (column < DENSE + 2))
+    dense = np.flatnonzero((column != FOREIGN) & (column < dense_letters + 2))
     first[column[dense]] = start[dense]
     flat = np.tile(first, (len(step), 1))
     rare: list[tuple[int, int]] = []
     for s, out in enumerate(step):
         for c, to in out.items():
-            if column[c] < DENSE + 2:
+            if column[c] < dense_letters + 2:
                 flat[s, column[c]] = (to * width) << 1
             else:
                 rare.append((s * width * n_symbols + c, (to * width) << 1))
     rare.sort()
-    return Table(column, flat.ravel(), np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32), start)
+    return Table(column, flat.ravel(), np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32), start, dense_letters + 2)
 
 
 @dataclass
@@ -215,12 +219,10 @@ class Model:
                 state[:n] = got >> 1
             np.add.at(out[:, k], text, count + 1)
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Label and score of each text."""
-        if not self.labels:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Label, score, letters, and bits a letter in that language (0 without letters) of each text."""
         labels: list[str] = []
-        scores = [np.zeros(0)]
+        scores, letters, costs = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)]
         begin = 0
         while begin < len(texts):
             end, size = begin, 0
@@ -228,14 +230,21 @@ class Model:
                 size += len(texts[end] or "")
                 end += 1
             codes = [self.codes(t or "") for t in texts[begin:end]]
-            lettered = np.array([bool((c != SEPARATOR).any()) for c in codes], bool)
-            bits = self.phrases(codes) * np.array(self.logs)
-            least = np.maximum(bits.min(axis=1, keepdims=True), 1e-9)
-            score = 1 / ((least / np.maximum(bits, 1e-9)) ** SHARPNESS).sum(axis=1)
-            labels += [self.labels[k] if ok else UNDETERMINED for k, ok in zip(bits.argmin(axis=1), lettered)]
-            scores.append(np.where(lettered, score, 0.0))
+            own = np.array([np.count_nonzero(c != SEPARATOR) for c in codes], np.int64)
+            letters.append(own)
+            if self.labels:
+                bits = self.phrases(codes) * np.array(self.logs)
+                least = np.maximum(bits.min(axis=1, keepdims=True), 1e-9)
+                score = 1 / ((least / np.maximum(bits, 1e-9)) ** SHARPNESS).sum(axis=1)
+                labels += [self.labels[k] if n else UNDETERMINED for k, n in zip(bits.argmin(axis=1), own)]
+                scores.append(np.where(own > 0, score, 0.0))
+                costs.append(np.where(own > 0, bits.min(axis=1) / np.maximum(own, 1), 0.0))
+            else:
+                labels += [UNDETERMINED] * len(codes)
+                scores.append(np.zeros(len(codes)))
+                costs.append(np.zeros(len(codes)))
             begin = end
-        return labels, np.concatenate(scores)
+        return labels, np.concatenate(scores), np.concatenate(letters), np.concatenate(costs)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -244,16 +253,19 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, list[str]]]:
-    """A bounded number of rows of each label, chosen by length and a hash of the id: first within sixteen parts, then of those."""
+    """Rows of each label, twice SAMPLE_SYMBOLS characters and some more at most: chosen by length and a hash of the id,
+    first within eight parts, then of those."""
     size = F.length(text_col)
-    turn = F.when(size.between(200, LONGEST_SAMPLE), 0).when(size > LONGEST_SAMPLE, 1).otherwise(2)
+    turn = F.when(size >= SHORT, 0).otherwise(1)
     rows = labelled.filter(F.col(label_col).isNotNull() & ((turn == 0) | F.col(text_col).rlike(r"\p{L}")))
     rows = rows.select(F.col(label_col).cast("string").alias("label"), F.substring(text_col, 1, LONGEST_SAMPLE).alias("text"), turn.alias("turn"), F.xxhash64(id_col).alias("h"))
-    picks = rows.select("label", "turn", "h").withColumn("part", F.pmod("h", F.lit(16)))
+    picks = rows.select("label", "turn", "h", F.length("text").alias("n_chars")).withColumn("part", F.pmod("h", F.lit(8)))
     first = Window.partitionBy("label", "part").orderBy("turn", "h")
     then = Window.partitionBy("label").orderBy("turn", "h")
     picks = picks.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= ROWS_PER_LANGUAGE)
-    picks = picks.withColumn("n", F.row_number().over(then)).filter(F.col("n") <= ROWS_PER_LANGUAGE).select("label", "turn", "h")
+    picks = picks.withColumn("n", F.row_number().over(then)).filter(F.col("n") <= ROWS_PER_LANGUAGE)
+    picks = picks.withColumn("before", F.sum("n_chars").over(then.rowsBetween(Window.unboundedPreceding, -1)))
+    picks = picks.filter(F.coalesce("before", F.lit(0)) < 2 * SAMPLE_SYMBOLS).select("label", "turn", "h")
     # At most ROWS_PER_LANGUAGE rows of each label: small enough to broadcast whatever the input's size.
     keys = ["label", "turn", "h"]
     got = rows.join(F.broadcast(picks.distinct()), keys).dropDuplicates(keys).collect()
@@ -275,32 +287,71 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
             if len(symbols) >= SAMPLE_SYMBOLS:
                 break
         symbols = symbols[:SAMPLE_SYMBOLS]
-        model.tables.append(_table(suffix_automaton(symbols), symbols, len(alphabet) + 2))
+        step = suffix_automaton(symbols)
+        dense = max(0, min(DENSE, TABLE_BYTES // (4 * len(step) * len(samples)) - 3))
+        model.tables.append(_table(step, symbols, len(alphabet) + 2, dense))
         model.logs.append(float(np.log2(max(2, len(symbols)))))
     return model
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of each row of docs."""
+_FOUND = "lang_pred string, score double, letters long, bits_per_letter double"
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] = ()) -> DataFrame:
+    """(id, also..., lang_pred, score, letters, bits_per_letter) of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [id_col, *also]
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        labels, score = shared.value.judge(batch.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
+        found = shared.value.judge(batch.column(len(kept)).to_pylist())
+        columns = [*batch.columns[: len(kept)], pa.array(found[0], pa.string()), *map(pa.array, found[1:])]
+        return pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "letters", "bits_per_letter"])
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
-    return map_arrow(docs.select(id_col, text_col), fn, schema)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return map_arrow(docs.select(*kept, text_col), fn, f"{schema}, {_FOUND}")
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """Rows of docs that have a language, with a score above the least; without any label, rows that have letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+@dataclass
+class Gate:
+    """A model, and what rejects a text of ENOUGH letters or more: a label that a prediction with at least this score
+    contradicts, or more bits a letter than this in the best language."""
+
+    model: Model
+    sure: float = np.inf
+    most_bits: float = np.inf
+
+    def passes(self, texts: list[str | None], given: list[str | None]) -> np.ndarray:
+        labels, score, letters, bits = self.model.judge(texts)
+        known = set(self.model.labels)
+        against = np.array([g in known and g != p for g, p in zip(given, labels)], bool)
+        rejected = (letters >= ENOUGH) & (against & (score >= self.sure) | (bits > self.most_bits))
+        return (letters > 0) & ~rejected
+
+
+def fit_gate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Gate:
+    """Thresholds from labelled rows that are held out, CHECKED of them at most, by a hash of the id.
+
+    A prediction is sure from the least score on at which RIGHT of these rows are predicted right (never, if there is
+    none); a text may need BITS_MARGIN times the bits a letter that these rows need in the median.
+    """
+    rows = docs.filter(held_out(id_col) & F.col(label_col).isin(model.labels) & (F.length(text_col) >= ENOUGH))
+    rows = rows.select(id_col, F.col(label_col).cast("string").alias("label"), text_col).orderBy(F.xxhash64(id_col), id_col).limit(CHECKED)
+    found = identify(rows, model, id_col, text_col, ["label"]).filter(F.col("letters") >= ENOUGH).select("score", "bits_per_letter", (F.col("label") == F.col("lang_pred")).alias("right")).collect()
+    if not found:
+        return Gate(model)
+    found.sort(key=lambda r: -r["score"])
+    right = np.cumsum([r["right"] for r in found]) / np.arange(1, len(found) + 1)
+    enough = np.flatnonzero(right >= RIGHT)
+    sure = found[enough[-1]]["score"] if len(enough) else np.inf
+    return Gate(model, float(sure), BITS_MARGIN * float(np.median([r["bits_per_letter"] for r in found])))
+
+
+def with_language(docs: DataFrame, gate: Gate, text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """Rows of docs in a language, as they are: those without letters go, and what the gate rejects."""
+    shared = docs.sparkSession.sparkContext.broadcast(gate)
 
     def mask(batch: pa.RecordBatch) -> np.ndarray:
-        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-        if not shared.value.labels:
-            return np.array([bool((shared.value.codes(t or "") != SEPARATOR).any()) for t in texts], bool)
-        labels, score = shared.value.judge(texts)
-        return (np.array(labels) != UNDETERMINED) & (score > least_score)
+        text, label = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text_col, label_col))
+        return shared.value.passes(text, label)
 
     return keep_rows(docs, mask)

@@ -146,7 +146,9 @@ def test_language_held_out(spark, sf_dir, odd_docs, no_docs):
     model = langid.fit(langid.sample(docs))
     found = {r.doc_id: r for r in langid.identify(odd_docs, model).collect()}
     assert {k: found[k].lang_pred for k in (2, 3, 5)} == {k: "und" for k in (2, 3, 5)} and found[6].lang_pred != "und"
-    assert langid.with_language(odd_docs, model).columns == odd_docs.columns
+    kept = langid.with_language(odd_docs, langid.fit_gate(docs, model))
+    assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} <= {None, 1, 4, 6}
+    assert langid.with_language(no_docs, langid.fit_gate(no_docs, model)).count() == 0
     assert langid.identify(no_docs, model).count() == 0
     assert {r.lang_pred for r in langid.identify(odd_docs, langid.fit(langid.sample(no_docs))).collect()} == {"und"}
 
@@ -159,12 +161,47 @@ def test_languages_of_short_and_long_texts_only(spark):
     rows += [(100 + k, " ".join(rng.choice(de) for _ in range(5000)), "de") for k in range(3)] + [(200, "12 34", "xx"), (201, None, "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     samples = langid.sample(docs)
-    assert [(name, len(texts)) for name, texts in samples] == [("de", 3), ("en", 48)]
+    assert [(name, len(texts)) for name, texts in samples] == [("de", 3), ("en", 60)]
     assert max(len(t) for _, texts in samples for t in texts) == langid.LONGEST_SAMPLE
     found = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.fit(samples)).collect()}
     assert all(found[k] == lang for k, _, lang in rows if k < 200) and found[200] == found[201] == "und"
     none = langid.fit(langid.sample(docs.withColumn("lang", F.lit(None).cast("string"))))
-    assert sorted(r.doc_id for r in langid.with_language(docs, none).collect()) == [k for k, *_ in rows if k < 200]
+    assert sorted(r.doc_id for r in langid.with_language(docs, langid.fit_gate(docs, none)).collect()) == [k for k, *_ in rows if k < 200]
+
+
+def test_gate_against_its_definition(spark):
+    """Mislabelled and foreign texts go, short ones and those without a label stay; thresholds as recomputed from the rows."""
+    rng = random.Random(12)
+    words = {name: ["".join(rng.choice(signs) for _ in range(rng.randint(2, 7))) for _ in range(60)] for name, signs in (("aa", "abcdefg"), ("bb", "defghijk"), ("??", "стуфхцч"))}
+    rows = [(k, " ".join(rng.choice(words[name]) for _ in range(80)), name) for name in ("aa", "bb") for k in range(1000 * (name == "bb"), 1000 * (name == "bb") + 300)]
+    rows += [(5000, " ".join(words["aa"]), "bb"), (5001, " ".join(words["??"]), "aa"), (5002, "стуфх", "aa"), (5003, " ".join(words["aa"]), None), (5004, " ".join(words["bb"][:5]), "aa"), (5005, None, "aa"), (5006, "12", "aa")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, lang_pred string")
+    model = langid.fit(langid.sample(docs.filter(~langid.held_out() & (F.col("doc_id") < 5000))))
+    gate = langid.fit_gate(docs, model)
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0 and len(r[1] or "") >= langid.ENOUGH and r[2] in model.labels]
+    labels, score, letters, bits = model.judge([r[1] for r in own])
+    assert (letters >= langid.ENOUGH).all()
+    right = np.array([r[2] == p for r, p in zip(own, labels)])
+    assert gate.sure == min(s for s in score if right[score >= s].mean() >= langid.RIGHT)
+    assert abs(gate.most_bits - langid.BITS_MARGIN * np.median(bits)) < 1e-9
+    kept = {r.doc_id for r in langid.with_language(docs, gate).collect()}
+    assert {r[0] for r in rows} - kept == {5000, 5001, 5005, 5006}
+
+
+def test_stretches_and_small_tables(monkeypatch):
+    """A text is parsed in stretches from their starts; tables with fewer columns give the same phrases."""
+    rng = random.Random(13)
+    samples = [(name, ["".join(rng.choice(signs) for _ in range(3000))]) for name, signs in (("x", "abcd efgh"), ("y", "abчшщ 漢字"))]
+    model = langid.fit(samples)
+    text = "".join(rng.choice("abcdefgh漢字чшщ ") for _ in range(3 * langid.STRETCH))
+    codes = model.codes(text)
+    for n in (langid.STRETCH - 1, langid.STRETCH, langid.STRETCH + 1, 2 * langid.STRETCH + 1):
+        parts = [codes[k : min(k + langid.STRETCH, n)] for k in range(0, n, langid.STRETCH)]
+        assert (model.phrases([codes[:n]])[0] == model.phrases(parts).sum(axis=0)).all()
+    monkeypatch.setattr(langid, "TABLE_BYTES", 200_000)
+    small = langid.fit(samples)
+    assert all(t.flat.nbytes < u.flat.nbytes for t, u in zip(small.tables, model.tables))
+    assert (small.phrases([codes, codes[:70]]) == model.phrases([codes, codes[:70]])).all()
 
 
 def test_languages_of_many_scripts():
