@@ -1,9 +1,11 @@
 """Near copies and benchmark passages against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from strandline.llm import components, decontam, near, simhash
@@ -100,33 +102,62 @@ def planted(spark, sf_dir):
     return texts, [*items, (900, "only three words"), (901, None), (902, " ... ")]
 
 
-def test_windows_against_all_windows(spark, sf_dir):
+def plain_hits(texts, items):
+    """(text number, item id): first word, words and similarity of the best of all windows, by all texts and items."""
+    words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    want = {}
+    for item, text in items:
+        own = re.findall(r"[^\W_]+", (text or "").lower())
+        if not own:
+            continue
+        width = min(decontam.SHINGLE, len(own))
+        counts = Counter(tuple(own[k : k + width]) for k in range(len(own) - width + 1))
+        for n, doc in enumerate(words):
+            m = min(len(own), len(doc))
+            for w in range(len(doc) - m + 1 if m >= width else 0):
+                shared = sum((Counter(tuple(doc[k : k + width]) for k in range(w, w + m - width + 1)) & counts).values())
+                similarity = shared / (m + len(own) - 2 * width + 2 - shared)
+                if similarity >= decontam.SIMILARITY and similarity > want.get((n, item), (0, 0, 0))[2]:
+                    want[n, item] = w, m, similarity
+    return want
+
+
+@pytest.mark.parametrize("limits", [{}, {"CHUNK_SHINGLES": 100, "MOST_BITS": 1 << 10, "SPAN_AT_ONCE": 30, "CHARS_AT_ONCE": 2000}])
+def test_hits_against_all_windows(spark, sf_dir, monkeypatch, limits):
+    """Also in small chunks, and with a filter so full that it knows nearly everything."""
+    for name, value in limits.items():
+        monkeypatch.setattr(decontam, name, value)
     texts, items = planted(spark, sf_dir)
-    texts += ["Only THREE, words!", "x only three words y", ""]
-    block = decontam.items_of(items)
-    found = [{block.ids[k]: s for k, _, _, s in hit} for hit in decontam.search(texts, block)]
-    words, at = decontam.word_hashes(texts)
-    for n, (a, b) in enumerate(zip(at, at[1:])):
-        want = {}
-        for item, size, counts in zip(block.ids, block.sizes, block.counts):
-            width = min(decontam.SHINGLE, size)
-            shingles = decontam.shingle_hashes(words[a:b], width)
-            if not len(shingles):
-                continue
-            m = min(size, b - a) - width + 1
-            best = max((s / (m + size - width + 1 - s)) for s in (sum((Counter(shingles[w : w + m].tolist()) & counts).values()) for w in range(len(shingles) - m + 1)))
-            if best >= decontam.SIMILARITY:
-                want[item] = best
-        assert found[n] == want
-
-
-def test_contaminated_in_blocks_and_odd_rows(spark, sf_dir, odd_docs, no_docs, monkeypatch):
+    texts += ["Only THREE, words!", "x only three words y", "", "only three"]
+    texts[-4] += " ".join(t for _, t in items if t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    rows = decontam.contaminated(docs, benchmark).collect()
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in rows}
+    assert len(got) == len(rows) and got == plain_hits(texts, items)
+    assert {r.doc_id for r in decontam.clean_rows(docs, benchmark).collect()} == set(range(len(texts))) - {n for n, _ in got}
+
+
+def test_many_items_share_words(spark):
+    """5,000 items that have most shingles in common with others; each document holds one or two of them, some edited."""
+    rng = random.Random(8)
+    items = [(k, f"the following question number {k} of this set asks for {k % 7} and {k % 11} of them, so answer with {k * 31 % 997} and say why it is so") for k in range(5000)]
+    docs = []
+    for d in range(40):
+        one = items[rng.randrange(5000)][1].split()
+        if d % 2:
+            one[rng.randrange(len(one))] = "changed"
+        docs.append((d, " ".join(["before", *one, "after"] * (1 + d % 3 // 2))))
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.similarity) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    some = [x for x in items if any(n in got for n in ((d, x[0]) for d, _ in docs))] + items[:60]
+    assert len(got) >= 20 and {k: v for k, v in got.items()} == {k: v for k, v in plain_hits([t for _, t in docs], {x[0]: x for x in some}.values()).items()}
+
+
+def test_contaminated_odd_rows(spark, odd_docs, no_docs):
     benchmark = spark.createDataFrame([(k, f"item number {k} has these words and then {k * 7} more of them") for k in range(9)] + [(50, None), (51, "")], "item_id long, text string")
     docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame([(70, "before ITEM number 3 has these words, and then 21 more of them after"), (71, "item number 3 has other words")], "doc_id long, text string"))
     whole = {(r.doc_id, r.item_id, r.first_word) for r in decontam.contaminated(docs, benchmark).collect()}
     assert whole == {(70, 3, 1)}
-    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 3)
-    assert {(r.doc_id, r.item_id, r.first_word) for r in decontam.contaminated(docs, benchmark).collect()} == whole
     assert decontam.contaminated(no_docs, benchmark).count() == 0
     assert decontam.contaminated(docs, benchmark.limit(0)).count() == 0
     kept = decontam.clean_rows(docs, benchmark)
