@@ -11,9 +11,12 @@ one of the twenty choices of three blocks. In a group the rows are sorted by the
 only rows whose first distances are within the radius meet; the other columns of the table discard, and an exact
 comparison verifies.
 
-Equal fingerprints are one node, however many documents have them. Groups above ``CHUNK`` fingerprints are dealt by
-hash to chunks, and pairs of chunks are handled apart, so no task holds a whole hot group. From each group only the
-stars of its own components are emitted, never all its pairs.
+Equal fingerprints are one node, however many documents have them. A group above ``CHUNK`` fingerprints is dealt again by
+the same rule: the 32 bits that its members need not share are cut into six blocks, of which three are untouched. So a
+hot group costs twenty rows for each of its rows, whatever its size, and its parts agree on all but 16 bits or so. Parts
+that are still above ``CHUNK`` are dealt by the pivot table: to cells of ``BAND`` distances to the first ``CELL_PIVOTS``
+pivots, a row to its own band and the next of each, so that all pairs within the radius meet, and others do only if
+their distances are near. From each group only the stars of its own components are emitted, never all its pairs.
 
 Cases: null and empty texts have no words and fingerprint zero, which links like any other. Ties in the majority
 give a zero bit. Repeated rows give repeated result rows. A null id is never the smallest of a component that has
@@ -23,7 +26,7 @@ other ids. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +47,21 @@ CHUNK = 2048
 ROWS_AT_ONCE = 200_000
 
 
-def _blocks(parts: int = 6) -> list[int]:
-    """Masks of a 64-bit fingerprint's blocks."""
-    cuts = [64 * i // parts for i in range(parts + 1)]
-    return [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
+#: Bands are wider than the radius; so many pivots make cells.
+BAND, CELL_PIVOTS = 4, 2
 
 
-#: Choices of blocks left untouched by RADIUS differing bits, as masks.
-MASKS = np.array([sum(c) for c in combinations(_blocks(2 * RADIUS), RADIUS)], np.uint64)
+def _choices(bits: list[int]) -> list[int]:
+    """Masks of the halves of some bits that RADIUS differing ones can leave untouched: RADIUS of twice as many blocks."""
+    parts = 2 * RADIUS
+    cuts = [len(bits) * i // parts for i in range(parts + 1)]
+    blocks = [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+    return [sum(c) for c in combinations(blocks, RADIUS)]
+
+
+MASKS = np.array(_choices(list(range(64))), np.uint64)
+#: For each mask those of the bits outside it, for groups that are dealt again.
+AGAIN = np.array([_choices([b for b in range(64) if not int(m) >> b & 1]) for m in MASKS], np.uint64)
 PIVOT_FINGERPRINTS = np.random.default_rng(7).integers(0, 2**64, PIVOTS, np.uint64)
 
 
@@ -101,10 +111,14 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _linked_rows(group: np.ndarray, side: np.ndarray, cross: np.ndarray, mask: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+GROUP = ["mask", "part", "again", "subpart", "cell"]
+
+
+def _linked_rows(group: np.ndarray, mask: np.ndarray, again: np.ndarray, own: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group that link, for rows sorted by group and by distance to the first pivot.
 
-    A pair is taken in the first mask it agrees on only. In a cross group the two rows must be of different sides.
+    A pair is taken in the first mask it agrees on only, and of the cells where it meets in the last: there, for each
+    pivot, one of the two rows is in its own band (a bit of own).
     """
     distances = np.bitwise_count(fps[:, None] ^ PIVOT_FINGERPRINTS[None, :]).astype(np.int8)
     first = distances[:, 0]
@@ -116,9 +130,8 @@ def _linked_rows(group: np.ndarray, side: np.ndarray, cross: np.ndarray, mask: n
         other = at + step
         near = (group[at] == group[other]) & (first[other] - first[at] <= RADIUS)
         at, other = at[near], other[near]  # sorted: once a row is past its group or the radius, it stays so
-        i, j = at, other
-        keep = ~cross[i] | (side[i] != side[j])
-        i, j = i[keep], j[keep]
+        keep = (own[at] | own[other]) == (1 << CELL_PIVOTS) - 1
+        i, j = at[keep], other[keep]
         for p in range(1, PIVOTS):
             keep = np.abs(distances[i, p] - distances[j, p]) <= RADIUS
             i, j = i[keep], j[keep]
@@ -127,6 +140,7 @@ def _linked_rows(group: np.ndarray, side: np.ndarray, cross: np.ndarray, mask: n
         i, j, differ = i[keep], j[keep], differ[keep]
         if len(i):
             keep = np.argmax((differ[:, None] & MASKS[None, :]) == 0, axis=1) == mask[i]
+            keep &= (again[i] < 0) | (np.argmax((differ[:, None] & AGAIN[mask[i]]) == 0, axis=1) == again[i])
             left.append(i[keep])
             right.append(j[keep])
         step += 1
@@ -134,17 +148,17 @@ def _linked_rows(group: np.ndarray, side: np.ndarray, cross: np.ndarray, mask: n
 
 
 def _stars_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (mask, part, low, high, own, fp) sorted by the first four: links (a, b) from rows to their group's roots."""
+    """For rows (GROUP..., own, fp) sorted by group: links (a, b) from rows to their group's roots."""
 
     def stars(rows: pa.Table) -> pa.RecordBatch:
-        mask, part, low, high, own = (rows.column(k).to_numpy() for k in ("mask", "part", "low", "high", "own"))
+        keys = [rows.column(k).to_numpy() for k in GROUP]
         fps = rows.column("fp").to_numpy().view(np.uint64)
         new = np.ones(len(fps), bool)
-        new[1:] = (mask[1:] != mask[:-1]) | (part[1:] != part[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
         group = np.cumsum(new)
         order = np.lexsort((np.bitwise_count(fps ^ PIVOT_FINGERPRINTS[0]), group))
         group, fps = group[order], fps[order]
-        a, b = _linked_rows(group, own[order], (low != high)[order], mask[order], fps)
+        a, b = _linked_rows(group, keys[0][order], keys[2][order], rows.column("own").to_numpy()[order], fps)
         root = _roots(len(fps), a, b)
         hung = np.flatnonzero(root != np.arange(len(fps)))
         return pa.RecordBatch.from_arrays([pa.array(fps[hung].view(np.int64)), pa.array(fps[root[hung]].view(np.int64))], ["a", "b"])
@@ -157,7 +171,7 @@ def _stars_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         if count < ROWS_AT_ONCE:
             continue
         rows = pa.Table.from_batches(held)
-        keys = [rows.column(k).to_numpy() for k in ("mask", "part", "low", "high")]
+        keys = [rows.column(k).to_numpy() for k in GROUP]
         last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
         if len(last):  # the last group may go on in the next batch
             yield stars(rows.slice(0, last[-1] + 1))
@@ -167,22 +181,37 @@ def _stars_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield stars(pa.Table.from_batches(held))
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints of a table of distinct ``fp`` that connect what the radius connects."""
+def dealt(prints: DataFrame) -> DataFrame:
+    """(GROUP..., own, fp): every fingerprint of a table of distinct ``fp`` once for each group it belongs to."""
     masks = F.array(*[F.lit(int(m)) for m in MASKS.view(np.int64)])
     keyed = prints.select("fp", F.posexplode(masks).alias("mask", "bits")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("part"))
     sizes = keyed.groupBy("mask", "part").agg(F.count("*").alias("size")).filter("size > 1")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = (
-        keyed.join(sizes, ["mask", "part"])
-        .withColumn("chunks", chunks)
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("mask", "part", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "fp")
-    )
-    keys = ["mask", "part", "low", "high"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(_stars_of_groups, "a long, b long").distinct()
+    grouped = keyed.join(sizes, ["mask", "part"])
+    every = (1 << CELL_PIVOTS) - 1
+    small = grouped.filter(F.col("size") <= CHUNK).select("mask", "part", F.lit(-1).alias("again"), F.lit(0).cast("long").alias("subpart"), F.lit(0).alias("cell"), F.lit(every).alias("own"), "fp")
+    # Hot groups again, by the bits outside their mask.
+    inner = F.array(*[F.array(*[F.lit(int(m)) for m in row]) for row in AGAIN.view(np.int64)])
+    hot = grouped.filter(F.col("size") > CHUNK).select("fp", "mask", "part", F.posexplode(F.element_at(inner, F.col("mask") + 1)).alias("again", "bits"))
+    hot = hot.select("fp", "mask", "part", "again", F.col("fp").bitwiseAND(F.col("bits")).alias("subpart"))
+    subkey = ["mask", "part", "again", "subpart"]
+    counted = hot.join(hot.groupBy(*subkey).agg(F.count("*").alias("size")).filter("size > 1"), subkey)
+    # Of parts that are still hot, cells of bands of pivot distances: a row is in its own band and the next of each pivot.
+    bands = [F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p)))) / BAND).cast("int") for p in PIVOT_FINGERPRINTS.view(np.int64)[:CELL_PIVOTS]]
+    cells = []
+    for steps in product((0, 1), repeat=CELL_PIVOTS):
+        cell, own = F.lit(0), 0
+        for p, (band, step) in enumerate(zip(bands, steps)):
+            cell, own = cell * 100 + band + step + 1, own | (1 - step) << p
+        cells.append(F.struct(cell.alias("cell"), F.lit(own).alias("own")))
+    whole = F.array(F.struct(F.lit(0).alias("cell"), F.lit(every).alias("own")))
+    parts = counted.select("fp", *subkey, F.explode(F.when(F.col("size") <= CHUNK, whole).otherwise(F.array(*cells))).alias("x"))
+    return small.unionByName(parts.select(*subkey, "x.cell", "x.own", "fp"))
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """(a, b): links between different fingerprints of a table of distinct ``fp`` that connect what the radius connects."""
+    rows = dealt(prints).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return rows.mapInArrow(_stars_of_groups, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,9 +55,10 @@ def test_query_op10(spark, sf_dir):
     assert got == want
 
 
-def test_links_of_a_dense_group(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [64, 4])
+def test_links_of_a_dense_group(spark, monkeypatch, chunk):
     """Chains of few bits around one fingerprint, dealt to small chunks: components as by all pairs."""
-    monkeypatch.setattr(simhash, "CHUNK", 64)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     rng = np.random.default_rng(2)
     prints = {0, *(int(np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 9)).astype(np.uint64))) for _ in range(500))}
     prints = sorted(prints)
@@ -68,6 +69,27 @@ def test_links_of_a_dense_group(spark, monkeypatch):
     want = plain_components([int(x) for x in signed], prints)
     assert got == want
     assert links.count() < 40 * len(prints)
+    rows = simhash.dealt(spark.createDataFrame([(int(x),) for x in signed], "fp long"))
+    assert (rows.filter("cell > 0").count() > 0) == (chunk == 4)  # groups that are hot twice over
+
+
+def test_rows_of_a_hot_group(spark):
+    """20,000 prints that share half of their bits: rows in proportion to them, and the planted chains linked."""
+    rng = np.random.default_rng(3)
+    mask = simhash.MASKS[7]
+    prints = {int(x & ~mask) for x in rng.integers(0, 2**64, 20_000, np.uint64)}
+    chains = []
+    for x in sorted(prints)[:50]:
+        chains.append([x])
+        for _ in range(3):
+            flips = int(np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, simhash.RADIUS, replace=False).astype(np.uint64)))
+            chains[-1].append(chains[-1][-1] ^ flips)
+    prints |= {x for c in chains for x in c}
+    frame = spark.createDataFrame([(int(x),) for x in np.array(sorted(prints), np.uint64).view(np.int64)], "fp long")
+    assert simhash.dealt(frame).count() < 30 * len(prints)
+    roots = {r.node: r.root for r in components.components(simhash.links(frame)).collect()}
+    for chain in chains:
+        assert len({roots[int(x)] for x in np.array(chain, np.uint64).view(np.int64)}) == 1
 
 
 def test_components_of_chains_and_stars(spark):
