@@ -25,14 +25,50 @@ def test_same_rows_as_sql(spark, sf_dir, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted((tuple(r[k] for k in at) for r in result.fetchall()), key=repr)
 
 
+def licences(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.unit, r.position, r.part, r.license) for r in license_scan.scan(rows).collect()}
+
+
 def test_licences_near_and_far(spark, odd_docs, no_docs):
-    mit = license_scan.TEMPLATES[3][1]
-    rows = [(1, "x\nReleased under the MIT license\ny"), (2, "Released under a MIT-like licence"), (3, mit), (4, "licensed under CC-BY NC 4.0!\n\nmore"), (5, mit.upper().replace("NOTICE", "NOTE", 1)), (6, "mit mit mit mit"), (7, None)]
-    got = {(r.doc_id, r.unit, r.position, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, "line", 2, "MIT"), (1, "paragraph", 1, "MIT"), (4, "text", 1, "CC-BY-NC-4.0"), (3, "paragraph", 1, "MIT"), (4, "line", 1, "CC-BY-NC-4.0"), (5, "paragraph", 1, "MIT")}
+    grant = license_scan.MIT.partition("\n\n")[0]
+    texts = ["x\nReleased under the MIT license\ny", "Released under a MIT-like licence", "licensed under CC-BY NC 4.0!\n\nmore", "mit mit mit mit", None, "The sources are on our site. Released under the MIT License.", "See the docs: Released under the MIT License."]
+    assert licences(spark, texts) == {
+        (0, "line", 2, 1, "MIT"), (0, "paragraph", 1, 1, "MIT"), (2, "text", 1, 1, "CC-BY-NC-4.0"), (2, "line", 1, 1, "CC-BY-NC-4.0"),
+        (5, "sentence", 1, 2, "MIT"), (6, "sentence", 1, 2, "MIT"),
+    }
+    old = license_scan.TEMPLATES + [("grant", grant)]
+    rows = spark.createDataFrame([(1, grant), (2, grant.upper().replace("CONDITIONS", "TERMS", 1))], "doc_id long, text string")
+    assert {(r.doc_id, r.unit, r.license) for r in license_scan.scan(rows, old).collect()} == {(1, "paragraph", "grant"), (2, "paragraph", "grant")}
     assert license_scan.scan(odd_docs).count() == 0 and license_scan.scan(no_docs).count() == 0
 
 
+def test_whole_licence_files(spark):
+    """Files as projects have them: a title, a copyright line and the body; as comments; between other text; versions told apart."""
+    L = license_scan
+    notices = {spdx: (L.GNU_GRANT + "\n\n" + L.GNU_REST).format(work=work, name=name, version=version, where=where) for spdx, work, name, version, where in L.GNU}
+    bsd = "\n\n".join([L.BSD_GRANT, L.BSD_ONE, L.BSD_TWO, L.BSD_END])
+    bodies = {"MIT": L.MIT, "ISC": L.ISC, "BSD-2-Clause": bsd, "BSD-3-Clause": bsd.replace(L.BSD_END, L.BSD_THREE + "\n\n" + L.BSD_END), "Apache-2.0": L.APACHE_NOTICE, "Zlib": L.ZLIB, "Unlicense": L.UNLICENSE, **notices}
+    prose = "Some words about the project, which has nothing to do with this and goes on for a while.\n" * 4
+    shapes = {
+        "file": "{0} License\n\nCopyright (c) 2020 Some One and all the other people\n\n{1}\n",
+        "comment": "#!/bin/sh\n#\n{2}\n#\nset -e\n",
+        "between": prose + "\n{1}\n\n" + prose,
+        "long": (prose + "\n") * 400 + "{1}\n\n" + prose * 50,
+    }
+    texts, names = [], []
+    for spdx, body in bodies.items():
+        for shape in shapes.values():
+            texts.append(shape.format(spdx, body, "\n".join(f"# {x}" for x in body.split("\n"))))
+            names.append(spdx)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    best = {}
+    for r in license_scan.scan(rows).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, (0.0, "")), (r.dice, r.license))
+    assert [best.get(k, (0, None))[1] for k in range(len(texts))] == names
+    assert min(dice for dice, _ in best.values()) > 0.9
+
+
 def test_every_match_has_a_key_word():
     counted = [(name, license_scan.template_bigrams(text)) for name, text in license_scan.TEMPLATES]
     keys = license_scan.key_words(counted, license_scan.THRESHOLD)
