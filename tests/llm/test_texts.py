@@ -282,6 +282,69 @@ def test_quality_held_out(spark, sf_dir, odd_docs, no_docs):
     assert quality.fit(docs, labels.filter("quality = 1")).constant == 1.0
 
 
+def made_pages(n, rng, told=0.08):
+    """Pages whose words and whose source both hint at their quality, a few of them labelled."""
+    good, bad, both = ([f"{stem}{k}" for k in range(40)] for stem in ("lucid", "spam", "word"))
+    rows, truth = [], {}
+    for k in range(n):
+        y = rng.random() < 0.5
+        words = [rng.choice((good if y else bad) if rng.random() < told else both) for _ in range(40)]
+        source = f"{'site' if (rng.random() < 0.97) == y else 'blog'}{rng.randrange(8)}"
+        rows.append((k, " ".join(words) if k % 97 else None, "en", source, 200 if k % 89 else None))
+        truth[k] = int(y)
+    return rows, truth
+
+
+def test_cotraining_against_plain_rounds(spark, monkeypatch):
+    """Pseudo-labels by sorting all rows in one list, round by round; the model's weights and scores are the same."""
+    monkeypatch.setattr(quality, "PSEUDO", 30)
+    rows, truth = made_pages(600, random.Random(14))
+    rows += [(1000 + k, *rows[5][1:]) for k in range(40)]  # copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = [k for k in range(600) if k % 5 == 0]
+    labels = spark.createDataFrame([(k, truth[k]) for k in known] + [(3, 0), (3, 1), (7, None)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    order = [r[0] for r in spark.createDataFrame([(k,) for k in known], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    views = {r[0]: (quality.content_view(r[1] or ""), quality.metadata_view(*r[2:])) for r in rows}
+    training = quality.Training([np.array([views[k][v] for k in order]) for v in range(2)], np.array([truth[k] for k in order]))
+    taken, added = [set(), set()], 0
+    for _ in range(quality.ROUNDS):
+        now = training.model()
+        margins = {k: tuple(float(m[0]) - np.log(training.prior / (1 - training.prior)) for m in now.margins([views[k][0][None], views[k][1][None]])) for k in views}
+        for pupil, teacher in ((0, 1), (1, 0)):
+            one = {}
+            for k in sorted(views):
+                if k not in known and k != 3:
+                    one.setdefault((round(margins[k][0], 9), round(margins[k][1], 9)), k)
+            free = sorted((k for k in one.values() if k not in taken[pupil]), key=lambda k: (margins[k][teacher], k))
+            picks = [(k, 0) for k in free if margins[k][teacher] <= -np.log(quality.SURE)][: training.quotas()[0]]
+            picks += [(k, 1) for k in sorted(free, key=lambda k: (-margins[k][teacher], k)) if margins[k][teacher] >= np.log(quality.SURE)][: training.quotas()[1]]
+            taken[pupil] |= {k for k, _ in picks}
+            added += len(picks)
+            if picks:
+                training.add(pupil, np.array([views[k][pupil] for k, _ in picks]), np.array([float(y) for _, y in picks]))
+    plain = training.model()
+    assert added > 60 and not taken[0] & set(known)
+    for a, b in zip(model.views, plain.views):
+        assert np.allclose(a.weight, b.weight, atol=1e-6)
+    assert np.allclose(model.joint, plain.joint, atol=1e-6) and abs(model.threshold - plain.threshold) < 1e-6
+
+
+def test_rounds_help_the_views(spark):
+    """With few labels and two views that both tell something, exchanged labels make each view better."""
+    rows, truth = made_pages(1500, random.Random(15), 0.03)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, truth[k]) for k in range(0, 1500, 12)], "doc_id long, quality int")
+
+    def areas(rounds):
+        found = quality.score(docs, quality.fit(docs, labels, rounds=rounds)).filter("doc_id % 12 <> 0").collect()
+        good, bad = ([r for r in found if truth[r.doc_id] == y] for y in (1, 0))
+        return {c: np.mean([(a[c] > b[c]) + (a[c] == b[c]) / 2 for a in good for b in bad]) for c in ("content_score", "metadata_score", "score")}
+
+    alone, together = areas(0), areas(quality.ROUNDS)
+    assert together["content_score"] > alone["content_score"] + 0.05 and together["score"] > alone["score"] - 0.005
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
