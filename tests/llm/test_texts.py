@@ -136,6 +136,60 @@ def test_png_filters_and_damage():
         media.read_png(png[:-12])
 
 
+def plain_hash(rows):
+    """Means of 32 x 32 parts and the cosine transform, each by its definition."""
+    n = [len(rows), len(rows[0])]
+
+    def span(k, size):
+        return [k * size // 32] if size < 32 else range(k * size // 32, (k + 1) * size // 32)
+
+    small = [[float(np.mean([[rows[a][b] for b in span(x, n[1])] for a in span(y, n[0])])) for x in range(32)] for y in range(32)]
+    low = [
+        sum(small[y][x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32))
+        for u in range(8) for v in range(8)
+    ]
+    low = [round(value, 6) for value in low]
+    middle = sorted(low[1:])[31]
+    return [value > middle for value in low]
+
+
+@pytest.mark.parametrize("height", [1, 20, 32, 75])
+def test_cosine_hash_by_definition(height):
+    rows = np.random.default_rng(height).integers(0, 256, (height, 64), np.uint8)
+    want = plain_hash(rows.tolist())
+    found = np.unpackbits(np.frombuffer(bytes.fromhex(media.cosine_hash(rows)), np.uint8)).astype(bool)
+    assert found.tolist() == want
+
+
+def plain_png(data):
+    """Samples of a grey picture, by the format's definition, one after the other."""
+    at, packed, size = 8, b"", None
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        assert int.from_bytes(data[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+        size = (int.from_bytes(body[4:8], "big"), int.from_bytes(body[:4], "big")) if kind == b"IHDR" else size
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, rows = zlib.decompress(packed), []
+    for r in range(size[0]):
+        kind, line = raw[r * (size[1] + 1)], raw[r * (size[1] + 1) + 1 : (r + 1) * (size[1] + 1)]
+        row = []
+        for x, value in enumerate(line):
+            row.append((value + [0, row[x - 1] if x else 0, rows[-1][x] if rows else 0][kind]) % 256)
+        rows.append(row)
+    return rows
+
+
+def test_stored_pictures_by_definition(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(25)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in media.read(media.store(docs)).collect():
+        rows = plain_png(bytes(r.media))
+        assert bytes(sum(rows, [])) == media.padded(texts[r.doc_id]) == bytes(r.payload)
+        assert r.feature == media.cosine_hash(np.array(rows, np.uint8))
+
+
 def test_media_rows(odd_docs, no_docs):
     rows = media.read(media.store(odd_docs)).collect()
     texts = [(r.text or "").encode() for r in odd_docs.collect()]
@@ -345,6 +399,66 @@ def test_rounds_help_the_views(spark):
     assert together["content_score"] > alone["content_score"] + 0.05 and together["score"] > alone["score"] - 0.005
 
 
+def test_pipeline_stages_against_plain_ones(spark, sf_dir):
+    """Each stage's kept rows, from its own input, by loops over all of it."""
+    import base64
+
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+    from test_near import plain_hits, plain_survivors
+
+    now, seen = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = now.collect()
+        now = corpus_pipeline.written(stage(spark, now, sf_dir), "stage")
+        seen[name] = before, now.collect()
+    before, after = seen["quality classifier"]
+    docs = spark.createDataFrame(before, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = model.score([np.array([quality.content_view(r.text or "") for r in before]), np.array([quality.metadata_view(r.lang, r.source, r.n_chars) for r in before])])[2]
+    assert sorted(r for r, p in zip(before, scores) if p >= model.threshold) == sorted(after) and len(after) < len(before)
+    before, after = seen["language ID"]
+    docs = spark.createDataFrame(before, docs.schema)
+    gate = langid.fit_gate(docs, langid.fit(langid.sample(docs.filter(~langid.held_out()))))
+    kept = []
+    for r in before:
+        (label,), (score,), (letters,), (bits,) = gate.model.judge([r.text])
+        if letters and (letters < langid.ENOUGH or bits <= gate.most_bits and not (r.lang in gate.model.labels and r.lang != label and score >= gate.sure)):
+            kept.append(r)
+    assert sorted(kept) == sorted(after)
+    before, after = seen["SimHash near-dedup"]
+    assert sorted(r.doc_id for r in after) == plain_survivors([r.doc_id for r in before], [r.text or "" for r in before])
+    before, after = seen["benchmark decontamination"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    hit = {before[n].doc_id for n, _ in plain_hits([r.text or "" for r in before], items)}
+    assert hit and {r.doc_id for r in after} == {r.doc_id for r in before} - hit
+    before, after = seen["byte-level BPE"]
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in before}
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == whole.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids) // 4 for r in after) and len(after) == len(before)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, odd_docs, no_docs):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "of a few words."), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, folder)
+            assert now.columns == docs.columns
+            now = corpus_pipeline.written(now, "odd")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in now.collect())
+        assert len(rows) <= docs.count() and not {2, 3, 5, None} & {r.doc_id for r in rows}
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
