@@ -34,16 +34,16 @@ from pyspark.sql import types as T
 from strandline.llm.common import map_arrow
 
 #: Entries that a Python worker remembers at most; beyond that a memo starts anew.
-MEMO_CHUNKS = 300_000
-MEMO_PAIRS = 600_000
+MEMO_CHUNKS = 150_000
+MEMO_PAIRS = 300_000
 #: Longer chunks are not remembered; pieces of more bytes are walked alone.
 LONG_CHUNK = 100
 LONG_PIECE = 200
 #: Pieces that are walked side by side.
 PIECES_AT_ONCE = 20_000
 #: Bytes of texts that are encoded, and tokens that are decoded, at a time.
-BYTES_AT_ONCE = 16_000_000
-TOKENS_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 4_000_000
+TOKENS_AT_ONCE = 1_000_000
 #: No byte's character: between pieces that the automaton reads in one pass.
 BETWEEN = "Ā"
 

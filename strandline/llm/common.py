@@ -17,14 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that a function gets at a time, or one row: what it makes of them is all that is in memory.
+BYTES_AT_ONCE = 4_000_000
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over single batches; fn is a picklable function of one batch."""
+    """mapInArrow over batches, in slices of bounded size; fn is a picklable function of one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
+            rows = max(1, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
+                if out is not None and out.num_rows:
+                    yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

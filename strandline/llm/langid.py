@@ -44,7 +44,7 @@ DENSE = 61
 TABLE_BYTES = 256_000_000
 STRETCH = 2048
 #: Symbols that are parsed at a time.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 #: How sharply the score falls when another language parses nearly as well.
 SHARPNESS = 8
 #: For rejecting: least letters, rows that thresholds are taken from, share of them that has to be right, margin of bits.
@@ -288,7 +288,7 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
                 break
         symbols = symbols[:SAMPLE_SYMBOLS]
         step = suffix_automaton(symbols)
-        dense = max(0, min(DENSE, TABLE_BYTES // (4 * len(step) * len(samples)) - 3))
+        dense = max(0, min(DENSE, len(set(symbols) - {SEPARATOR, FOREIGN}), TABLE_BYTES // (4 * len(step) * len(samples)) - 3))
         model.tables.append(_table(step, symbols, len(alphabet) + 2, dense))
         model.logs.append(float(np.log2(max(2, len(symbols)))))
     return model
@@ -335,7 +335,10 @@ def fit_gate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     none); a text may need BITS_MARGIN times the bits a letter that these rows need in the median.
     """
     rows = docs.filter(held_out(id_col) & F.col(label_col).isin(model.labels) & (F.length(text_col) >= ENOUGH))
-    rows = rows.select(id_col, F.col(label_col).cast("string").alias("label"), text_col).orderBy(F.xxhash64(id_col), id_col).limit(CHECKED)
+    some = [(r[0],) for r in rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(CHECKED).collect()]
+    # At most CHECKED ids are broadcast, and only their texts are looked at.
+    some = docs.sparkSession.createDataFrame(some, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}")
+    rows = rows.select(id_col, F.col(label_col).cast("string").alias("label"), text_col).join(F.broadcast(some), id_col)
     found = identify(rows, model, id_col, text_col, ["label"]).filter(F.col("letters") >= ENOUGH).select("score", "bits_per_letter", (F.col("label") == F.col("lang_pred")).alias("right")).collect()
     if not found:
         return Gate(model)

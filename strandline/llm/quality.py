@@ -46,7 +46,7 @@ META = 2 * HASHED + 3
 #: Rows whose features are in memory at a time.
 ROWS_AT_ONCE = 500
 #: Bytes of text whose sequences are counted at a time.
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 20
 
 
 def content_view(text: str) -> np.ndarray:
