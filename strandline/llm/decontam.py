@@ -203,9 +203,9 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes[None, :] + np.arange(PLACES, dtype=np.uint64)[:, None] * step[None, :]) & np.uint64(bits - 1)
 
 
-def bit_filter(rare: DataFrame) -> np.ndarray:
-    """Bits of all rare shingles, as bytes. Made on Spark; at most MOST_BITS come to the driver."""
-    distinct = rare.select("shingle").distinct()
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """Bits of all hashes of a table's one long column, as bytes. Made on Spark; at most MOST_BITS come to the driver."""
+    distinct = hashes.distinct()
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_EACH * distinct.count()).bit_length()))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -217,7 +217,7 @@ def bit_filter(rare: DataFrame) -> np.ndarray:
     return out
 
 
-def _known(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+def known_to(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Which hashes a filter knows; those that the first places rule out are not looked up further."""
     alive = np.arange(len(hashes))
     step = _mix(hashes) | np.uint64(1)
@@ -248,7 +248,7 @@ def met(texts: list[str | None], widths: list[int], table: np.ndarray) -> list[n
         found = [[np.zeros(0, np.uint64)] for _ in range(begin, end)]
         for width in widths:
             own = shingle_hashes(words, width)
-            place = _known(own, table)
+            place = known_to(own, table)
             text = np.searchsorted(at, place, "right") - 1
             inside = place + width <= at[text + 1]  # not over the end of a text
             for t, s in zip(text[inside].tolist(), own[place[inside]]):
@@ -263,7 +263,7 @@ class Search:
     def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
         self.items, self.rare = prepared(benchmark, id_col, text_col)
         self.widths = sorted(r[0] for r in self.items.select("width").distinct().collect())
-        self.table = benchmark.sparkSession.sparkContext.broadcast(bit_filter(self.rare))
+        self.table = benchmark.sparkSession.sparkContext.broadcast(bit_filter(self.rare.select("shingle")))
 
     def touched(self, docs: DataFrame, text_col: str) -> DataFrame:
         """Written: docs with a shingle that the filter knows, all columns, with ``__row`` and ``__met`` (these shingles)."""

@@ -10,6 +10,9 @@ Equal shingle sets are one node, however many documents have them. Candidate com
 ``SHINGLES_AT_ONCE`` shingles are dealt by hash to chunks, and pairs of chunks are handled apart. From each group only
 stars of its own components are emitted, never all its pairs.
 
+Only texts of candidates are shuffled: a bit filter of their rows (at most 32 MB, whatever their number; beyond some
+20 million candidates it lets more and more other texts through, which the join then drops) is broadcast before.
+
 Cases: only A-Z are lower-cased and only ASCII white space separates words; texts under five words are one shingle; null
 and empty texts are one node that links to no other. A null id is never the smallest of a component that has other ids.
 """
@@ -24,8 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import map_arrow, written
+from strandline.llm.common import keep_rows, map_arrow, written
 from strandline.llm.components import components
+from strandline.llm.decontam import bit_filter, known_to
 
 WORDS = 5
 SEED = 42
@@ -148,6 +152,18 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(rows, fn, f"`{id_col}` {kind}, __text string, row long, key long, size long, bands array<long>")
 
 
+def _texts(prints: DataFrame, members: DataFrame) -> DataFrame:
+    """(rep, text) of all members, and of the few other rows that their bit filter lets through."""
+    bits = prints.sparkSession.sparkContext.broadcast(bit_filter(members.select(F.xxhash64("rep"))))
+
+    def mask(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(batch.num_rows, bool)
+        out[known_to(batch.column(0).to_numpy().view(np.uint64), bits.value)] = True
+        return out
+
+    return keep_rows(prints.select(F.xxhash64("row").alias("hash"), F.col("row").alias("rep"), "__text"), mask).drop("hash")
+
+
 def links(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): links between keys that connect what the similarity connects."""
     keyed = nodes.select("key", F.explode("bands").alias("band"))
@@ -159,7 +175,7 @@ def links(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     dealt = (
         members.join(members.groupBy("root").agg(chunks.alias("chunks")), "root")
         .withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-        .join(prints.select(F.col("row").alias("rep"), "__text"), "rep")
+        .join(_texts(prints, members), "rep")
         .withColumn("with", F.explode(other))
         .select("root", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "key", "__text")
     )
