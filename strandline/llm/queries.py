@@ -125,6 +125,13 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_pca_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector, with the clusters' inertia and centroids."""
+    from strandline.llm import centroids
+
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -143,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_blocks": op8_chat_blocks,
     "op9_png_media": op9_png_media,
     "op10_simhash_pivots": op10_simhash_pivots,
+    "op11_pca_centroids": op11_pca_centroids,
     "pipeline": pipeline,
 }
 
@@ -171,10 +179,31 @@ FROM e GROUP BY conv_id
 """
 
 
+def _centroid_sql(rounds: int = 10) -> str:
+    """From the definition: every vector measured against every centroid, a pair of tables for each round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, min({{'d': list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'cluster': cluster}}) AS best
+    FROM kept CROSS JOIN c{k} GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT cluster, list(mean ORDER BY j) AS c FROM (SELECT cluster, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS mean
+    FROM (SELECT best.cluster AS cluster, j, sum(v[j]) AS s, count(*) AS n FROM kept JOIN a{k} USING (r), range(1, 65) AS t(j) GROUP BY ALL)) GROUP BY cluster),
+c{k + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster))""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS cluster, v AS c FROM kept ORDER BY cluster LIMIT 8),
+{",\n".join(steps)},
+o AS (SELECT vec_id, best.cluster AS cluster, CAST(best.d AS BIGINT) AS distance FROM kept JOIN a{rounds} USING (r))
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM o JOIN c{rounds} USING (cluster)
+"""
+
+
 def _license_sql() -> str:
     from strandline.llm import license_scan
 
     return license_scan.scan_sql()
 
 
-ORACLE_SQL: dict[str, str] = {"op1_license_dice": _license_sql(), "op7_url_rules": URL_SQL, "op8_chat_blocks": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_license_dice": _license_sql(), "op7_url_rules": URL_SQL, "op8_chat_blocks": CHAT_SQL, "op11_pca_centroids": _centroid_sql()}
