@@ -132,6 +132,14 @@ def op11_pca_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+def op12_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after damage, and its cheapest repair."""
+    from strandline.llm import repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -151,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_png_media": op9_png_media,
     "op10_simhash_pivots": op10_simhash_pivots,
     "op11_pca_centroids": op11_pca_centroids,
+    "op12_viterbi_repair": op12_viterbi_repair,
     "pipeline": pipeline,
 }
 
@@ -199,6 +208,49 @@ SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance)
     CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM o JOIN c{rounds} USING (cluster)
 """
 
+def _repair_sql() -> str:
+    """From the definition: cheapest costs and letters of each state (empty, s, u, a) carried forwards, row by row."""
+
+    def paid(state: str, cost: str, letters: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letters}'}}"
+
+    def inserted(s: str) -> str:
+        to_user = ", ".join(paid(f"{s}[{q}]", "5", "I") for q in (1, 2, 4))
+        to_assistant = ", ".join([paid(f"{s}[3]", "5", "I"), paid(f"{s}[1]", "10", "II"), paid(f"{s}[2]", "10", "II")])
+        return f"[{s}[1], {s}[2], list_min([{s}[3], {to_user}]), list_min([{s}[4], {to_assistant}])]"
+
+    def edited(to: int, keep: str, sources: tuple[int, ...], rerole: bool) -> str:
+        keeps = [paid(f"t[{q}]", f"CASE WHEN x.fault < 2 AND x.i = '{keep}' THEN 5 * x.fault ELSE 1000000000 END", "K") for q in sources]
+        reroles = [paid(f"t[{q}]", "CASE WHEN x.fault < 2 THEN 5 * x.fault + 1 ELSE 1000000000 END", "R") for q in sources if rerole]
+        return f"list_min([{', '.join([paid(f't[{to}]', '2', 'D'), *keeps, *reroles])}])"
+
+    row = f"[{paid('t[1]', '2', 'D')}, {edited(2, 's', (1,), False)}, {edited(3, 'u', (1, 2, 4), True)}, {edited(4, 'a', (3,), True)}]"
+    start = "[{'c': 0::BIGINT, 'a': ''}, {'c': 1000000000::BIGINT, 'a': ''}, {'c': 1000000000::BIGINT, 'a': ''}, {'c': 1000000000::BIGINT, 'a': ''}]"
+    return f"""
+WITH tab AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS crc FROM range(256) AS t(b)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+f AS (SELECT k.*, xor(list_reduce(list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: xor(a // 256, crc[1 + xor(a % 256, b)]), 4294967295), 4294967295) % 20 AS fault FROM k, tab),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM f, range(2) AS c(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text)) AS n, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+r AS (SELECT *, CASE WHEN bare = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 3 WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault,
+        left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate,
+        count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, list({{'i': i, 'fault': fault, 'role': role, 'text': text}} ORDER BY n) AS own FROM r GROUP BY conv_id),
+v AS (SELECT *, list_reduce(own, lambda s, x: list_transform([{inserted('s')}], lambda t: {row})[1], {start}) AS s FROM g),
+w AS (SELECT *, list_min([e[1], e[4]]) AS best FROM (SELECT *, {inserted('s')} AS e FROM v)),
+m AS (SELECT *, list_reduce(string_split(best.a, ''), lambda z, e: CASE e
+        WHEN 'D' THEN {{'k': z.k + 1, 'last': z.last, 'told': z.told}}
+        WHEN 'K' THEN {{'k': z.k + 1, 'last': left(own[z.k + 1].role, 1), 'told': list_append(z.told, own[z.k + 1].role || ':' || own[z.k + 1].text)}}
+        WHEN 'R' THEN {{'k': z.k + 1, 'last': CASE WHEN z.last = 'u' THEN 'a' ELSE 'u' END, 'told': list_append(z.told, CASE WHEN z.last = 'u' THEN 'assistant:' ELSE 'user:' END || own[z.k + 1].text)}}
+        WHEN 'I' THEN {{'k': z.k, 'last': CASE WHEN z.last = 'u' THEN 'a' ELSE 'u' END, 'told': list_append(z.told, CASE WHEN z.last = 'u' THEN 'assistant:' ELSE 'user:' END)}}
+        ELSE z END, {{'k': 0::BIGINT, 'last': '', 'told': []::VARCHAR[]}}) AS mended FROM w)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+    coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(mended.told, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON c.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
+
 
 def _license_sql() -> str:
     from strandline.llm import license_scan
@@ -206,4 +258,4 @@ def _license_sql() -> str:
     return license_scan.scan_sql()
 
 
-ORACLE_SQL: dict[str, str] = {"op1_license_dice": _license_sql(), "op7_url_rules": URL_SQL, "op8_chat_blocks": CHAT_SQL, "op11_pca_centroids": _centroid_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_license_dice": _license_sql(), "op7_url_rules": URL_SQL, "op8_chat_blocks": CHAT_SQL, "op11_pca_centroids": _centroid_sql(), "op12_viterbi_repair": _repair_sql()}
