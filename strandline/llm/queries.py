@@ -140,6 +140,16 @@ def op12_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(rows), rows)
 
 
+def op13_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of rows that are not held out."""
+    from strandline.llm import langid, toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.sample(docs, labels.filter(~langid.held_out())))
+    # doc_id is carried along; the score sees the text only.
+    return toxicity.score(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -160,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_pivots": op10_simhash_pivots,
     "op11_pca_centroids": op11_pca_centroids,
     "op12_viterbi_repair": op12_viterbi_repair,
+    "op13_lexicon_toxicity": op13_lexicon_toxicity,
     "pipeline": pipeline,
 }
 
