@@ -1,11 +1,11 @@
 """Toxicity from misspelled lexicon terms in their context (operator 13).
 
 The *lexicon* is learned: whole words, and stems of ``STEMS`` letters that many words share, which far more toxic than clean
-labelled documents contain, beyond chance, and between many different neighbours (so that copies of one document teach little). A trie holds
-it. For each different word of a batch a Levenshtein automaton (the positions reached with 0, 1, 2 errors, as bits) walks
-the trie, which gives all terms within as many errors as their length allows; a stem may match the beginning of a word.
-Words whose letters rule every term out are left aside before, by bit masks of
-letters and of their pairs; words near a term that clean labelled documents have are ordinary words, and spared.
+labelled documents contain in direct speech, beyond chance even if copies of a text (with the same least hash of three-word
+sequences) count as one. A trie holds it. For each different word of a batch a Levenshtein automaton (the positions reached
+with 0, 1, 2 errors, as bits) walks the trie, which gives all terms within as many errors as their length allows; a stem may
+match the beginning of a word. Words whose letters rule every term out are left aside before, by bit masks of letters and of
+their pairs; words near a term that clean labelled documents have are ordinary words, and spared.
 
 Of each hit the *window* of ``WINDOW`` words on both sides is read: is it inside quotation marks, near a word of reporting,
 near a word that addresses somebody, and how much more often do its words surround terms in toxic than in clean labelled
@@ -40,14 +40,12 @@ from pyspark.sql import functions as F
 from strandline.llm.common import map_arrow, written
 
 LABELLED = 4000
-#: Letters of a stem, toxic documents and different surroundings that a term needs, and how many times as often as in clean ones.
+#: Letters of a stem, kinds of toxic documents that a term needs, and how many times as often as in clean ones.
 STEMS = range(4, 9)
 SUPPORT = 5
 ODDS = 20
 #: Terms that chance may add, of all tokens together.
 CHANCE = 0.01
-#: Least number of different neighbours of a term for each toxic document: near copies repeat theirs.
-VARIED = 0.9
 TERMS = 400
 WINDOW = 5
 #: Surrounding words that are weighed at most.
@@ -177,10 +175,6 @@ class Hit:
     word: str
     quoted: bool
     around: list[str]
-    before: int
-
-    def neighbours(self) -> tuple[str, ...]:
-        return tuple(self.around[max(0, self.before - 1) : self.before + 1])
 
 
 def hits(text: str, found: set[str]) -> Iterator[Hit]:
@@ -206,12 +200,42 @@ def hits(text: str, found: set[str]) -> Iterator[Hit]:
                 while waiting and n - waiting[0][1] >= WINDOW:
                     yield waiting.popleft()[0]
                 if word in found:
-                    waiting.append((Hit(word, straight or depth > 0, list(before), len(before)), n))
+                    waiting.append((Hit(word, straight or depth > 0, list(before)), n))
                 before.append(word)
     while waiting:
         yield waiting.popleft()[0]
 
 
+def direct_words(text: str) -> set[str]:
+    """The different words that stand outside quotation marks and not near a word of reporting."""
+    many, direct, last = [], [], -WINDOW - 1
+    straight, depth = False, 0
+    out: set[str] = set()
+    for m in _PIECES.finditer(text):
+        piece = m.group()
+        if piece == "\n":
+            straight, depth = False, 0
+        elif piece in STRAIGHT:
+            straight = not straight
+        elif piece in OPENING:
+            depth += 1
+        elif piece in CLOSING:
+            depth = max(0, depth - 1)
+        else:
+            for word in WORD.findall(piece.lower()):
+                if word in REPORTING:
+                    last = len(many)
+                    direct[-WINDOW:] = [False] * len(direct[-WINDOW:])
+                many.append(word)
+                direct.append(not straight and not depth and len(many) - 1 - last > WINDOW)
+        if len(many) > PART:  # all but the last words are settled
+            out.update(w for w, d in zip(many[:-WINDOW], direct) if d)
+            last -= len(many) - WINDOW
+            many, direct = many[-WINDOW:], direct[-WINDOW:]
+    out.update(w for w, d in zip(many, direct) if d)
+    return out
+
+
 @dataclass
 class Toxicity:
     """Terms with their weights, weights of surrounding words, and the regression; a constant where nothing is learned."""
@@ -285,9 +309,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _tokens(text: str) -> set[str]:
-    """Words, each with an end mark, and their stems."""
+    """Direct words, each with an end mark, and their stems."""
     out = set()
-    for word in words(text):
+    for word in direct_words(text):
         out.add(word + "$")
         out.update(word[:n] for n in STEMS if n < len(word))
     return out
@@ -314,6 +338,15 @@ def _longest(found: dict[str, int]) -> list[str]:
     return sorted(kept)
 
 
+def _kind(text: str) -> int:
+    """The least hash of a text's three-word sequences: copies share it, other texts do not."""
+    least, last = 2**32, deque(maxlen=3)
+    for m in WORD.finditer(text):
+        last.append(m.group())
+        least = min(least, zlib.crc32(" ".join(last).encode("utf-8", "surrogatepass"))) if len(last) == 3 else least
+    return least if least < 2**32 else zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 def lexicon(rows: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool, float]]:
     """(term, stem, weight) of what tells toxic from clean rows (text, label)."""
     counts = map_arrow(rows.select("text", "label"), _counted, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -323,28 +356,24 @@ def lexicon(rows: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool, fl
     # Bound of the probability that chance gives so high a share, for as many tokens as there are.
     surprise = n * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
     least = math.log(max(1, counts.count()) / CHANCE)
-    telling = counts.filter((F.col("toxic") >= SUPPORT) & (odds >= ODDS) & (surprise >= least)).select("token", "toxic", F.log(odds).alias("weight"))
+    telling = counts.filter((F.col("toxic") >= SUPPORT) & (odds >= ODDS) & (surprise >= least)).select("token", "toxic", F.log(odds).alias("weight"), surprise.alias("surprise"))
     # Twenty tokens for each term that can stay.
     found = telling.orderBy(F.desc("toxic"), "token").limit(20 * TERMS).collect()
     weights = {r["token"]: r["weight"] for r in found}
     toxic_rows = {r["token"]: r["toxic"] for r in found}
     kept = _longest(toxic_rows)
-    # Surroundings tell copies of one text from terms in many texts.
+    # Copies of one text are one kind of text, however many they are.
     shared = rows.sparkSession.sparkContext.broadcast(set(kept))
 
-    def surroundings(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = set()
-        for text in batch.column(0).to_pylist():
-            own = {w: [t for t in (w + "$", *(w[:n] for n in STEMS)) if t in shared.value] for w in words(text)}
-            own = {w: t for w, t in own.items() if t}
-            for hit in hits(text, own.keys()):
-                key = zlib.crc32(" ".join(hit.neighbours()).encode("utf-8", "surrogatepass"))
-                out.update((t, key) for t in own[hit.word])
-        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([k for _, k in out], pa.int64())], ["token", "around"])
-
-    places = map_arrow(rows.filter("label = 1").select("text"), surroundings, "token string, around long").groupBy("token").agg(F.countDistinct("around").alias("n"))
-    enough = [(t, n) for t, n in places.filter(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "token").collect() if n >= VARIED * toxic_rows[t]]
-    return sorted((t.removesuffix("$"), not t.endswith("$"), weights[t]) for t, _ in enough[:TERMS])
+    def kinds(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = {(t, _kind(text)) for text in batch.column(0).to_pylist() for t in _tokens(text) & shared.value}
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([k for _, k in out], pa.int64())], ["token", "kind"])
+
+    of_kinds = map_arrow(rows.filter("label = 1").select("text"), kinds, "token string, kind long").groupBy("token").agg(F.countDistinct("kind").alias("n"))
+    surprises = {r["token"]: r["surprise"] for r in found}
+    enough = [t for t, n in of_kinds.collect() if n >= SUPPORT and surprises[t] * n / toxic_rows[t] >= least]
+    enough = sorted(enough, key=lambda t: (-toxic_rows[t], t))[:TERMS]
+    return sorted((t.removesuffix("$"), not t.endswith("$"), weights[t]) for t in enough)
 
 
 def _ordinary_words(rows: DataFrame, terms: list[tuple[str, bool]]) -> frozenset[str]:
