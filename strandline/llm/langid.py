@@ -2,8 +2,11 @@
 
 For each language a suffix automaton of a bounded sample of labelled text knows every substring of that sample. A
 text is parsed from left to right into longest matches; the closer the text is to the language, the longer the
-matches and the fewer the phrases. Phrases times the logarithm of the sample's length, divided by the text's length,
-estimate the bits a letter costs in that language; the language with the fewest wins.
+matches and the fewer the phrases. Phrases times a logarithm, divided by the text's length, estimate the bits a letter
+costs in that language; the language with the fewest wins. The logarithm is that of the longest sample's length, the same
+for all labels: with each label's own, a label with few words would pay next to nothing for a phrase, and a letter that it
+does not even have, which is a phrase of its own, would cost it less than one in a well-known language costs. Labels with
+fewer than ``SCARCE`` symbols are named in ``Model.scarce``; they win only where their few words are indeed the closest.
 
 The automata become plain transition tables (a missing transition starts a new phrase), so many texts are parsed at
 once, one table look-up per letter and language. Every letter of the samples is a symbol of its own: a label's table has
@@ -13,11 +16,15 @@ scripts of thousands of letters nor hundreds of labels make large tables. Letter
 runs of other characters are one separator. By definition a text is parsed in stretches of ``STRETCH`` symbols, each from
 its start, so one long text is as quick as many short ones; phrases of all stretches add up.
 
-Fitting reads at most ``ROWS_PER_LANGUAGE`` rows of each label, of each at most its first ``LONGEST_SAMPLE`` characters,
-and up to ``SAMPLE_SYMBOLS`` symbols in all. Rows of ``SHORT`` or more characters come first (the smallest by a hash of the
-id), then shorter ones, if they have letters. Everything else covers whole texts of all rows.
+Fitting reads at most ``ROWS_PER_LANGUAGE`` rows of each label, of each at most its first ``LONGEST_SAMPLE`` characters
+(a parameter of sample, like ``SHORT``), and up to ``SAMPLE_SYMBOLS`` symbols in all. Rows of ``SHORT`` or more characters
+come first (the smallest by a hash of id and text), then shorter ones, if they have letters. Everything else covers whole
+texts of all rows.
 
-Cases: null texts and texts without a letter give ``und`` and score 0; ties go to the first label in order; rows
+What a ``Gate`` rejects depends on evidence in bits, which grows with a text, not on a length from which it would begin.
+
+Cases: null texts and texts without a letter give ``und`` and score 0; ties go to the label with the longer sample, then to
+the first in order; rows
 with a null label teach nothing; with no labelled rows at all every text is ``und``, and ``with_language`` keeps the
 texts that have letters; without held-out labelled rows it does so too; repeated rows repeat in the result; an empty
 table gives an empty result; other columns are not read.
@@ -47,11 +54,13 @@ STRETCH = 2048
 AT_ONCE = 1_000_000
 #: How sharply the score falls when another language parses nearly as well.
 SHARPNESS = 8
-#: For rejecting: least letters, rows that thresholds are taken from, share of them that has to be right, margin of bits.
-ENOUGH = 200
+#: Symbols below which a label's sample is called scarce.
+SCARCE = 2000
+#: For rejecting: rows that thresholds are taken from, share of them that has to be right, margin of bits, phrases of room.
 CHECKED = 2000
 RIGHT = 0.999
 BITS_MARGIN = 1.9
+ROOM = 8
 SEPARATOR, FOREIGN = 0, 1
 
 
@@ -154,7 +163,7 @@ def _table(step: list[dict[int, int]], symbols: list[int], n_symbols: int, dense
 
 @dataclass
 class Model:
-    """labels in order; for each a table, its other letters' transitions, and the logarithm of its sample's length.
+    """labels in order; for each a table, its other letters' transitions, and the length of its sample.
 
     A table entry for (state, column) is (next state's first entry << 1) + 1 if a new phrase starts there.
     """
@@ -162,7 +171,16 @@ class Model:
     labels: list[str]
     alphabet: str
     tables: list[Table]
-    logs: list[float]
+    sizes: list[int]
+
+    @property
+    def phrase_bits(self) -> float:
+        return float(np.log2(max(2, *self.sizes, 2)))
+
+    @property
+    def scarce(self) -> list[str]:
+        """Labels of which little is known."""
+        return [label for label, n in zip(self.labels, self.sizes) if n < SCARCE]
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of a text: its letters in lower case, with one separator for each run of anything else."""
@@ -219,10 +237,11 @@ class Model:
                 state[:n] = got >> 1
             np.add.at(out[:, k], text, count + 1)
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Label, score, letters, and bits a letter in that language (0 without letters) of each text."""
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Label, score, letters, bits a letter in that language (0 without letters), and by how many bits it wins."""
         labels: list[str] = []
-        scores, letters, costs = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        scores, letters, costs, margins = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+        order = np.lexsort((np.arange(len(self.labels)), -np.array(self.sizes)))
         begin = 0
         while begin < len(texts):
             end, size = begin, 0
@@ -233,18 +252,21 @@ class Model:
             own = np.array([np.count_nonzero(c != SEPARATOR) for c in codes], np.int64)
             letters.append(own)
             if self.labels:
-                bits = self.phrases(codes) * np.array(self.logs)
+                bits = self.phrases(codes)[:, order] * self.phrase_bits
                 least = np.maximum(bits.min(axis=1, keepdims=True), 1e-9)
                 score = 1 / ((least / np.maximum(bits, 1e-9)) ** SHARPNESS).sum(axis=1)
-                labels += [self.labels[k] if n else UNDETERMINED for k, n in zip(bits.argmin(axis=1), own)]
+                labels += [self.labels[order[k]] if n else UNDETERMINED for k, n in zip(bits.argmin(axis=1), own)]
                 scores.append(np.where(own > 0, score, 0.0))
                 costs.append(np.where(own > 0, bits.min(axis=1) / np.maximum(own, 1), 0.0))
+                two = np.sort(bits, axis=1)[:, :2]
+                margins.append(np.where(own > 0, two[:, -1] - two[:, 0], 0.0))
             else:
                 labels += [UNDETERMINED] * len(codes)
                 scores.append(np.zeros(len(codes)))
                 costs.append(np.zeros(len(codes)))
+                margins.append(np.zeros(len(codes)))
             begin = end
-        return labels, np.concatenate(scores), np.concatenate(letters), np.concatenate(costs)
+        return labels, *map(np.concatenate, (scores, letters, costs, margins))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -252,13 +274,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, list[str]]]:
-    """Rows of each label, twice SAMPLE_SYMBOLS characters and some more at most: chosen by length and a hash of the id,
-    first within eight parts, then of those."""
+def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", short: int = SHORT, longest: int = LONGEST_SAMPLE) -> list[tuple[str, list[str]]]:
+    """Rows of each label, twice SAMPLE_SYMBOLS characters and some more at most: chosen by length and a hash of id and
+    text, first within eight parts, then of those."""
     size = F.length(text_col)
-    turn = F.when(size >= SHORT, 0).otherwise(1)
+    turn = F.when(size >= short, 0).otherwise(1)
     rows = labelled.filter(F.col(label_col).isNotNull() & ((turn == 0) | F.col(text_col).rlike(r"\p{L}")))
-    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.substring(text_col, 1, LONGEST_SAMPLE).alias("text"), turn.alias("turn"), F.xxhash64(id_col).alias("h"))
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.substring(text_col, 1, longest).alias("text"), turn.alias("turn"), F.xxhash64(id_col, text_col).alias("h"))
     picks = rows.select("label", "turn", "h", F.length("text").alias("n_chars")).withColumn("part", F.pmod("h", F.lit(8)))
     first = Window.partitionBy("label", "part").orderBy("turn", "h")
     then = Window.partitionBy("label").orderBy("turn", "h")
@@ -290,22 +312,22 @@ def fit(samples: list[tuple[str, list[str]]]) -> Model:
         step = suffix_automaton(symbols)
         dense = max(0, min(DENSE, len(set(symbols) - {SEPARATOR, FOREIGN}), TABLE_BYTES // (4 * len(step) * len(samples)) - 3))
         model.tables.append(_table(step, symbols, len(alphabet) + 2, dense))
-        model.logs.append(float(np.log2(max(2, len(symbols)))))
+        model.sizes.append(len(symbols))
     return model
 
 
-_FOUND = "lang_pred string, score double, letters long, bits_per_letter double"
+_FOUND = "lang_pred string, score double, letters long, bits_per_letter double, margin_bits double"
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] = ()) -> DataFrame:
-    """(id, also..., lang_pred, score, letters, bits_per_letter) of each row of docs."""
+    """(id, also..., lang_pred, score, letters, bits_per_letter, margin_bits) of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [id_col, *also]
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = shared.value.judge(batch.column(len(kept)).to_pylist())
         columns = [*batch.columns[: len(kept)], pa.array(found[0], pa.string()), *map(pa.array, found[1:])]
-        return pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "letters", "bits_per_letter"])
+        return pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "letters", "bits_per_letter", "margin_bits"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return map_arrow(docs.select(*kept, text_col), fn, f"{schema}, {_FOUND}")
@@ -313,40 +335,50 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 @dataclass
 class Gate:
-    """A model, and what rejects a text of ENOUGH letters or more: a label that a prediction with at least this score
-    contradicts, or more bits a letter than this in the best language."""
+    """A model, and what rejects a text: a label that a prediction contradicts by ``sure`` bits or more, or more than
+    ``room`` bits beyond ``most_bits`` a letter in the best language."""
 
     model: Model
     sure: float = np.inf
     most_bits: float = np.inf
+    room: float = np.inf
 
     def passes(self, texts: list[str | None], given: list[str | None]) -> np.ndarray:
-        labels, score, letters, bits = self.model.judge(texts)
+        labels, _, letters, bits, margin = self.model.judge(texts)
         known = set(self.model.labels)
         against = np.array([g in known and g != p for g, p in zip(given, labels)], bool)
-        rejected = (letters >= ENOUGH) & (against & (score >= self.sure) | (bits > self.most_bits))
-        return (letters > 0) & ~rejected
+        foreign = np.zeros(len(letters), bool) if np.isinf(self.most_bits) else (bits - self.most_bits) * letters > self.room
+        return (letters > 0) & ~(against & (margin >= self.sure) | foreign)
 
 
-def fit_gate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Gate:
-    """Thresholds from labelled rows that are held out, CHECKED of them at most, by a hash of the id.
+def fit_gate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", checked: int = CHECKED) -> Gate:
+    """Thresholds from labelled rows with letters that are held out, so many of them at most, by a hash of the id.
 
-    A prediction is sure from the least score on at which RIGHT of these rows are predicted right (never, if there is
-    none); a text may need BITS_MARGIN times the bits a letter that these rows need in the median.
+    A prediction is sure from the least margin on at which RIGHT of these rows are predicted right (never, if there is
+    none), ROOM phrases at least; a text may need BITS_MARGIN times the bits a letter that these rows need together, and
+    the room beyond it that RIGHT of these rows (of few rows all but one) stay within, ROOM phrases at least.
     """
-    rows = docs.filter(held_out(id_col) & F.col(label_col).isin(model.labels) & (F.length(text_col) >= ENOUGH))
-    some = [(r[0],) for r in rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(CHECKED).collect()]
-    # At most CHECKED ids are broadcast, and only their texts are looked at.
+    rows = docs.filter(held_out(id_col) & F.col(label_col).isin(model.labels) & F.col(text_col).rlike(r"\p{L}"))
+    some = [(r[0],) for r in rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(checked).collect()]
+    # A bounded number of ids is broadcast, and only their texts are looked at.
     some = docs.sparkSession.createDataFrame(some, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}")
     rows = rows.select(id_col, F.col(label_col).cast("string").alias("label"), text_col).join(F.broadcast(some), id_col)
-    found = identify(rows, model, id_col, text_col, ["label"]).filter(F.col("letters") >= ENOUGH).select("score", "bits_per_letter", (F.col("label") == F.col("lang_pred")).alias("right")).collect()
+    found = identify(rows, model, id_col, text_col, ["label"]).filter("letters > 0").select("letters", "bits_per_letter", "margin_bits", (F.col("label") == F.col("lang_pred")).alias("right")).collect()
     if not found:
         return Gate(model)
-    found.sort(key=lambda r: -r["score"])
-    right = np.cumsum([r["right"] for r in found]) / np.arange(1, len(found) + 1)
-    enough = np.flatnonzero(right >= RIGHT)
-    sure = found[enough[-1]]["score"] if len(enough) else np.inf
-    return Gate(model, float(sure), BITS_MARGIN * float(np.median([r["bits_per_letter"] for r in found])))
+    return thresholds(model, *(np.array([r[k] for r in found]) for k in range(4)))
+
+
+def thresholds(model: Model, letters: np.ndarray, bits: np.ndarray, margin: np.ndarray, right: np.ndarray) -> Gate:
+    """From letters, bits a letter and margins of rows, and whether their prediction is right."""
+    order = np.lexsort((right, -margin))
+    so_far = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    enough = np.flatnonzero(so_far >= RIGHT)
+    least = ROOM * model.phrase_bits
+    sure = max(least, float(margin[order[enough[-1]]])) if len(enough) else np.inf
+    most = BITS_MARGIN * float((bits * letters).sum() / letters.sum())
+    room = float(np.quantile((bits - most) * letters, RIGHT, method="lower"))
+    return Gate(model, sure, most, max(least, room))
 
 
 def with_language(docs: DataFrame, gate: Gate, text_col: str = "text", label_col: str = "lang") -> DataFrame:

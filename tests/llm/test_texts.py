@@ -268,14 +268,54 @@ def test_gate_against_its_definition(spark):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, lang_pred string")
     model = langid.fit(langid.sample(docs.filter(~langid.held_out() & (F.col("doc_id") < 5000))))
     gate = langid.fit_gate(docs, model)
-    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0 and len(r[1] or "") >= langid.ENOUGH and r[2] in model.labels]
-    labels, score, letters, bits = model.judge([r[1] for r in own])
-    assert (letters >= langid.ENOUGH).all()
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0 and any(c.isalpha() for c in r[1] or "") and r[2] in model.labels]
+    labels, _, letters, bits, margin = model.judge([r[1] for r in own])
     right = np.array([r[2] == p for r, p in zip(own, labels)])
-    assert gate.sure == min(s for s in score if right[score >= s].mean() >= langid.RIGHT)
-    assert abs(gate.most_bits - langid.BITS_MARGIN * np.median(bits)) < 1e-9
+    assert gate.sure == max(langid.ROOM * model.phrase_bits, min(m for m in margin if right[margin >= m].mean() >= langid.RIGHT))
+    assert abs(gate.most_bits - langid.BITS_MARGIN * (bits * letters).sum() / letters.sum()) < 1e-9
+    assert gate.room >= langid.ROOM * model.phrase_bits and ((bits - gate.most_bits) * letters > gate.room).sum() <= max(1, len(own) * (1 - langid.RIGHT))
     kept = {r.doc_id for r in langid.with_language(docs, gate).collect()}
-    assert {r[0] for r in rows} - kept == {5000, 5001, 5005, 5006}
+    # Four words are enough to contradict a label, five foreign letters are not enough to tell anything.
+    assert {r[0] for r in rows} - kept == {5000, 5001, 5004, 5005, 5006}
+
+
+def plain_language(text, samples):
+    """The label with the fewest longest-match phrases, by substring search, of labels with the longer sample first."""
+    def symbols(t):
+        out = ""
+        for c in t.lower():
+            c = c if c.isalpha() else "\0"
+            out += "" if c == "\0" == out[-1:] else c
+        return out
+
+    best = []
+    for at, (label, texts) in enumerate(samples):
+        learned = ("\0" + "\0".join(map(symbols, texts)))[: langid.SAMPLE_SYMBOLS]
+        phrases, own = 0, symbols(text)
+        for begin in range(0, len(own), langid.STRETCH):
+            phrases, run = phrases + 1, ""
+            for c in own[begin : begin + langid.STRETCH]:
+                if run + c in learned:
+                    run += c
+                else:
+                    phrases, run = phrases + 1, c if c in learned else ""
+        best.append((phrases, -len(learned), at, label))
+    return min(best)[-1] if any(c.isalpha() for c in text) else "und"
+
+
+@pytest.mark.parametrize("stray", ["ok", "o", "ciao", "test doc", "una parola che si dice ogni tanto " * 3, "quando la sera scende sul mare e le luci della costa si accendono piano " * 14])
+def test_a_label_with_little_text_takes_no_others(spark, sf_dir, stray):
+    """A stray label of a few letters to a thousand leaves held-out predictions as right as they are without it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    more = docs.union(spark.createDataFrame([(10**9 + 1, stray, "xx")], docs.schema))
+    samples = langid.sample(more.filter(~langid.held_out()))
+    model = langid.fit(samples)
+    assert "xx" in model.scarce and model.labels == sorted({*model.labels, "xx"})
+    held = [r for r in docs.filter(langid.held_out()).collect() if any(c.isalpha() for c in r.text or "")]
+    got = model.judge([r.text for r in held])[0]
+    assert np.mean([r.lang == p for r, p in zip(held, got)]) > 0.95 and "xx" not in got
+    some = [r.text[:400] for r in held[:12]] + [stray, "Ok. Ciao!", "12"]
+    assert model.judge(some)[0] == [plain_language(t, samples) for t in some]
 
 
 def test_stretches_and_small_tables(monkeypatch):
@@ -423,8 +463,8 @@ def test_pipeline_stages_against_plain_ones(spark, sf_dir):
     gate = langid.fit_gate(docs, langid.fit(langid.sample(docs.filter(~langid.held_out()))))
     kept = []
     for r in before:
-        (label,), (score,), (letters,), (bits,) = gate.model.judge([r.text])
-        if letters and (letters < langid.ENOUGH or bits <= gate.most_bits and not (r.lang in gate.model.labels and r.lang != label and score >= gate.sure)):
+        (label,), _, (letters,), (bits,), (margin,) = gate.model.judge([r.text])
+        if letters and (bits - gate.most_bits) * letters <= gate.room and not (r.lang in gate.model.labels and r.lang != label and margin >= gate.sure):
             kept.append(r)
     assert sorted(kept) == sorted(after)
     before, after = seen["SimHash near-dedup"]
