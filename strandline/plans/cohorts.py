@@ -6,9 +6,8 @@ result has a row for each member with ``label``; unknown flags count as false, a
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -260,13 +259,17 @@ def with_chemotherapy(encounters: DataFrame, codes: DataFrame, procedures: DataF
 def neutropenic_fever(
     encounters: DataFrame, codes: DataFrame, procedures: DataFrame, p: Chemotherapy = Chemotherapy(), fever: tuple[str, ...] = ("R50",), neutropenia: tuple[str, ...] = ("D70",), days_after: int = 30, readmitted_only: bool = False
 ) -> DataFrame:
-    """Chemotherapy encounters without fever; label: a readmission with neutropenic fever before the next chemotherapy.
+    """Chemotherapy encounters without fever; label: a readmission with neutropenic fever before the next chemotherapy."""
+    rows = C.code_flags(with_chemotherapy(encounters, codes, procedures, p), codes, {"fever": C.matches(fever), "neutropenia": C.matches(neutropenia)})
+    return fever_labels(rows.withColumn("nf", F.col("fever") & F.col("neutropenia")), days_after, readmitted_only)
+
+
+def fever_labels(rows: DataFrame, days_after: int = 30, readmitted_only: bool = False) -> DataFrame:
+    """For encounters with flags ``chemo`` and ``nf``: those with chemotherapy and without fever, with their label.
 
     Of the readmissions in the days after, only those before the first with chemotherapy decide. If none of these has
     fever, fever at or after that chemotherapy leaves the encounter out. Death without readmission leaves it out too.
     """
-    rows = C.code_flags(with_chemotherapy(encounters, codes, procedures, p), codes, {"fever": C.matches(fever), "neutropenia": C.matches(neutropenia)})
-    rows = rows.withColumn("nf", F.col("fever") & F.col("neutropenia"))
     later = intervals.followups(rows, days_after, ["chemo", "nf"])
     place = F.struct("next_admit", "next_encounter")
     per = later.groupBy("encounter").agg(
@@ -295,6 +298,11 @@ def aplasia(encounters: DataFrame, codes: DataFrame, procedures: DataFrame, even
     low: test on events; transfused: test on procedure codes. One row for each encounter, however many procedures it has.
     """
     rows = C.code_flags(with_chemotherapy(encounters, codes, procedures, p), procedures, {"transfusion": transfused})
+    return aplasia_labels(rows, events, low, days_after)
+
+
+def aplasia_labels(rows: DataFrame, events: DataFrame, low: Column, days_after: int = 45) -> DataFrame:
+    """For encounters with flags ``chemo`` and ``transfusion``: those with chemotherapy and without aplasia, with their label."""
     counts = events.filter(low).select("entity", "ts")
     now = rows.select("encounter", "entity", "admit", "disch").join(counts, "entity").filter("ts between admit and disch").select("encounter").distinct().withColumn("low_now", F.lit(True))
     later_low = intervals.first_event_after(events, rows, days_after, low)
@@ -314,42 +322,3 @@ def aplasia(encounters: DataFrame, codes: DataFrame, procedures: DataFrame, even
         .when(next_at < F.col("chemo_at"), 1)
     )
     return own.withColumn("label", label).filter("label is not null")
-
-
-#: Name of each cohort: its function. ``extract`` runs them by name.
-COHORTS = {
-    "aki": acute_kidney_injury,
-    "alc_cirrhosis": alcoholic_cirrhosis,
-    "aplasia": aplasia,
-    "af": new_fibrillation,
-    "bone_tumor": bone_tumor,
-    "gi_bleed": transfusion,
-    "hf_af": heart_failure_fibrillation,
-    "immunocompromised": immunocompromised,
-    "liver_cirrhosis": liver_cirrhosis,
-    "everyone_else": everyone_else,
-    "mi": myocardial_infarction,
-    "neutropenic_fever": neutropenic_fever,
-    "obesity_pneumonia": obesity_pneumonia,
-    "pneumonia": pneumonia,
-    "prostate_cancer": prostate,
-    "thrombosis": thrombosis,
-    "pressure_ulcer": pressure_ulcer,
-    "uti": urinary_infection,
-}
-
-
-def extract(names: list[str], arguments: Mapping[str, dict]) -> DataFrame:
-    """(cohort, entity, encounter, label) of the named cohorts, or of every registered one for the name ``all``.
-
-    arguments: for each cohort the tables and changed parameters of its function. A cohort without labels has nulls.
-    """
-    wanted = list(COHORTS) if names == ["all"] else names
-    if unknown := [n for n in wanted if n not in COHORTS]:
-        raise ValueError(f"no such cohorts: {unknown}; there are {sorted(COHORTS)}")
-    parts = []
-    for name in wanted:
-        rows = COHORTS[name](**arguments[name])
-        label = F.col("label").cast("int") if "label" in rows.columns else F.lit(None).cast("int")
-        parts.append(rows.select(F.lit(name).alias("cohort"), "entity", "encounter", label.alias("label")))
-    return reduce(DataFrame.unionByName, parts)

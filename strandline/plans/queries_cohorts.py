@@ -10,7 +10,9 @@ from strandline.functions.scalar import hours, plus_days
 from strandline.operators import codes as C
 from strandline.operators import firsts, intervals, labels, trajectory
 from strandline.plans import cohorts as K
+from strandline.plans import published as P
 from strandline.plans.registry import ORACLES, query
+from strandline.plans.specs import CohortSpec, Extraction, chosen
 from strandline.schemas import COHORT_COLUMNS, EVENTS
 from strandline.sources import readers
 from strandline.sources.fixtures import Tables
@@ -678,33 +680,45 @@ def _(t: Tables) -> DataFrame:
     return K.aplasia(t.people, t.codes, t.procedures, t.events, F.col("value") < 0.3, C.matches(("000",)), CHEMO, 300).select("entity", "encounter", "label")
 
 
-def arguments(t: Tables) -> dict[str, dict]:
-    """Tables and parameters of every registered cohort, as the queries of single cohorts have them."""
-    stays = {"stays": t.stay_people, "codes": t.codes}
-    events = t.events.join(t.stays.select("encounter", "stay"), "encounter")
+MANY = ("A001", "B012", "C023", "D034", "E005", "F016", "G027")
+
+
+def registered() -> dict[str, CohortSpec]:
+    """Every registered cohort by name, with the codes and items of the derived tables, as the queries of single cohorts have them."""
+    specs = (
+        P.acute_kidney_injury(K.KidneyInjury(item=50801, dialysis=(50802,), chronic=("B",), black=("BLACK",))),
+        P.alcoholic_cirrhosis(("A001", "B012", "C023", "D004", "E015")),
+        P.aplasia(F.col("value") < 0.3, C.matches(("000",)), CHEMO, 300),
+        P.new_fibrillation(("B001", "B012"), ("002",)),
+        P.bone_tumor(("E", "F01")),
+        P.transfusion(F.col("is_blood"), (*MANY, "H031")),
+        P.heart_failure_fibrillation(MANY, ("A", "B"), ("C001",)),
+        P.immunocompromised(("B", "C0", "D02"), min_hours=30),
+        P.liver_cirrhosis(LIVER),
+        P.everyone_else(),
+        P.myocardial_infarction(("A0", "B01")),
+        P.neutropenic_fever(CHEMO, ("A",), ("B",), 400),
+        P.obesity_pneumonia(("D", "E", "F"), (50801, 50802, 50803), (50804, 50805, 50806)),
+        P.pneumonia(("A", "B", "C")),
+        P.prostate("C011", "F022", "C01"),
+        P.thrombosis(("C", "D"), ("C04",), ("G0",), ("H03",)),
+        P.pressure_ulcer((50802, 50804)),
+        P.urinary_infection(("C0", "D01")),
+    )
+    return {s.name: s for s in specs}
+
+
+#: Names in the order of the registry.
+REGISTERED = ("aki", "alc_cirrhosis", "aplasia", "af", "bone_tumor", "gi_bleed", "hf_af", "immunocompromised", "liver_cirrhosis", "everyone_else", "mi", "neutropenic_fever", "obesity_pneumonia", "pneumonia", "prostate_cancer", "thrombosis", "pressure_ulcer", "uti")
+
+
+def extraction(t: Tables, specs: list[CohortSpec]) -> Extraction:
+    """Over the derived tables; events get their rhythm and whether they are a transfusion."""
     text = F.when(F.col("item") == 50803, "Afib (Atrial Fibrillation)").when(F.col("item") == 50806, "a-flutter").otherwise("Sinus rhythm")
-    chemo = {"encounters": t.people, "codes": t.codes, "procedures": t.procedures, "p": CHEMO}
-    many = ("A001", "B012", "C023", "D034", "E005", "F016", "G027")
-    return {
-        "aki": stays | {"encounters": t.encounters, "events": t.events, "procedures": events, "p": K.KidneyInjury(item=50801, dialysis=(50802,), chronic=("B",), black=("BLACK",))},
-        "alc_cirrhosis": stays | {"exact": ("A001", "B012", "C023", "D004", "E015")},
-        "aplasia": chemo | {"events": t.events, "low": F.col("value") < 0.3, "transfused": C.matches(("000",)), "days_after": 300},
-        "af": stays | {"procedures": t.procedures, "rhythms": events.withColumn("text", text), "history": ("B001", "B012"), "surgery": ("002",)},
-        "bone_tumor": stays | {"prefixes": ("E", "F01")},
-        "gi_bleed": stays | {"inputs": events, "items": readers.items_by_label(t.items, "PRBC", "PACKED RBC"), "exact": (*many, "H031")},
-        "hf_af": stays | {"failure": many, "prefixes": ("A", "B"), "exact": ("C001",)},
-        "immunocompromised": stays | {"prefixes": ("B", "C0", "D02"), "min_hours": 30},
-        "liver_cirrhosis": stays | {"encounters": t.encounters, "procedures": t.procedures, "rules": LIVER},
-        "everyone_else": {"encounters": t.encounters, "cohorts": [t.stays, t.procedures]},
-        "mi": stays | {"prefixes": ("A0", "B01")},
-        "neutropenic_fever": chemo | {"fever": ("A",), "neutropenia": ("B",), "days_after": 400},
-        "obesity_pneumonia": stays | {"events": t.events, "prefixes": ("D", "E", "F"), "heights": (50801, 50802, 50803), "weights": (50804, 50805, 50806)},
-        "pneumonia": stays | {"encounters": t.encounters, "prefixes": ("A", "B", "C")},
-        "prostate_cancer": {"encounters": t.people, "codes": t.codes, "cancer": "C011", "hyperplasia": "F022", "family": "C01"},
-        "thrombosis": stays | {"cancer": ("C", "D"), "history": ("C04",), "clots": ("G0",), "pregnancy": ("H03",)},
-        "pressure_ulcer": {"stays": t.stay_people, "events": events, "items": (50802, 50804)},
-        "uti": stays | {"prefixes": ("C0", "D01")},
-    }
+    blood = readers.items_by_label(t.items, "PRBC", "PACKED RBC").select("item", F.lit(True).alias("is_blood"))
+    events = t.events.withColumn("text", text).join(blood, "item", "left")
+    return Extraction(specs, t.encounters, t.entities, t.codes, t.procedures, t.stays, events)
+
 
 
 #: The queries of single cohorts under other names than the registry's.
@@ -714,7 +728,7 @@ OTHER_NAMES = {"everyone_else": "cohort_all", "prostate_cancer": "cohort_prostat
 def registry_sql() -> str:
     """Every cohort's own SQL, counted. The common tables come before the first select."""
     parts = []
-    for name in K.COHORTS:
+    for name in REGISTERED:
         label = "NULL" if name == "everyone_else" else "label"
         own = ORACLES[OTHER_NAMES.get(name, f"cohort_{name}")]
         parts.append(f"SELECT '{name}' AS cohort, count(*) AS n, CAST(count(DISTINCT encounter) AS BIGINT) AS encounters, CAST(coalesce(sum({label}), 0) AS BIGINT) AS positives FROM ({own})")
@@ -723,5 +737,5 @@ def registry_sql() -> str:
 
 @query("cohort_registry", registry_sql())
 def _(t: Tables) -> DataFrame:
-    rows = K.extract(["all"], arguments(t)).groupBy("cohort")
+    rows = extraction(t, chosen(["all"], registered())).members().groupBy("cohort")
     return rows.agg(F.count("*").alias("n"), F.countDistinct("encounter").alias("encounters"), F.coalesce(F.sum("label"), F.lit(0)).alias("positives"))

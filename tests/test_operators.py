@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import pvalues, scalar
 from strandline.operators import catalog, codes, firsts, intervals, labels, metrics, models, selection, series, splits, trajectory
-from strandline.plans import cohorts
+from strandline.plans import cohorts, queries_cohorts, specs
 from strandline.schemas import conform
 from strandline.sources import readers
 from strandline.streaming import incremental
@@ -290,8 +290,9 @@ def test_protocol_branches(spark):
 
 
 def test_registry_names(spark):
-    with pytest.raises(ValueError, match="nothing"):
-        cohorts.extract(["mi", "nothing"], {})
+    with pytest.raises(ValueError, match="no such cohorts: \\['nothing'\\]"):
+        specs.chosen(["mi", "nothing"], queries_cohorts.registered())
+    assert tuple(queries_cohorts.registered()) == queries_cohorts.REGISTERED and len(specs.chosen(["all"], queries_cohorts.registered())) == 18
 
 
 def test_conform(spark):
