@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import band
 from strandline.operators import catalog as G
-from strandline.operators import metrics, models, selection, splits
+from strandline.operators import batched, metrics, models, selection, splits
 from strandline.operators import series as S
 from strandline.plans.queries_series import rounded
 from strandline.plans.registry import query
@@ -610,8 +611,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("ml_nested_cv")
 def _(t: Tables) -> DataFrame:
-    rows = features(t).withColumn("inner", F.pmod(F.xxhash64("series"), F.lit(3)))
-    return rounded(models.nested(rows, "logistic", [{"regParam": 0.1}, {"regParam": 1.0}], [0, 1, 2])[0], "score")
+    """Test scores by the penalty that three inner folds choose for each cohort: all series, and each third of them."""
+    rows = features(t).withColumn("features", vector_to_array("features")).withColumn("inner", F.pmod(F.xxhash64("series"), F.lit(3)).cast("int"))
+    cohorts = F.array(F.lit("all"), F.concat(F.lit("part"), (F.col("series") % 3).cast("string")))
+    scores, _chosen = batched.train(rows.withColumn("cohort", F.explode(cohorts)), "nested", [0.1, 1.0])
+    return rounded(scores.select("cohort", "series", "label", "score"), "score")
 
 
 @query("st_kmeans")
