@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import band, ratio
+from strandline.sources.scratch import written
 
 GROUPS = ("train", "val", "test")
 
@@ -123,41 +124,94 @@ def initial_groups(entities: DataFrame, ratios: Sequence[float] = (0.8, 0.1, 0.1
     return ranked.select("entity", F.when(at < ratios[0], "train").when(at < ratios[0] + ratios[1], "val").otherwise("test").alias("split"))
 
 
-def optimise(members: DataFrame, ratios: Sequence[float] = (0.8, 0.1, 0.1), passes: int = 12, share: float = 0.1, seed: int = 42) -> tuple[DataFrame, list[float]]:
-    """Groups that come close to the ratios in all cohorts: (entity, split) and the objective after each pass.
+def strata(members: DataFrame, ratios: Sequence[float] = (0.8, 0.1, 0.1), stratified: bool = False) -> DataFrame:
+    """(stratum, entity): what has to meet the ratios: cohorts, or both classes of a cohort that has enough rows of each.
 
-    members: (cohort, entity). A pass lets every entity find the group that lowers the summed deviation of its cohorts
-    most, moves a hashed share of those that gain, and keeps the result if the objective fell; else it takes a third of the share.
-    Counts are one row a cohort. Each pass is written to the checkpoint folder, so its lineage stays short.
+    members: (cohort, entity), and label if stratified (the largest of an entity's rows).
     """
-    own = members.select("cohort", "entity").distinct()
-    sizes = own.groupBy("cohort").agg(F.count("*").alias("n"))
-    now = initial_groups(own, ratios, seed).checkpoint()
+    if not stratified:
+        return members.select(F.col("cohort").cast("string").alias("stratum"), "entity").filter("stratum is not null and entity is not null").distinct()
+    own = members.groupBy("cohort", "entity").agg(F.max("label").alias("label")).filter("cohort is not null and entity is not null")
+    enough = -(-1 // min(ratios))
+    sizes = own.groupBy("cohort").agg(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).alias("__least"))
+    name = F.when(F.col("__least") >= enough, F.concat(F.col("cohort").cast("string"), F.lit("\0"), F.coalesce(F.col("label").cast("string"), F.lit("")))).otherwise(F.col("cohort").cast("string"))
+    return own.join(sizes, "cohort").select(name.alias("stratum"), "entity")
+
+
+#: Rounds in which candidates for a move drop out, at most.
+ROUNDS = 4
+
+
+def _gaining(rows: DataFrame, counted: DataFrame, ratios: Sequence[float]) -> DataFrame:
+    """(entity, to) of the candidates that gain after all before them have moved. rows: one for each stratum of a candidate."""
+    earlier = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("stratum", "bucket").agg(*[F.sum(f"d_{g}").alias(f"s_{g}") for g in GROUPS])
+    offsets = sums.select("stratum", "bucket", *[F.coalesce(F.sum(f"s_{g}").over(earlier), F.lit(0)).alias(f"o_{g}") for g in GROUPS])
+    inside = Window.partitionBy("stratum", "bucket").orderBy("h", "entity").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumns({f"i_{g}": F.coalesce(F.sum(f"d_{g}").over(inside), F.lit(0)) for g in GROUPS})
+    placed = placed.join(offsets, ["stratum", "bucket"]).join(counted, "stratum")
+    before = [F.col(f"c_{g}") + F.col(f"o_{g}") + F.col(f"i_{g}") for g in GROUPS]
+    after = [b + F.col(f"d_{g}") for b, g in zip(before, GROUPS)]
+    gain = F.sum(_deviation(before, F.col("n"), ratios) - _deviation(after, F.col("n"), ratios))
+    return placed.groupBy("entity").agg(gain.alias("left"), F.first("to").alias("to")).filter("left > 1e-12").select("entity", "to")
+
+
+def optimise(
+    members: DataFrame, ratios: Sequence[float] = (0.8, 0.1, 0.1), passes: int = 200, patience: int = 10, tol: float = 1e-6, stratified: bool = False, seed: int = 42
+) -> tuple[DataFrame, list[float]]:
+    """Groups that come close to the ratios in all cohorts: (entity, split), and the objective after each pass that lowered it.
+
+    In a pass every entity looks for the group that lowers the summed deviation of its strata most; those that find one
+    are candidates, in the order of their gain (by powers of two), then of a hash that is new in each pass. Running sums
+    in each stratum say where its counts would be if all candidates before had moved; a candidate stays one only if it
+    still gains there. After ``ROUNDS`` such rounds (fewer, if none drops out) the candidates move. If none dropped out
+    in the last round, the objective falls by just the sum of their gains, so moves made together do not overshoot; a pass
+    that does not lower it by tol is undone. It ends without candidates, after patience undone passes in a row, or after so many passes.
+
+    Running sums are offsets of buckets and windows inside them, so no stratum has to fit a task. Counts are one row a
+    stratum; each step is written to the shared folder.
+    """
+    own = written(strata(members, ratios, stratified), "strata")
+    sizes = own.groupBy("stratum").agg(F.count("*").alias("n"))
+    now = written(initial_groups(own, ratios, seed), "groups")
+    counts = [F.col(f"c_{g}") for g in GROUPS]
+
+    def tally(groups: DataFrame) -> tuple[DataFrame, float]:
+        rows = own.join(groups, "entity").groupBy("stratum").agg(*[F.count_if(F.col("split") == g).alias(f"c_{g}") for g in GROUPS])
+        rows = written(rows.join(sizes, "stratum"), "counts")
+        return rows, rows.agg(F.sum(_deviation(counts, F.col("n"), ratios))).first()[0] or 0.0
 
-    def tally(groups: DataFrame) -> DataFrame:
-        rows = own.join(groups, "entity").groupBy("cohort").agg(*[F.count_if(F.col("split") == g).alias(f"c_{g}") for g in GROUPS])
-        return rows.join(sizes, "cohort").withColumn("dev", _deviation([F.col(f"c_{g}") for g in GROUPS], F.col("n"), ratios))
+    def moves(split: Column, to: Column) -> list[Column]:
+        return [(to == g).cast("int") - (split == g).cast("int") for g in GROUPS]
 
-    counted = tally(now).checkpoint()
-    history = [counted.agg(F.sum("dev")).first()[0] or 0.0]
+    counted, value = tally(now)
+    history, stale = [value], 0
     for k in range(passes):
-        here = own.join(now, "entity").join(counted, "cohort")
-        gains = []
-        for target in GROUPS:
-            moved = [F.col(f"c_{g}") - F.when(F.col("split") == g, 1).otherwise(0) + (1 if g == target else 0) for g in GROUPS]
-            gain = F.sum(F.col("dev") - _deviation(moved, F.col("n"), ratios))
-            gains.append(F.struct(gain.alias("gain"), F.lit(target).alias("to")))
-        best = here.groupBy("entity", "split").agg(*[g.alias(f"g{i}") for i, g in enumerate(gains)])
-        best = best.select("entity", "split", F.greatest(*[f"g{i}" for i in range(len(GROUPS))]).alias("best"))
-        chosen = (F.col("best.gain") > 1e-12) & (F.pmod(hashed(seed + k, "entity"), F.lit(1000)) < share * 1000)
-        tried = best.select("entity", F.when(chosen, F.col("best.to")).otherwise(F.col("split")).alias("split")).checkpoint()
-        recount = tally(tried).checkpoint()
-        value = recount.agg(F.sum("dev")).first()[0] or 0.0
-        if value < history[-1]:
-            now, counted = tried, recount
+        here = own.join(now, "entity").join(counted, "stratum")
+        gains = [F.struct(F.sum(_deviation(counts, F.col("n"), ratios) - _deviation([c + d for c, d in zip(counts, moves(F.col("split"), F.lit(g)))], F.col("n"), ratios)).alias("gain"), F.lit(g).alias("to")).alias(f"g{i}") for i, g in enumerate(GROUPS)]
+        best = here.groupBy("entity", "split").agg(*gains).select("entity", "split", F.greatest(*[f"g{i}" for i in range(len(GROUPS))]).alias("best"))
+        wish = best.filter("best.gain > 1e-12").select("entity", "split", F.col("best.to").alias("to"), F.col("best.gain").alias("gain"), hashed(seed + k, "entity").alias("h"))
+        # 256 buckets of each power of two.
+        bucket = F.floor(-F.log2("gain")).cast("long") * 256 + F.shiftrightunsigned("h", 56)
+        rows = written(own.join(wish.withColumn("bucket", bucket), "entity").withColumns({f"d_{g}": d for g, d in zip(GROUPS, moves(F.col("split"), F.col("to")))}), "wishes")
+        moved, n = wish.select("entity", "to"), rows.select("entity").distinct().count()
+        if not n:
+            break
+        for _ in range(ROUNDS):
+            moved = written(_gaining(rows, counted, ratios), "moves")
+            left = moved.count()
+            if left == n:
+                break
+            rows, n = rows.join(moved.select("entity"), "entity", "left_semi"), left
+        tried = written(now.join(moved, "entity", "left").select("entity", F.coalesce("to", "split").alias("split")), "groups")
+        recount, value = tally(tried)
+        if value < history[-1] - tol:
+            now, counted, stale = tried, recount, 0
             history.append(value)
         else:
-            share /= 3
+            stale += 1
+            if stale >= patience:
+                break
     return now, history
 
 

@@ -14,7 +14,7 @@ from strandline.plans.queries_series import rounded
 from strandline.plans.registry import query
 from strandline.sources import readers
 from strandline.sources.fixtures import Tables
-from strandline.sources.scratch import scratch, shared_folder, written
+from strandline.sources.scratch import scratch, written
 
 # --- metrics -------------------------------------------------------------------------------------------------------
 
@@ -171,11 +171,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("split_optimise")
 def _(t: Tables) -> DataFrame:
-    """Rows: the objective after each pass that improved it."""
+    """The group of every entity, balanced over the cohorts of its codes, and the objective that was reached."""
     members = t.codes.select(F.substring("code", 1, 3).alias("cohort"), "entity")
-    shared_folder(t.spark)
-    _groups, history = splits.optimise(members, passes=8)
-    return t.spark.createDataFrame([(k, float(v)) for k, v in enumerate(history)], "pass long, objective double")
+    groups, history = splits.optimise(members)
+    return groups.withColumn("objective", F.round(F.lit(history[-1]), 6))
 
 
 @query("split_global")

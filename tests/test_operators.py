@@ -171,15 +171,71 @@ def test_kfold_invariants(spark):
         assert sum(r.label for r in own if r.split == "test") == 20
 
 
-def test_optimiser_never_rises_and_beats_random(spark):
-    rng = random.Random(5)
-    members = spark.createDataFrame([("c%d" % c, e) for c in range(12) for e in rng.sample(range(300), 60)], "cohort string, entity long")
-    groups, history = splits.optimise(members, passes=5)
-    assert all(b < a for a, b in zip(history, history[1:])) and len(history) > 1
-    assert groups.count() == members.select("entity").distinct().count()
-    everyone = spark.range(1000).select(F.col("id").alias("entity"))
+def serial_search(groups, membership, size, ratios, seed):
+    """Entities in random order, each to the group that is best now, until a sweep changes nothing; the objective."""
+    rng, count = random.Random(seed), {s: Counter() for s in size}
+    for e, g in groups.items():
+        for s in membership[e]:
+            count[s][g] += 1
+
+    def deviation(s, shift=()):
+        c = Counter(count[s])
+        c.update(dict(shift))
+        return sum(abs(r - c[g] / size[s]) for g, r in zip(splits.GROUPS, ratios))
+
+    order, groups = list(groups), dict(groups)
+    while True:
+        rng.shuffle(order)
+        moved = 0
+        for e in order:
+            here = groups[e]
+            gains = {to: sum(deviation(s) - deviation(s, ((here, -1), (to, 1))) for s in membership[e]) for to in splits.GROUPS if to != here}
+            to = max(gains, key=gains.get)
+            if gains[to] > 1e-12:
+                for s in membership[e]:
+                    count[s].update({here: -1, to: 1})
+                groups[e], moved = to, moved + 1
+        if not moved:
+            return sum(deviation(s) for s in size)
+
+
+@pytest.mark.parametrize("stratified", [False, True])
+def test_optimiser_is_as_good_as_a_serial_search(spark, stratified):
+    rng, ratios = random.Random(5), (0.8, 0.1, 0.1)
+    rows = [("c%d" % c, e, int(rng.random() < (0.02 if c == 3 else 0.4))) for c in range(14) for e in rng.sample(range(900), 40 + 20 * c)]
+    rows += [("all", e, e % 2) for e in range(900)] + rows[:5] + [(None, 1, 1), ("c1", None, 0)]
+    members = spark.createDataFrame(rows, "cohort string, entity long, label int").cache()
+    groups, history = splits.optimise(members, ratios, stratified=stratified)
+    assert all(b < a - 1e-6 for a, b in zip(history, history[1:])) and len(history) > 1
+    membership, size = {}, Counter()
+    for r in splits.strata(members, ratios, stratified).collect():
+        membership.setdefault(r.entity, []).append(r.stratum)
+        size[r.stratum] += 1
+    assert len(size) == (29 if stratified else 15)  # one cohort has too few of one class to be split
+    found = {r.entity: r.split for r in groups.collect()}
+    assert found.keys() == membership.keys()
+    reached = sum(abs(r - sum(found[e] == g for e, own in membership.items() if s in own) / size[s]) for s in size for g, r in zip(splits.GROUPS, ratios))
+    assert abs(reached - history[-1]) < 1e-6
+    begin = {r.entity: r.split for r in splits.initial_groups(spark.createDataFrame([(e,) for e in membership], "entity long"), ratios).collect()}
+    assert reached <= 1.05 * min(serial_search(begin, membership, size, ratios, seed) for seed in range(3)) + 0.02
+    everyone = spark.range(2000).select(F.col("id").alias("entity"))
     sizes = {r.split: r["count"] for r in splits.extend_to_all(groups, everyone).groupBy("split").count().collect()}
-    assert sum(sizes.values()) == 1000 and abs(sizes["train"] - 800) <= 5
+    assert sum(sizes.values()) == 2000 and abs(sizes["train"] - 1600) <= 5
+
+
+def test_moves_made_together_do_not_overshoot(spark):
+    """One cohort: two passes are enough, since as many move as are needed; no members give no groups."""
+    members = spark.createDataFrame([("c", e) for e in range(500)], "cohort string, entity long")
+    start = splits.initial_groups(members, (0.2, 0.4, 0.4))
+    before, splits.initial_groups = splits.initial_groups, lambda *_: start
+    try:
+        groups, history = splits.optimise(members, patience=1)
+    finally:
+        splits.initial_groups = before
+    assert len(history) <= 3 and history[-1] < 1e-9
+    assert {r.split: r["count"] for r in groups.groupBy("split").count().collect()} == {"train": 400, "val": 50, "test": 50}
+    nothing, history = splits.optimise(members.limit(0), patience=1)
+    assert nothing.collect() == [] and history == [0.0]
 
 
 def test_oversample_balances(spark):
