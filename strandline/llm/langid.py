@@ -335,8 +335,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 @dataclass
 class Gate:
-    """A model, and what rejects a text: a label that a prediction contradicts by ``sure`` bits or more, or more than
-    ``room`` bits beyond ``most_bits`` a letter in the best language."""
+    """A model, and what rejects a text: a label that a prediction with the score ``sure`` or more contradicts by ROOM
+    phrases or more, or more than ``room`` bits beyond ``most_bits`` a letter in the best language."""
 
     model: Model
     sure: float = np.inf
@@ -344,18 +344,18 @@ class Gate:
     room: float = np.inf
 
     def passes(self, texts: list[str | None], given: list[str | None]) -> np.ndarray:
-        labels, _, letters, bits, margin = self.model.judge(texts)
+        labels, score, letters, bits, margin = self.model.judge(texts)
         known = set(self.model.labels)
         against = np.array([g in known and g != p for g, p in zip(given, labels)], bool)
         foreign = np.zeros(len(letters), bool) if np.isinf(self.most_bits) else (bits - self.most_bits) * letters > self.room
-        return (letters > 0) & ~(against & (margin >= self.sure) | foreign)
+        return (letters > 0) & ~(against & (score >= self.sure) & (margin >= ROOM * self.model.phrase_bits) | foreign)
 
 
 def fit_gate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", checked: int = CHECKED) -> Gate:
     """Thresholds from labelled rows with letters that are held out, so many of them at most, by a hash of the id.
 
-    A prediction is sure from the least margin on at which RIGHT of these rows are predicted right (never, if there is
-    none), ROOM phrases at least; a text may need BITS_MARGIN times the bits a letter that these rows need together, and
+    A prediction is sure from the least score on at which RIGHT of these rows, of those that it wins by ROOM phrases, are
+    predicted right (never, if there is none): a text in two languages has a low score, however long it is. A text may need BITS_MARGIN times the bits a letter that these rows need together, and
     the room beyond it that RIGHT of these rows (of few rows all but one) stay within, ROOM phrases at least.
     """
     rows = docs.filter(held_out(id_col) & F.col(label_col).isin(model.labels) & F.col(text_col).rlike(r"\p{L}"))
@@ -363,19 +363,20 @@ def fit_gate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     # A bounded number of ids is broadcast, and only their texts are looked at.
     some = docs.sparkSession.createDataFrame(some, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}")
     rows = rows.select(id_col, F.col(label_col).cast("string").alias("label"), text_col).join(F.broadcast(some), id_col)
-    found = identify(rows, model, id_col, text_col, ["label"]).filter("letters > 0").select("letters", "bits_per_letter", "margin_bits", (F.col("label") == F.col("lang_pred")).alias("right")).collect()
+    found = identify(rows, model, id_col, text_col, ["label"]).filter("letters > 0").select("letters", "bits_per_letter", "margin_bits", "score", (F.col("label") == F.col("lang_pred")).alias("right")).collect()
     if not found:
         return Gate(model)
-    return thresholds(model, *(np.array([r[k] for r in found]) for k in range(4)))
+    return thresholds(model, *(np.array([r[k] for r in found]) for k in range(5)))
 
 
-def thresholds(model: Model, letters: np.ndarray, bits: np.ndarray, margin: np.ndarray, right: np.ndarray) -> Gate:
-    """From letters, bits a letter and margins of rows, and whether their prediction is right."""
-    order = np.lexsort((right, -margin))
-    so_far = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    enough = np.flatnonzero(so_far >= RIGHT)
+def thresholds(model: Model, letters: np.ndarray, bits: np.ndarray, margin: np.ndarray, score: np.ndarray, right: np.ndarray) -> Gate:
+    """From letters, bits a letter, margins and scores of rows, and whether their prediction is right."""
     least = ROOM * model.phrase_bits
-    sure = max(least, float(margin[order[enough[-1]]])) if len(enough) else np.inf
+    score_of, right_of = score[margin >= least], right[margin >= least]
+    order = np.lexsort((right_of, -score_of))
+    so_far = np.cumsum(right_of[order]) / np.arange(1, len(order) + 1)
+    enough = np.flatnonzero(so_far >= RIGHT)
+    sure = float(score_of[order[enough[-1]]]) if len(enough) else np.inf
     most = BITS_MARGIN * float((bits * letters).sum() / letters.sum())
     room = float(np.quantile((bits - most) * letters, RIGHT, method="lower"))
     return Gate(model, sure, most, max(least, room))

@@ -269,9 +269,10 @@ def test_gate_against_its_definition(spark):
     model = langid.fit(langid.sample(docs.filter(~langid.held_out() & (F.col("doc_id") < 5000))))
     gate = langid.fit_gate(docs, model)
     own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0 and any(c.isalpha() for c in r[1] or "") and r[2] in model.labels]
-    labels, _, letters, bits, margin = model.judge([r[1] for r in own])
+    labels, score, letters, bits, margin = model.judge([r[1] for r in own])
     right = np.array([r[2] == p for r, p in zip(own, labels)])
-    assert gate.sure == max(langid.ROOM * model.phrase_bits, min(m for m in margin if right[margin >= m].mean() >= langid.RIGHT))
+    wide = margin >= langid.ROOM * model.phrase_bits
+    assert gate.sure == min(s for s in score[wide] if right[wide & (score >= s)].mean() >= langid.RIGHT)
     assert abs(gate.most_bits - langid.BITS_MARGIN * (bits * letters).sum() / letters.sum()) < 1e-9
     assert gate.room >= langid.ROOM * model.phrase_bits and ((bits - gate.most_bits) * letters > gate.room).sum() <= max(1, len(own) * (1 - langid.RIGHT))
     kept = {r.doc_id for r in langid.with_language(docs, gate).collect()}
@@ -463,8 +464,8 @@ def test_pipeline_stages_against_plain_ones(spark, sf_dir):
     gate = langid.fit_gate(docs, langid.fit(langid.sample(docs.filter(~langid.held_out()))))
     kept = []
     for r in before:
-        (label,), _, (letters,), (bits,), (margin,) = gate.model.judge([r.text])
-        if letters and (bits - gate.most_bits) * letters <= gate.room and not (r.lang in gate.model.labels and r.lang != label and margin >= gate.sure):
+        (label,), (score,), (letters,), (bits,), (margin,) = gate.model.judge([r.text])
+        if letters and (bits - gate.most_bits) * letters <= gate.room and not (r.lang in gate.model.labels and r.lang != label and score >= gate.sure and margin >= langid.ROOM * gate.model.phrase_bits):
             kept.append(r)
     assert sorted(kept) == sorted(after)
     before, after = seen["SimHash near-dedup"]
