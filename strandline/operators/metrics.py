@@ -1,7 +1,9 @@
 """Exact classification metrics, for all groups (cohort, model, fold, split) in one job.
 
 Rows are first summed by group and distinct score. Running sums over the scores of a group are sums of score bands before
-a band, plus running sums inside it, so no group has to fit one task.
+a band, plus running sums inside it. Bands are cut at approximate quantiles of each group's own scores, so they hold about
+as many scores each wherever these lie (rare events, logits), and no group has to fit one task. The cuts decide only what
+a task holds; sums are exact. Rows whose score is null or not a number, or whose label is null, are on no curve.
 """
 
 from __future__ import annotations
@@ -10,18 +12,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Bands of equal width between 0 and 1; scores beyond belong to the outer ones.
-BANDS = 256
+#: Bands of a group.
+BANDS = 64
 
 
 def by_score(rows: DataFrame, by: list[str]) -> DataFrame:
     """(group..., score, pos, neg)."""
-    return rows.filter("score is not null and label is not null").groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    known = rows.filter("score is not null and not isnan(score) and label is not null")
+    return known.groupBy(*by, F.col("score").cast("double").alias("score")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+
+
+def banded(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by_score() with the band of each score, from 0 for the lowest."""
+    rows = by_score(rows, by)
+    cuts = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.percentile_approx("score", [k / BANDS for k in range(1, BANDS)], 1000).alias("__cuts"))
+    joined = rows.join(cuts, [rows[c].eqNullSafe(cuts[f"__{c}"]) for c in by])
+    return joined.select(*rows.columns, F.size(F.filter("__cuts", lambda c: c < F.col("score"))).alias("__band"))
 
 
 def running(rows: DataFrame, by: list[str]) -> DataFrame:
     """(group..., score, pos, neg, tp, fp, p, n): by_score() with the sums of its own and all higher scores, and of all."""
-    rows = by_score(rows, by).withColumn("__band", F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), F.floor(F.col("score") * BANDS))))
+    rows = banded(rows, by)
     bands = rows.groupBy(*by, "__band").agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))  # BANDS rows a group at most
     whole = Window.partitionBy(*by)
     higher = whole.orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
@@ -36,38 +47,54 @@ def running(rows: DataFrame, by: list[str]) -> DataFrame:
     return joined.select(*[inner[c] for c in [*by, "score", "pos", "neg"]], (F.col("tp") + F.col("__tp")).alias("tp"), (F.col("fp") + F.col("__fp")).alias("fp"), "p", "n")
 
 
+def _auroc() -> Column:
+    return F.try_divide(F.sum(F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2)), F.max(F.col("p") * F.col("n"))).alias("auroc")
+
+
+def _steps() -> dict[str, Column]:
+    """Precision and recall at a score, and at the next higher one; null with one class only."""
+    both = (F.col("p") > 0) & (F.col("n") > 0)
+    tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    steps = {"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "p"), "p0": F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0)), "r0": F.try_divide(tp0, F.col("p"))}
+    return {name: F.when(both, value) for name, value in steps.items()}
+
+
+def _area() -> list[Column]:
+    s = _steps()
+    return [F.sum((s["recall"] - s["r0"]) * (s["precision"] + s["p0"]) / 2).alias("auprc"), F.max(F.least(s["precision"], s["recall"])).alias("minrp")]
+
+
 def auroc(rows: DataFrame, by: list[str]) -> DataFrame:
     """Share of (positive, negative) pairs in order, ties as half; null with one class only."""
-    pairs = running(rows, by).withColumn("won", F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2))
-    return pairs.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auroc"))
+    return running(rows, by).groupBy(*by).agg(_auroc())
 
 
 def pr_curve(rows: DataFrame, by: list[str]) -> DataFrame:
     """(group..., score, precision, recall) at each distinct score, with those of the next higher one (p0, r0)."""
-    sums = running(rows, by).filter("p > 0 and n > 0")
-    tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
-    return sums.select(
-        *by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("p")).alias("recall"),
-        F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0)).alias("p0"), (tp0 / F.col("p")).alias("r0"),
-    )
+    return running(rows, by).filter("p > 0 and n > 0").select(*by, "score", *[value.alias(name) for name, value in _steps().items()])
 
 
 def auprc(rows: DataFrame, by: list[str]) -> DataFrame:
     """(group..., auprc, minrp): trapezoids under the curve from (recall 0, precision 1); best of the smaller of the two."""
-    area = (F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2
-    return pr_curve(rows, by).groupBy(*by).agg(F.sum(area).alias("auprc"), F.max(F.least("precision", "recall")).alias("minrp"))
+    return running(rows, by).filter("p > 0 and n > 0").groupBy(*by).agg(*_area())
 
 
-def log_loss(rows: DataFrame, by: list[str], clip: float = 1e-7) -> DataFrame:
+def _loss(clip: float = 1e-7) -> Column:
     p = F.greatest(F.least("score", F.lit(1 - clip)), F.lit(clip))
-    loss = -F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p))
-    return rows.groupBy(*by).agg(F.avg(loss).alias("loss"))
+    return F.avg(-F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p))).alias("loss")
 
 
-def at_threshold(rows: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
-    """Precision, recall, balanced accuracy, MCC, F1, F2 at a threshold (reaching it is positive); 0 where undefined."""
+def log_loss(rows: DataFrame, by: list[str], clip: float = 1e-7) -> DataFrame:
+    return rows.groupBy(*by).agg(_loss(clip))
+
+
+def _cells(threshold: float) -> list[Column]:
     hit, pos = F.col("score") >= threshold, F.col("label") == 1
-    cells = rows.groupBy(*by).agg(*[F.count_if(test).cast("double").alias(name) for name, test in (("tp", hit & pos), ("fp", hit & ~pos), ("fn", ~hit & pos), ("tn", ~hit & ~pos))])
+    return [F.count_if(test).cast("double").alias(name) for name, test in (("tp", hit & pos), ("fp", hit & ~pos), ("fn", ~hit & pos), ("tn", ~hit & ~pos))]
+
+
+def _rates() -> dict[str, Column]:
+    """From the four cells; 0 where undefined."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
 
     def part(a: Column, b: Column) -> Column:
@@ -77,10 +104,21 @@ def at_threshold(rows: DataFrame, by: list[str], threshold: float = 0.5) -> Data
         return part((1 + beta**2) * tp, (1 + beta**2) * tp + beta**2 * fn + fp)
 
     root = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-    return cells.select(*by, part(tp, tp + fp).alias("precision"), part(tp, tp + fn).alias("recall"), ((part(tp, tp + fn) + part(tn, tn + fp)) / 2).alias("balanced_acc"), part(tp * tn - fp * fn, root).alias("mcc"), f(1).alias("f1"), f(2).alias("f2"))
+    return {"precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "balanced_acc": (part(tp, tp + fn) + part(tn, tn + fp)) / 2, "mcc": part(tp * tn - fp * fn, root), "f1": f(1), "f2": f(2)}
+
+
+def at_threshold(rows: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Precision, recall, balanced accuracy, MCC, F1, F2 at a threshold (reaching it is positive); 0 where undefined."""
+    return rows.groupBy(*by).agg(*_cells(threshold)).select(*by, *[value.alias(name) for name, value in _rates().items()])
 
 
 def all_metrics(rows: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
-    """One row a group with every metric; with one class only, all but the loss are null."""
-    out = log_loss(rows, by).join(auroc(rows, by), by, "left").join(auprc(rows, by), by, "left").join(at_threshold(rows, by, threshold), by, "left")
-    return out.withColumns({c: F.when(F.col("auroc").isNotNull(), F.col(c)) for c in ("precision", "recall", "balanced_acc", "mcc", "f1", "f2")})
+    """One row a group with every metric; with one class only, all but the loss are null.
+
+    Two aggregates: one of the rows, one of the running sums.
+    """
+    of_rows = rows.groupBy(*by).agg(_loss(), *_cells(threshold)).select(*by, "loss", *[value.alias(name) for name, value in _rates().items()])
+    of_curve = running(rows, by).groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(_auroc(), *_area())
+    out = of_rows.join(of_curve, [of_rows[c].eqNullSafe(of_curve[f"__{c}"]) for c in by], "left")
+    rates = [F.when(F.col("auroc").isNotNull(), F.col(c)).alias(c) for c in _rates()]
+    return out.select(*by, "loss", "auroc", "auprc", "minrp", *rates)
