@@ -11,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Bands of a group.
-BANDS = 64
+from strandline.operators.bands import banded, matched
 
 
 def by_score(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -22,17 +20,9 @@ def by_score(rows: DataFrame, by: list[str]) -> DataFrame:
     return known.groupBy(*by, F.col("score").cast("double").alias("score")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
-def banded(rows: DataFrame, by: list[str]) -> DataFrame:
-    """by_score() with the band of each score, from 0 for the lowest."""
-    rows = by_score(rows, by)
-    cuts = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.percentile_approx("score", [k / BANDS for k in range(1, BANDS)], 1000).alias("__cuts"))
-    joined = rows.join(cuts, [rows[c].eqNullSafe(cuts[f"__{c}"]) for c in by])
-    return joined.select(*rows.columns, F.size(F.filter("__cuts", lambda c: c < F.col("score"))).alias("__band"))
-
-
 def running(rows: DataFrame, by: list[str]) -> DataFrame:
     """(group..., score, pos, neg, tp, fp, p, n): by_score() with the sums of its own and all higher scores, and of all."""
-    rows = banded(rows, by)
+    rows = banded(by_score(rows, by), "score", by)
     bands = rows.groupBy(*by, "__band").agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))  # BANDS rows a group at most
     whole = Window.partitionBy(*by)
     higher = whole.orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
@@ -41,10 +31,8 @@ def running(rows: DataFrame, by: list[str]) -> DataFrame:
         F.sum("__pos").over(whole).alias("p"), F.sum("__neg").over(whole).alias("n"),
     )
     down = Window.partitionBy(*by, "__band").orderBy(F.desc("score"))
-    inner = rows.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
-    same = [inner[c].eqNullSafe(bands[c]) for c in [*by, "__band"]]
-    joined = inner.join(bands, same)
-    return joined.select(*[inner[c] for c in [*by, "score", "pos", "neg"]], (F.col("tp") + F.col("__tp")).alias("tp"), (F.col("fp") + F.col("__fp")).alias("fp"), "p", "n")
+    joined = matched(rows.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)}), bands, [*by, "__band"])
+    return joined.select(*by, "score", "pos", "neg", (F.col("tp") + F.col("__tp")).alias("tp"), (F.col("fp") + F.col("__fp")).alias("fp"), "p", "n")
 
 
 def _auroc() -> Column:
@@ -118,7 +106,6 @@ def all_metrics(rows: DataFrame, by: list[str], threshold: float = 0.5) -> DataF
     Two aggregates: one of the rows, one of the running sums.
     """
     of_rows = rows.groupBy(*by).agg(_loss(), *_cells(threshold)).select(*by, "loss", *[value.alias(name) for name, value in _rates().items()])
-    of_curve = running(rows, by).groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(_auroc(), *_area())
-    out = of_rows.join(of_curve, [of_rows[c].eqNullSafe(of_curve[f"__{c}"]) for c in by], "left")
+    out = matched(of_rows, running(rows, by).groupBy(*by).agg(_auroc(), *_area()), by, "left")
     rates = [F.when(F.col("auroc").isNotNull(), F.col(c)).alias(c) for c in _rates()]
     return out.select(*by, "loss", "auroc", "auprc", "minrp", *rates)

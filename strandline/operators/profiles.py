@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import days, plus_days, ratio
+from strandline.operators import bands
 
 WINDOWS = (15, 30, 90, 180, 365, 730)
 
@@ -97,18 +98,20 @@ def cohort_profile(profile: DataFrame, members: DataFrame, enough: int = 50, win
     """Per cohort: medians of the profile and the percentage of encounters with enough events in each window."""
     rows = members.select("cohort", "encounter").join(profile, "encounter")
     medians = {"los": "median_los", "lod": "median_lod", "n_events": "median_events", "n_items": "median_items", "n_encounters": "median_encounters", "pre_days": "median_pre_days"}
-    return rows.groupBy("cohort").agg(
-        *[(F.avg((F.col(f"n_events_{w}") >= enough).cast("double")) * 100).alias(f"cov_{w}") for w in windows],
-        *[F.median(c).alias(name) for c, name in medians.items()],
-        F.count("*").alias("n"),
-    )
+    out = rows.groupBy("cohort").agg(*[(F.avg((F.col(f"n_events_{w}") >= enough).cast("double")) * 100).alias(f"cov_{w}") for w in windows], F.count("*").alias("n"))
+    # All medians together: one row for each value of each measure.
+    long = rows.select("cohort", F.explode(F.array(*[F.struct(F.lit(name).alias("what"), F.col(c).cast("double").alias("value")) for c, name in medians.items()])).alias("x"))
+    middle = bands.quantiles(long.select("cohort", "x.what", "x.value"), "value", ["cohort", "what"], [0.5])
+    wide = middle.groupBy("cohort").agg(*[F.max(F.when(F.col("what") == name, F.col("q0"))).alias(name) for name in medians.values()])
+    return bands.matched(out, wide, ["cohort"], "left")
 
 
 def coverage(profile: DataFrame, windows: tuple[int, ...] = WINDOWS, thresholds: tuple[int, ...] = (50, 100, 200, 500)) -> DataFrame:
     """(window, median, p25, p75, cov_<threshold>...) of the events in each window, over all encounters."""
-    long = profile.select(F.explode(F.create_map(*[x for w in windows for x in (F.lit(w), F.col(f"n_events_{w}"))])).alias("window", "n"))
-    quantiles = [F.percentile("n", F.lit(q)).alias(name) for q, name in ((0.5, "median"), (0.25, "p25"), (0.75, "p75"))]
-    return long.groupBy("window").agg(*quantiles, *[(F.avg((F.col("n") >= t).cast("double")) * 100).alias(f"cov_{t}") for t in thresholds])
+    long = profile.select(F.explode(F.create_map(*[x for w in windows for x in (F.lit(w), F.col(f"n_events_{w}"))])).alias("window", "events"))
+    shares = long.groupBy("window").agg(*[(F.avg((F.col("events") >= t).cast("double")) * 100).alias(f"cov_{t}") for t in thresholds])
+    found = bands.quantiles(long, "events", ["window"], [0.5, 0.25, 0.75]).withColumnsRenamed({"q0": "median", "q1": "p25", "q2": "p75"})
+    return bands.matched(shares, found, ["window"], "left").select("window", "median", "p25", "p75", *[f"cov_{t}" for t in thresholds])
 
 
 def minmax(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -174,5 +177,6 @@ def compare_variants(one: DataFrame, two: DataFrame, key: str, columns: list[str
 def describe(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Exact count, mean, std, least, quartiles, largest of a column for each group."""
     value = F.col(column)
-    quartiles = [F.percentile(value, F.lit(q)).alias(name) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), *quartiles, F.max(value).alias("largest"))
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    found = bands.quantiles(rows, column, by, [0.25, 0.5, 0.75]).withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"})
+    return bands.matched(out, found, by, "left").select(*by, "n", "mean", "std", "least", "p25", "p50", "p75", "largest")

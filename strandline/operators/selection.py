@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.pvalues import t_pvalue
+from strandline.operators import bands
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -152,14 +153,17 @@ def feature_stats(means: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, column: str, by: list[str], name: str) -> DataFrame:
-    """Adds the rank of a value in its group; equal values share the mean of their ranks."""
-    order, same = Window.partitionBy(*by).orderBy(column), Window.partitionBy(*by, column)
-    return rows.withColumn(name, F.rank().over(order) + (F.count("*").over(same) - 1) / 2)
+    """Adds the rank of a value in its group; equal values share the mean of their ranks. Nulls and NaN have no rank.
+
+    Values are ranked once each and joined back, so neither a large group nor a frequent value has to fit a task.
+    """
+    found = bands.ranks(bands.counted(rows, column, by), column, by, name)
+    return bands.matched(rows, found.drop("n"), [*by, column], "left")
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by..., n, r) over rows that have both values."""
-    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     ranked = average_ranks(average_ranks(both, x, by, "__x"), y, by, "__y")
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson(F.col("__x"), F.col("__y")).alias("r"))
 
@@ -174,14 +178,25 @@ def paired_t(pairs: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 def wilcoxon(pairs: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by..., n, w): signed-rank statistic, the smaller of the two rank sums; differences of zero are dropped."""
     rows = pairs.withColumn("__d", F.round(F.col(x) - F.col(y), 12)).filter("__d <> 0").withColumn("__a", F.abs("__d"))
-    ranked = average_ranks(rows, "__a", by, "__r")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.least(F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0)), F.sum(F.when(F.col("__d") < 0, F.col("__r")).otherwise(0.0))).alias("w"))
+    counts = rows.groupBy(*by, "__a").agg(F.count("*").alias("n"), F.count_if(F.col("__d") > 0).alias("__up"))
+    ranked = _with_ranks(counts, "__a", by)
+    up, down = (F.sum(F.col("__r") * c).cast("double") for c in (F.col("__up"), F.col("n") - F.col("__up")))
+    return ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.least(up, down).alias("w"))
+
+
+def _with_ranks(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """counts (by..., value, n, ...) of different values with their rank ``__r``."""
+    found = bands.ranks(counts.select(*by, value, "n"), value, by, "__r").drop("n")
+    return bands.matched(counts, found, [*by, value])
 
 
 def _rank_sums(rows: DataFrame, value: str, group: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    ranked = average_ranks(rows, value, by, "__r")
-    groups = ranked.groupBy(*by, group).agg(F.count("*").alias("n"), F.sum("__r").alias("rsum"))
-    ties = rows.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum("t").alias("total"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+    """(by..., group, n, rsum) and (by..., total, ties): from counts of equal values, never from rows."""
+    own = bands.counted(rows, value, [*by, group])
+    counts = own.groupBy(*by, value).agg(F.sum("n").alias("n"))
+    joined = bands.matched(own, _with_ranks(counts, value, by).drop("n"), [*by, value])
+    groups = joined.groupBy(*by, group).agg(F.sum("n").alias("n"), F.sum(F.col("__r") * F.col("n")).alias("rsum"))
+    ties = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     return groups, ties
 
 
