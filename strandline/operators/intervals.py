@@ -1,7 +1,8 @@
 """Joins of time-stamped rows with windows around encounters and stays.
 
 Each is an equi-join on entity, encounter or stay with a range as residual condition; aggregates come before the rows
-are widened. Heavy entities are split by adaptive execution, or by day with ``by_day``.
+are widened. Windows around encounters meet events by entity and a piece of time, so the work of an entity grows with its
+rows and not with their product.
 """
 
 from __future__ import annotations
@@ -12,22 +13,25 @@ from pyspark.sql import functions as F
 from strandline.functions.scalar import hours, micros, plus_days
 
 
+def piece(ts: str, width: float) -> Column:
+    """Number of the piece of time, so many days long, that a time is in."""
+    return F.floor(micros(F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) / (width * 8.64e10))
+
+
 def lookback_events(events: DataFrame, encounters: DataFrame, days: float = 14, items: DataFrame | None = None, by_day: bool = False) -> DataFrame:
     """(entity, encounter, item, value, minute): events in the days before each encounter's end.
 
     One event can belong to several encounters. Minutes count from the midnight at or before the window's begin.
-    by_day: join on entity and day too, each window spread over its days, for entities with very many events.
+    Time is cut into pieces as long as a window, which so is in two of them (in three, if it touches a bound); by_day:
+    into days, for entities with very many events in a window.
     """
     own = events.select("entity", "item", "ts", "value").filter("value is not null")
     if items is not None:
         own = own.join(items.select("item").distinct(), "item", "left_semi")
+    width = 1.0 if by_day else max(float(days), 1.0)
     windows = encounters.select("entity", "encounter", plus_days(F.col("disch"), -days).alias("begin"), F.col("disch").alias("end"))
-    keys = ["entity"]
-    if by_day:
-        keys.append("day")
-        windows = windows.withColumn("day", F.explode(F.sequence(F.to_date("begin"), F.to_date("end"), F.expr("interval 1 day"))))
-        own = own.withColumn("day", F.to_date("ts"))
-    joined = own.join(windows, keys).filter("ts >= begin and ts <= end")
+    windows = windows.withColumn("__piece", F.explode(F.sequence(piece("begin", width), piece("end", width))))
+    joined = own.withColumn("__piece", piece("ts", width)).join(windows, ["entity", "__piece"]).filter("ts >= begin and ts <= end")
     minute = micros(F.date_trunc("DAY", F.col("begin")), F.col("ts")) / 6e7
     return joined.select("entity", "encounter", "item", "value", minute.alias("minute")).filter("minute >= 0")
 
@@ -69,10 +73,12 @@ def followups(encounters: DataFrame, days: float, flags: list[str]) -> DataFrame
 
 def first_event_after(events: DataFrame, encounters: DataFrame, days: float, test: Column) -> DataFrame:
     """(encounter, first_at): first fitting event of the entity in [end, end + days]; null where there is none."""
-    own = events.filter(test).select("entity", "ts")
-    joined = encounters.select("entity", "encounter", "disch").join(own, "entity", "left")
-    inside = (F.col("ts") >= F.col("disch")) & (F.col("ts") <= plus_days(F.col("disch"), days))
-    return joined.groupBy("encounter").agg(F.min(F.when(inside, F.col("ts"))).alias("first_at"))
+    width = max(float(days), 1.0)
+    windows = encounters.select("entity", "encounter", "disch", plus_days(F.col("disch"), days).alias("__until"))
+    near = windows.withColumn("__piece", F.explode(F.sequence(piece("disch", width), piece("__until", width))))
+    own = events.filter(test).select("entity", "ts", piece("ts", width).alias("__piece"))
+    found = near.join(own, ["entity", "__piece"]).filter("ts >= disch and ts <= __until").groupBy("encounter").agg(F.min("ts").alias("first_at"))
+    return encounters.select("encounter").distinct().join(found, "encounter", "left")
 
 
 def largest_rise(events: DataFrame, key: str = "stay", within: str = "INTERVAL 48 HOURS", rise: float = 0.3) -> DataFrame:

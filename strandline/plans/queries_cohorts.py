@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import scalar
 from strandline.functions.scalar import hours, plus_days
@@ -13,7 +14,7 @@ from strandline.plans import cohorts as K
 from strandline.plans import published as P
 from strandline.plans.registry import ORACLES, query
 from strandline.plans.specs import CohortSpec, Extraction, chosen
-from strandline.schemas import COHORT_COLUMNS, EVENTS
+from strandline.schemas import CODES, COHORT_COLUMNS, EVENTS, ITEMS, STAY_EVENTS, STAYS
 from strandline.sources import readers
 from strandline.sources.fixtures import Tables
 from strandline.sources.scratch import scratch, written
@@ -49,34 +50,52 @@ def _(t: Tables) -> DataFrame:
     return readers.adults(t.entities)
 
 
+#: Columns of the source files.
+FILE_NAMES = {"entity": "subject_id", "encounter": "hadm_id", "code": "icd_code", "version": "icd_version", "item": "itemid", "stay": "stay_id", "unit": "first_careunit", "ts": "starttime", "d1": "D1", "d2": "D2", "rr": "RR", "diff_days": "CODE_DIFF_DAYS"}
+
+
+def written_csv(rows: DataFrame, name: str, sep: str = ",") -> tuple[str, dict[str, str]]:
+    """Gzip files with a header and the source's column names; their path, and the source column of each column."""
+    path, names = scratch(rows.sparkSession, name), {c: FILE_NAMES.get(c, c) for c in rows.columns}
+    rows.withColumnsRenamed(names).write.options(header=True, sep=sep, compression="gzip").csv(path)
+    return path, names
+
+
+def through_csv(rows: DataFrame, name: str, schema: T.StructType) -> DataFrame:
+    """rows written as files and read by the CSV reader with a declared schema."""
+    path, names = written_csv(rows, name)
+    return readers.read_csv(rows.sparkSession, path, names, schema)
+
+
 @query("io_codes", "SELECT entity, encounter, code, version FROM cod")
 def _(t: Tables) -> DataFrame:
-    return t.codes
+    return through_csv(t.codes, "diagnoses", CODES)
 
 
 @query("io_procedures", "SELECT entity, encounter, code FROM px")
 def _(t: Tables) -> DataFrame:
-    return t.procedures
+    return through_csv(t.procedures, "procedures", CODES)
 
 
 @query("io_dict", "SELECT item, label FROM itm")
 def _(t: Tables) -> DataFrame:
-    return t.items
+    return through_csv(t.items, "items", ITEMS)
 
 
 @query("io_stays", "SELECT entity, encounter, stay, intime, outtime, round(los, 6) AS los, unit FROM st")
 def _(t: Tables) -> DataFrame:
-    return t.stays.select("entity", "encounter", "stay", "intime", "outtime", r6("los"), "unit")
+    rows = through_csv(t.stays.select("entity", "encounter", "stay", "intime", "outtime", "los", "unit"), "stays", STAYS)
+    return rows.withColumn("los", r6("los"))
 
 
 @query("io_proc_events", "SELECT stay, item, ts FROM pev")
 def _(t: Tables) -> DataFrame:
-    return t.proc_events
+    return through_csv(t.proc_events, "procedure-events", STAY_EVENTS)
 
 
 @query("io_input_events", "SELECT stay, item, ts, value FROM iev")
 def _(t: Tables) -> DataFrame:
-    return t.input_events
+    return through_csv(t.input_events, "input-events", STAY_EVENTS)
 
 
 @query("io_code_list", "SELECT DISTINCT code FROM px ORDER BY code LIMIT 47")
@@ -100,7 +119,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("io_edges", "SELECT d1, d2, rr, diff_days FROM edg")
 def _(t: Tables) -> DataFrame:
-    return t.edges
+    path, names = written_csv(t.edges, "edges", "\t")
+    return readers.read_edges(t.spark, path, names)
 
 
 @query("ev_scan_entities", "SELECT entity, encounter, item, ts, value FROM ev WHERE value IS NOT NULL AND entity IN (SELECT entity FROM st)")

@@ -22,6 +22,7 @@ ENTITIES = _table(("entity", L), ("age", I), ("gender", S), ("dod", N))
 CODES = _table(("kind", S), ("entity", L), ("encounter", L), ("code", S), ("version", I))
 STAYS = _table(("entity", L), ("encounter", L), ("stay", L), ("intime", N), ("outtime", N), ("los", D), ("unit", S), ("last_unit", S))
 EVENTS = _table(("entity", L), ("encounter", L), ("item", L), ("ts", N), ("value", D))
+STAY_EVENTS = _table(("stay", L), ("item", L), ("ts", N), ("value", D))
 ITEMS = _table(("item", L), ("label", S))
 EDGES = _table(("d1", S), ("d2", S), ("rr", D), ("valid", I), ("diff_days", D), ("age_days", D), ("counts", L), ("female_counts", L), ("death_counts", L), ("p_direction", D))
 
