@@ -105,6 +105,41 @@ GNU = [
     ("LGPL-3.0", "library", "Lesser General", "3", GNU_WEB),
     ("AGPL-3.0", "program", "Affero General", "3", GNU_WEB),
 ]
+EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License {version}
+which is available at https://www.eclipse.org/legal/epl-{version}"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and
+to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to
+the following:"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+#: Creative Commons: what an identifier's letters stand for, and the licence's port by version.
+CC_TERMS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_PORTS = {"3.0": "Unported", "4.0": "International"}
+#: GNU licences by family: names, and the versions that there are.
+GNU_VERSIONS = {"GPL": ("work", "General", ("1", "2", "3")), "LGPL": ("library", "Lesser General", ("2.1", "3")), "AGPL": ("work", "Affero General", ("3",))}
+
+
+def _rivals() -> list[tuple[str, str]]:
+    """Licences that differ in few words, each in its usual forms, so that the nearest one is named."""
+    out = []
+    for letters, terms in CC_TERMS.items():
+        for version, port in CC_PORTS.items():
+            spdx = f"CC-{letters}-{version}"
+            out += [(spdx, f"Licensed under CC {letters} {version}."), (spdx, f"This work is licensed under a Creative Commons {terms} {version} {port} License."), (spdx, f"SPDX-License-Identifier: {spdx}")]
+    for family, (work, name, versions) in GNU_VERSIONS.items():
+        for version in versions:
+            spdx = f"{family}-{version}" if "." in version else f"{family}-{version}.0"
+            notice = f"This {work} is licensed under the GNU {name} Public License, version {version}"
+            out += [(spdx, f"{notice}."), (f"{spdx}-only", f"{notice} only."), (f"{spdx}-or-later", f"{notice} or (at your option) any later version.")]
+            out += [(f"{spdx}{more}", f"SPDX-License-Identifier: {spdx}{more}") for more in ("-only", "-or-later")]
+    for spdx in ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0"):
+        out.append((spdx, f"SPDX-License-Identifier: {spdx}"))
+    out += [(f"EPL-{version}", EPL.format(version=version)) for version in ("1.0", "2.0")]
+    out += [("BSL-1.0", BOOST), ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."), ("MPL-2.0", MPL), ("BSD", "Released under the BSD License.")]
+    return out
+
+
 TEMPLATES = [
     ("MIT", MIT),
     ("ISC", ISC),
@@ -135,10 +170,6 @@ TEMPLATES = [
         distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
         License for the specific language governing permissions and limitations under the License.""",
     ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     (
@@ -147,13 +178,9 @@ TEMPLATES = [
         the following conditions are met: Redistributions of source code must retain the above copyright notice, this
         list of conditions and the following disclaimer.""",
     ),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *_rivals(),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between paragraphs, and between sentences of a line.

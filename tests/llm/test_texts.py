@@ -513,3 +513,24 @@ def test_pipeline_stages(spark, sf_dir):
         sizes.append(now.count())
     assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] > sizes[4] == sizes[5] > 0.5 * sizes[0]
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()} == {r.doc_id for r in now.select("doc_id").collect()}
+
+
+def test_every_licence_is_found_as_itself(spark):
+    """Each template alone gives its own name and nothing nearer; forms in which rivals differ by a word, too."""
+    own = [(name, text) for name, text in license_scan.TEMPLATES]
+    own += [
+        ("CC-BY-ND-4.0", "Our pictures are on the site.\n\nThis work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+        ("CC-BY-NC-ND-3.0", "licensed under CC-BY-NC-ND 3.0"),
+        ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1."),
+        ("GPL-2.0-only", "// SPDX-License-Identifier: GPL-2.0-only"),
+        ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2 only"),
+        ("MIT", "# SPDX-License-Identifier: MIT"),
+        ("BSD", "Released under the BSD license"),
+    ]
+    rows = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(own)], "doc_id long, text string")
+    best: dict[int, tuple] = {}
+    for r in license_scan.scan(rows).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, (0.0, "")), (r.dice, r.license))
+    assert [best.get(k, (0, None))[1] for k in range(len(own))] == [name for name, _ in own]
+    assert all(best[k][0] == 1.0 for k in range(len(license_scan.TEMPLATES)))
