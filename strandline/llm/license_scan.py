@@ -209,9 +209,16 @@ def key_words(counted: list[tuple[str, Counter]], threshold: float) -> list[str]
 
 
 def _has_any(text: Column, words: list[str]) -> Column:
-    """Whether a text has some of the words: long ones even inside other words, short ones as words of their own."""
-    tests = [F.contains(F.lower(text), F.lit(w)) if len(w) > 3 else text.rlike(f"(?i)(^|[^a-zA-Z0-9]){w}([^a-zA-Z0-9]|$)") for w in words]
-    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    """Whether a text has some of the words: long ones even inside other words, short ones as words of their own.
+
+    The text is lower-cased once, as the only element of an array, and not for each word.
+    """
+
+    def tests(low: Column) -> Column:
+        found = [F.contains(low, F.lit(w)) if len(w) > 3 else low.rlike(f"(^|[^a-z0-9]){w}([^a-z0-9]|$)") for w in words]
+        return reduce(lambda a, b: a | b, found) if found else F.lit(False)
+
+    return F.exists(F.array(F.lower(text)), tests)
 
 
 def units(docs: DataFrame, keys: list[str], most_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
