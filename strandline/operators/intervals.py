@@ -31,7 +31,8 @@ def lookback_events(events: DataFrame, encounters: DataFrame, days: float = 14,
     width = 1.0 if by_day else max(float(days), 1.0)
     windows = encounters.select("entity", "encounter", plus_days(F.col("disch"), -days).alias("begin"), F.col("disch").alias("end"))
     windows = windows.withColumn("__piece", F.explode(F.sequence(piece("begin", width), piece("end", width))))
-    joined = own.withColumn("__piece", piece("ts", width)).join(windows, ["entity", "__piece"]).filter("ts >= begin and ts <= end")
+    # A plan takes exploded rows for as few as the encounters, and so would broadcast them: the join is told to sort.
+    joined = own.withColumn("__piece", piece("ts", width)).join(windows.hint("merge"), ["entity", "__piece"]).filter("ts >= begin and ts <= end")
     minute = micros(F.date_trunc("DAY", F.col("begin")), F.col("ts")) / 6e7
     return joined.select("entity", "encounter", "item", "value", minute.alias("minute")).filter("minute >= 0")
 
@@ -77,7 +78,7 @@ def first_event_after(events: DataFrame, encounters: DataFrame, days: float, tes
     windows = encounters.select("entity", "encounter", "disch", plus_days(F.col("disch"), days).alias("__until"))
     near = windows.withColumn("__piece", F.explode(F.sequence(piece("disch", width), piece("__until", width))))
     own = events.filter(test).select("entity", "ts", piece("ts", width).alias("__piece"))
-    found = near.join(own, ["entity", "__piece"]).filter("ts >= disch and ts <= __until").groupBy("encounter").agg(F.min("ts").alias("first_at"))
+    found = near.hint("merge").join(own, ["entity", "__piece"]).filter("ts >= disch and ts <= __until").groupBy("encounter").agg(F.min("ts").alias("first_at"))
     return encounters.select("encounter").distinct().join(found, "encounter", "left")
 
 

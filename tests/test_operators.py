@@ -13,6 +13,7 @@ from strandline.operators import catalog, codes, firsts, intervals, labels, metr
 from strandline.plans import cohorts, queries_cohorts, specs
 from strandline.schemas import conform
 from strandline.sources import readers
+from strandline.sources.fixtures import Tables
 from strandline.streaming import incremental
 
 T0 = dt.datetime(2020, 1, 1)
@@ -199,6 +200,15 @@ def serial_search(groups, membership, size, ratios, seed):
             return sum(deviation(s) for s in size)
 
 
+def test_exploded_windows_are_not_broadcast(spark, sf_dir):
+    """A plan's sizes leave out that windows are exploded to many pieces: these have to be shuffled, not sent to the driver."""
+    t = Tables(spark, sf_dir)
+    after = intervals.first_event_after(t.events, t.encounters, 90, F.col("item") == 50801)
+    for rows in (intervals.lookback_events(t.events, t.encounters, by_day=True), intervals.lookback_events(t.events, t.encounters), after):
+        lines = rows._jdf.queryExecution().simpleString().splitlines()
+        assert any("SortMergeJoin" in x and "__piece" in x for x in lines) and not any("BroadcastHashJoin" in x and "__piece" in x for x in lines)
+
+
 @pytest.mark.parametrize("stratified", [False, True])
 def test_optimiser_is_as_good_as_a_serial_search(spark, stratified):
     rng, ratios = random.Random(5), (0.8, 0.1, 0.1)
