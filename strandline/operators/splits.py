@@ -5,8 +5,10 @@ Which entity goes where follows from a hash of its id and a seed, never from an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,22 +140,50 @@ def strata(members: DataFrame, ratios: Sequence[float] = (0.8, 0.1, 0.1), strati
     return own.join(sizes, "cohort").select(name.alias("stratum"), "entity")
 
 
-#: Rounds in which candidates for a move drop out, at most.
-ROUNDS = 4
+#: Entities of a block, about: a block is searched serially, in one task.
+BLOCK = 4096
 
 
-def _gaining(rows: DataFrame, counted: DataFrame, ratios: Sequence[float]) -> DataFrame:
-    """(entity, to) of the candidates that gain after all before them have moved. rows: one for each stratum of a candidate."""
-    earlier = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("stratum", "bucket").agg(*[F.sum(f"d_{g}").alias(f"s_{g}") for g in GROUPS])
-    offsets = sums.select("stratum", "bucket", *[F.coalesce(F.sum(f"s_{g}").over(earlier), F.lit(0)).alias(f"o_{g}") for g in GROUPS])
-    inside = Window.partitionBy("stratum", "bucket").orderBy("h", "entity").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumns({f"i_{g}": F.coalesce(F.sum(f"d_{g}").over(inside), F.lit(0)) for g in GROUPS})
-    placed = placed.join(offsets, ["stratum", "bucket"]).join(counted, "stratum")
-    before = [F.col(f"c_{g}") + F.col(f"o_{g}") + F.col(f"i_{g}") for g in GROUPS]
-    after = [b + F.col(f"d_{g}") for b, g in zip(before, GROUPS)]
-    gain = F.sum(_deviation(before, F.col("n"), ratios) - _deviation(after, F.col("n"), ratios))
-    return placed.groupBy("entity").agg(gain.alias("left"), F.first("to").alias("to")).filter("left > 1e-12").select("entity", "to")
+def _searched(ratios: Sequence[float], sizes: np.ndarray, counts: np.ndarray, active: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows (block, entity, split, strata) sorted by block: those of the entities that move, with ``to`` before the strata.
+
+    Each block has to mend an equal share of what every stratum has too much or too little of.
+    """
+    share, weight = (counts - sizes[:, None] * np.array(ratios)) / active, 1 / sizes
+
+    def search(own: list[np.ndarray], split: list[int]) -> list[int]:
+        excess, now, moved = share.copy(), list(split), True
+        while moved:
+            moved = False
+            for i, s in enumerate(own):
+                at, d = now[i], excess[s]
+                gain = -(weight[s] @ (np.abs(d + 1) - np.abs(d))) - weight[s] @ (np.abs(d[:, at] - 1) - np.abs(d[:, at]))
+                gain[at] = 0
+                to = int(gain.argmax())
+                if gain[to] > 1e-12:
+                    excess[s, at] -= 1
+                    excess[s, to] += 1
+                    now[i], moved = to, True
+        return now
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in (*batches, None):
+            if batch is not None:
+                held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+                cuts = np.flatnonzero(np.diff(held.column("block").to_numpy())) + 1
+            elif held is None:
+                return
+            else:
+                cuts = np.array([held.num_rows])
+            for lo, hi in zip((0, *cuts), cuts):
+                rows = held.slice(lo, hi - lo).combine_chunks()
+                split = rows.column("split").to_pylist()
+                now = search([np.array(x) for x in rows.column("strata").to_pylist()], split)
+                yield from rows.append_column("to", pa.array(now, pa.int32())).select(["entity", "split", "to", "strata"]).filter(pa.array(np.array(now) != split)).to_batches()
+            held = held.slice(cuts[-1]) if len(cuts) else held
+
+    return blocks
 
 
 def optimise(
@@ -161,58 +191,56 @@ def optimise(
 ) -> tuple[DataFrame, list[float]]:
     """Groups that come close to the ratios in all cohorts: (entity, split), and the objective after each pass that lowered it.
 
-    In a pass every entity looks for the group that lowers the summed deviation of its strata most; those that find one
-    are candidates, in the order of their gain (by powers of two), then of a hash that is new in each pass. Running sums
-    in each stratum say where its counts would be if all candidates before had moved; a candidate stays one only if it
-    still gains there. After ``ROUNDS`` such rounds (fewer, if none drops out) the candidates move. If none dropped out
-    in the last round, the objective falls by just the sum of their gains, so moves made together do not overshoot; a pass
-    that does not lower it by tol is undone. It ends without candidates, after patience undone passes in a row, or after so many passes.
+    Entities are dealt to blocks by a hash that is new in each pass. In a block, one after the other moves to the group
+    that lowers the summed deviation of its strata most, until none gains. Blocks are searched together, each with an
+    equal share of every stratum's excess, so by the triangle inequality moves made together never raise the objective.
+    The first pass takes all blocks, each later one a quarter as many, so that what their rounding left is mended; in
+    the end it is one block with the whole excess. A pass that does not lower the objective by tol is undone. It ends
+    after patience undone passes of one block in a row (one, if there is only one block), or after so many passes.
 
-    Running sums are offsets of buckets and windows inside them, so no stratum has to fit a task. Counts are one row a
-    stratum; each step is written to the shared folder.
+    A row is an entity with the numbers of its strata; a pass shuffles the rows of its blocks only and writes those that
+    move. Counts are one row a stratum, on the driver.
     """
     own = written(strata(members, ratios, stratified), "strata")
-    sizes = own.groupBy("stratum").agg(F.count("*").alias("n"))
-    now = written(initial_groups(own, ratios, seed), "groups")
-    counts = [F.col(f"c_{g}") for g in GROUPS]
-
-    def tally(groups: DataFrame) -> tuple[DataFrame, float]:
-        rows = own.join(groups, "entity").groupBy("stratum").agg(*[F.count_if(F.col("split") == g).alias(f"c_{g}") for g in GROUPS])
-        rows = written(rows.join(sizes, "stratum"), "counts")
-        return rows, rows.agg(F.sum(_deviation(counts, F.col("n"), ratios))).first()[0] or 0.0
-
-    def moves(split: Column, to: Column) -> list[Column]:
-        return [(to == g).cast("int") - (split == g).cast("int") for g in GROUPS]
-
-    counted, value = tally(now)
-    history, stale = [value], 0
-    for k in range(passes):
-        here = own.join(now, "entity").join(counted, "stratum")
-        gains = [F.struct(F.sum(_deviation(counts, F.col("n"), ratios) - _deviation([c + d for c, d in zip(counts, moves(F.col("split"), F.lit(g)))], F.col("n"), ratios)).alias("gain"), F.lit(g).alias("to")).alias(f"g{i}") for i, g in enumerate(GROUPS)]
-        best = here.groupBy("entity", "split").agg(*gains).select("entity", "split", F.greatest(*[f"g{i}" for i in range(len(GROUPS))]).alias("best"))
-        wish = best.filter("best.gain > 1e-12").select("entity", "split", F.col("best.to").alias("to"), F.col("best.gain").alias("gain"), hashed(seed + k, "entity").alias("h"))
-        # 256 buckets of each power of two.
-        bucket = F.floor(-F.log2("gain")).cast("long") * 256 + F.shiftrightunsigned("h", 56)
-        rows = written(own.join(wish.withColumn("bucket", bucket), "entity").withColumns({f"d_{g}": d for g, d in zip(GROUPS, moves(F.col("split"), F.col("to")))}), "wishes")
-        moved, n = wish.select("entity", "to"), rows.select("entity").distinct().count()
-        if not n:
-            break
-        for _ in range(ROUNDS):
-            moved = written(_gaining(rows, counted, ratios), "moves")
-            left = moved.count()
-            if left == n:
-                break
-            rows, n = rows.join(moved.select("entity"), "entity", "left_semi"), left
-        tried = written(now.join(moved, "entity", "left").select("entity", F.coalesce("to", "split").alias("split")), "groups")
-        recount, value = tally(tried)
-        if value < history[-1] - tol:
-            now, counted, stale = tried, recount, 0
-            history.append(value)
-        else:
+    numbered = written(own.groupBy("stratum").agg(F.count("*").alias("n")).withColumn("id", F.row_number().over(Window.orderBy("stratum")) - 1), "sizes")  # one row a stratum
+    numbers = own.join(numbered.select("stratum", "id"), "stratum").groupBy("entity").agg(F.sort_array(F.collect_list("id")).alias("strata"))
+    code = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("split")).cast("int") - 1
+    start = written(numbers.join(initial_groups(own, ratios, seed), "entity").select("entity", code.alias("split"), "strata"), "groups")
+    kind = start.schema["entity"].dataType.simpleString()
+
+    sizes = np.array([r.n for r in numbered.orderBy("id").collect()], float)
+    counts = np.zeros((len(sizes), len(GROUPS)))
+    for r in start.select("split", F.explode("strata").alias("id")).groupBy("id", "split").count().collect():
+        counts[r["id"], r["split"]] = r["count"]
+
+    def value(counts: np.ndarray) -> float:
+        return float(np.abs(np.array(ratios) - counts / sizes[:, None]).sum())
+
+    whole = active = max(1, -(-start.count() // BLOCK))
+    moves, history, stale = None, [value(counts)], 0
+    for k in range(passes if len(sizes) else 0):
+        here = start.withColumns({"h": hashed(seed + k, "entity"), "block": F.pmod(hashed(seed + k, "entity"), F.lit(whole)).cast("int")}).filter(F.col("block") < active)
+        if moves is not None:
+            here = here.join(moves, "entity", "left").withColumn("split", F.coalesce("now", "split"))
+        dealt = here.select("block", "h", "entity", "split", "strata").repartition(active, "block").sortWithinPartitions("block", "h", "entity").drop("h")
+        tried = written(dealt.mapInArrow(_searched(ratios, sizes, counts, active), f"entity {kind}, split int, to int, strata array<int>"), "moves")
+        recount = counts.copy()
+        for r in tried.select("split", "to", F.explode("strata").alias("id")).groupBy("id", "split", "to").count().collect():
+            recount[r["id"], r["split"]] -= r["count"]
+            recount[r["id"], r["to"]] += r["count"]
+        if value(recount) < history[-1] - tol:
+            latest = tried.select("entity", F.col("to").alias("now"))
+            moves = latest if moves is None else written(moves.join(latest, "entity", "left_anti").unionByName(latest), "moved")
+            counts, stale = recount, 0
+            history.append(value(counts))
+        elif active == 1:
             stale += 1
-            if stale >= patience:
+            if stale >= patience or whole == 1:
                 break
-    return now, history
+        active = max(1, active // 4)
+    split = F.col("split") if moves is None else F.coalesce("now", "split")
+    groups = start if moves is None else start.join(moves, "entity", "left")
+    return groups.select("entity", F.element_at(F.array(*map(F.lit, GROUPS)), split + 1).alias("split")), history
 
 
 def extend_to_all(groups: DataFrame, entities: DataFrame, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:

@@ -248,6 +248,17 @@ def test_moves_made_together_do_not_overshoot(spark):
     assert nothing.collect() == [] and history == [0.0]
 
 
+def test_optimiser_needs_few_passes(spark, monkeypatch):
+    """Blocks searched together get near the end in three passes, and no row's place in a partition matters."""
+    monkeypatch.setattr(splits, "BLOCK", 400, raising=False)
+    rng = random.Random(8)
+    members = spark.createDataFrame([("c%d" % c, e) for c in range(20) for e in rng.sample(range(4000), 1500)], "cohort string, entity long")
+    groups, history = splits.optimise(members, passes=3)
+    assert history[-1] < 0.25 * history[0]
+    again, same = splits.optimise(members.repartition(7, F.rand(1)), passes=3)
+    assert same == history and sorted(again.collect()) == sorted(groups.collect())
+
+
 def test_oversample_balances(spark):
     rows = spark.createDataFrame([(k, int(k < 7)) for k in range(40)], "id long, label int")
     assert {r.label: r["count"] for r in splits.oversample(rows).groupBy("label").count().collect()} == {0: 33, 1: 33}
