@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.pvalues import t_pvalue
 from strandline.operators import bands
+from strandline.sources.scratch import written
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -123,11 +124,15 @@ def mrmr(means: DataFrame, k: int, min_count: int = 10) -> DataFrame:
 
 
 def entropy(means: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
-    """(by..., item, h): entropy of the histogram of z-scores in equal-width bins, one added to each count."""
-    whole = Window.partitionBy(*by, "item")
-    least, most = F.min("value").over(whole), F.max("value").over(whole)
+    """(by..., item, h): entropy of the histogram of z-scores in equal-width bins, one added to each count.
+
+    Bounds are an aggregate joined back, so no group has to fit a task.
+    """
+    means = written(means.select(*by, "item", "value"), "means")
+    ends = means.groupBy(*by, "item").agg(F.min("value").alias("__least"), F.max("value").alias("__most"))  # one row a group
+    least, most = F.col("__least"), F.col("__most")
     place = F.when(most > least, F.least(F.floor((F.col("value") - least) / (most - least) * bins), F.lit(bins - 1))).otherwise(bins // 2)
-    counted = means.withColumn("bin", place).groupBy(*by, "item", "bin").agg(F.count("*").alias("c"))
+    counted = bands.matched(means, ends, [*by, "item"]).withColumn("bin", place).groupBy(*by, "item", "bin").agg(F.count("*").alias("c"))
     sums = counted.groupBy(*by, "item").agg(F.sum("c").alias("n"), F.count("*").alias("used"), F.sum((F.col("c") + 1) * F.ln(F.col("c") + 1)).alias("x"))
     total = F.col("n") + bins
     return sums.select(*by, "item", (F.ln(total) - F.col("x") / total).alias("h"))
@@ -141,6 +146,7 @@ def cohens_d(means: DataFrame) -> DataFrame:
 
 def feature_stats(means: DataFrame, members: DataFrame) -> DataFrame:
     """Per cohort: mean and variance of the items' missing shares, entropy by class, effect size, log entropy ratio."""
+    means = written(means, "means")  # read five times
     sizes = members.groupBy("cohort").agg(F.countDistinct("encounter").alias("size"))
     miss = means.groupBy("cohort", "item").agg(F.countDistinct("encounter").alias("k")).join(sizes, "cohort").withColumn("miss", 1 - F.col("k") / F.col("size"))
     out = miss.groupBy("cohort").agg(F.avg("miss").alias("missing_mean"), F.var_samp("miss").alias("missing_var"))

@@ -7,6 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lines that a task of a join or aggregate of lines takes, about.
+LINES_A_TASK = 500_000
+
+
 class Tables:
     """The derived tables of a data folder; each is a lazy DataFrame."""
 
@@ -16,6 +20,19 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def parts(self) -> int:
+        """Tasks for all lines, counted from the footers: a task's sorts and maps stay as large however many lines there are."""
+        return -(-self.raw("lineitem").count() // LINES_A_TASK)
+
+    def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """rows by keys over so many tasks as all lines need; few lines are left to the session's number of partitions."""
+        return rows.repartition(self.parts, *keys) if self.parts > self.spark.sparkContext.defaultParallelism else rows
+
+    def lines(self, *columns: str) -> DataFrame:
+        """Columns of the lines with their encounter, dealt by it."""
+        return self.dealt(self.raw("lineitem").selectExpr("l_orderkey as encounter", *columns), "encounter")
+
     @cached_property
     def encounters(self) -> DataFrame:
         hour = "make_dt_interval(0, {}, 0, 0)"
@@ -40,8 +57,7 @@ class Tables:
     @cached_property
     def codes(self) -> DataFrame:
         orders = self.raw("orders").selectExpr("o_orderkey as encounter", "o_custkey as entity")
-        lines = self.raw("lineitem").selectExpr(
-            "l_orderkey as encounter",
+        lines = self.lines(
             "cast(if(l_partkey % 3 = 0, 9, 10) as int) as version",
             "concat(char(cast(65 + l_partkey % 8 as int)), lpad(cast((l_partkey div 8) % 5 as string), 2, '0'), cast(l_suppkey % 10 as string)) as code",
         )
@@ -50,7 +66,7 @@ class Tables:
     @cached_property
     def procedures(self) -> DataFrame:
         orders = self.raw("orders").selectExpr("o_orderkey as encounter", "o_custkey as entity")
-        lines = self.raw("lineitem").selectExpr("l_orderkey as encounter", "lpad(cast(l_partkey % 400 as string), 4, '0') as code").filter("cast(code as int) < 60")
+        lines = self.lines("lpad(cast(l_partkey % 400 as string), 4, '0') as code").filter("cast(code as int) < 60")
         return lines.join(orders, "encounter").select("entity", "encounter", "code")
 
     @cached_property
@@ -67,8 +83,7 @@ class Tables:
 
     @cached_property
     def events(self) -> DataFrame:
-        lines = self.raw("lineitem").selectExpr(
-            "l_orderkey as encounter",
+        lines = self.lines(
             "50800 + l_partkey % 12 as item",
             "cast((l_partkey * 37 + l_linenumber * 101) % 20160 as int) as minutes",
             "if(l_partkey % 50 = 0, null, l_quantity / 10) as value",

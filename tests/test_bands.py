@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import bands, metrics, selection
+from strandline.sources import fixtures
 
 SHAPES = {
     "rare": lambda r: r.random() * 1e-3,
@@ -89,3 +90,26 @@ def test_curves(values):
     single = {r.g: r for r in metrics.auroc(df, ["g"]).join(metrics.auprc(df, ["g"]), "g").collect()}
     assert all(abs(single[g].auroc - found[g].auroc) < 1e-12 and abs(single[g].auprc - found[g].auprc) < 1e-12 for g in ("rare", "logits", "few"))
     assert metrics.pr_curve(df.filter(F.col("g") == "equal"), ["g"]).count() == 1
+
+
+def test_no_window_holds_a_group_of_an_entropy(spark):
+    """The bounds of a histogram are no window over its whole group; null groups and constant values have their rows."""
+    rows = [("c", y, i, float(v), e) for e, (y, i, v) in enumerate([(0, 1, 0), (0, 1, 10), (0, 1, 10), (1, 1, 3), (1, 1, 3), (None, 2, 1), (None, 2, 2)])]
+    means = spark.createDataFrame(rows, "cohort string, label int, item int, value double, encounter long")
+    h = selection.entropy(means, ["cohort", "label"])
+    assert "Window" not in h._jdf.queryExecution().simpleString()
+    x = {(r.label, r.item): r.h for r in h.collect()}
+    want = {(0, 1): [2, 1], (1, 1): [2], (None, 2): [1, 1]}
+    for key, counts in want.items():
+        total = sum(counts) + 10
+        assert abs(x.pop(key) - (math.log(total) - sum((c + 1) * math.log(c + 1) for c in counts) / total)) < 1e-12
+    assert not x
+
+
+@pytest.mark.parametrize("name", ["events", "codes", "procedures"])
+def test_lines_are_dealt_over_tasks_by_their_number(spark, sf_dir, monkeypatch, name):
+    """The session's number of partitions does not bound how many lines a task sorts and aggregates."""
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", 100, raising=False)
+    t = fixtures.Tables(spark, sf_dir)
+    lines = t.raw("lineitem").count()
+    assert getattr(t, name).rdd.getNumPartitions() == -(-lines // 100) > 4
