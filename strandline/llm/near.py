@@ -1,10 +1,11 @@
 """Components of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more (the pipeline's near-dedup).
 
-Operator 10 links by three bits of a fingerprint, as its contract says; that is far too tight for a similarity of 0.8,
-where 64-bit fingerprints differ in about ten bits, and a radius wide enough has no selective index. So here rows meet
-by min-hashes: ``BANDS`` groups of ``BAND_ROWS`` minima each. A pair at exactly 0.8 shares no band with a probability of
-(1 - 0.8 ** 4) ** 40 = 7e-10, and more alike ones with less. Documents that share bands form *candidate components*;
-each document's text goes to its own one, where the exact shingle sets are compared and only links of 0.8 or more stay.
+Documents first meet by SimHash: fingerprints of the five-word sets, linked by operator 10's pivot tables within its three
+bits. That is far too tight for a similarity of 0.8 alone, where fingerprints differ in about ten bits, and a radius wide
+enough has no selective index. So those that differ in more bits meet by min-hashes too: ``BANDS`` groups of ``BAND_ROWS``
+minima each. A pair at exactly 0.8 shares no band with a probability of (1 - 0.8 ** 4) ** 40 = 7e-10, and more alike ones
+with less. Documents that meet either way form *candidate components*; each document's text goes to its own one, where the
+exact shingle sets are compared and only links of 0.8 or more stay.
 
 Equal shingle sets are one node, however many documents have them. Candidate components above ``CHUNK`` nodes or
 ``SHINGLES_AT_ONCE`` shingles are dealt by hash to chunks, and pairs of chunks are handled apart. From each group only
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm import simhash
 from strandline.llm.common import keep_rows, map_arrow, written
 from strandline.llm.components import components
 from strandline.llm.decontam import bit_filter, known_to
@@ -136,20 +138,31 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, row, key, size, bands): key names the shingle set; bands are none for an empty set."""
+    """(id, text, row, key, size, fp, bands): key names the shingle set, fp is its fingerprint; bands are none for an empty set."""
     rows = docs.select(id_col, F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("row"))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         sizes = np.array([len(s) for s in sets], np.int64)
+        fps = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
         found = [bands(s).view(np.int64) for s in sets if len(s)]
         ends = np.cumsum(np.where(sizes > 0, BANDS, 0)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), pa.array(sizes), lists], [id_col, "__text", "row", "key", "size", "bands"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), pa.array(sizes), pa.array(fps), lists], [id_col, "__text", "row", "key", "size", "fp", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(rows, fn, f"`{id_col}` {kind}, __text string, row long, key long, size long, bands array<long>")
+    return map_arrow(rows, fn, f"`{id_col}` {kind}, __text string, row long, key long, size long, fp long, bands array<long>")
+
+
+def met_by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b): keys of nodes (key, size, fp) that meet by fingerprints within operator 10's radius: the least of each with its links'."""
+    own = nodes.filter("size > 0").select("key", "fp")
+    least = written(own.groupBy("fp").agg(F.min("key").alias("least")), "fingerprints")
+    equal = own.join(least, "fp").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    found = simhash.links(least.select("fp"))
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab"]
+    return equal.unionByName(found.join(ends[0], "a").join(ends[1], "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
 
 
 def _texts(prints: DataFrame, members: DataFrame) -> DataFrame:
@@ -168,7 +181,7 @@ def links(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): links between keys that connect what the similarity connects."""
     keyed = nodes.select("key", F.explode("bands").alias("band"))
     met = keyed.select("key", F.first("key").over(Window.partitionBy("band").orderBy("key")).alias("least")).filter("key <> least")
-    groups = components(met.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    groups = components(met_by_fingerprint(nodes).unionByName(met.select(F.col("key").alias("a"), F.col("least").alias("b"))))
     members = written(nodes.join(groups, nodes.key == groups.node).select("key", "rep", "size", "root"), "members")
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / SHINGLES_AT_ONCE)).cast("int")
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("own")))
@@ -186,7 +199,7 @@ def links(prints: DataFrame, nodes: DataFrame) -> DataFrame:
 def least_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id): the smallest id of each component."""
     prints = written(_prints(docs, id_col, text_col), "shingles")
-    nodes = written(prints.groupBy("key").agg(F.min(id_col).alias("least"), F.min("row").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(prints.groupBy("key").agg(F.min(id_col).alias("least"), F.min("row").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     roots = components(links(prints, nodes))
     of_node = nodes.join(roots, nodes.key == roots.node, "left").select(F.coalesce("root", "key").alias("root"), "least")
     return of_node.groupBy("root").agg(F.min("least").alias(id_col)).filter(F.col(id_col).isNotNull()).select(id_col).distinct()

@@ -34,7 +34,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm import near
 from strandline.llm.common import map_arrow, written
 from strandline.llm.components import components
 
@@ -65,6 +64,15 @@ AGAIN = np.array([_choices([b for b in range(64) if not int(m) >> b & 1]) for m
 PIVOT_FINGERPRINTS = np.random.default_rng(7).integers(0, 2**64, PIVOTS, np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """SimHash of a text; only A-Z are lower-cased and only ASCII white space separates words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -78,12 +86,7 @@ def fingerprint(text: str, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = [0, *(ends[:-size] + 1).tolist()]
         hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist())]
-    total = np.zeros(64, np.int64)
-    every = np.array(hashes, "<u8")
-    for at in range(0, len(every), 1 << 16):
-        bits = np.unpackbits(every[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(every), bitorder="little").view("<u8")[0])
+    return majority(np.array(hashes, "<u8"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,6 +233,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows that repeat an id are one document; one of them stays.
     """
+    from strandline.llm import near  # which takes fingerprints and links from this module
+
     first = written(near.least_ids(docs, id_col, text_col), "survivors")
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
     name = "__place"

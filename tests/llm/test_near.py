@@ -219,3 +219,17 @@ def test_survivors_against_all_pairs(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.survivors(docs).collect()) == want
     monkeypatch.setattr(near, "CHUNK", 3)
     assert sorted(r.doc_id for r in simhash.survivors(docs).collect()) == want
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """The near-dedup stage links by op10's fingerprints, also with no min-hash in common; an exact check follows."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    base = words(3000)
+    texts = [" ".join(base), " ".join([*base[:1500], "other", *base[1501:]]), " ".join(base[:2999]), *(" ".join(words(200)) for _ in range(5)), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [near.shingles(t) for t in texts[:3]]
+    assert all((simhash.majority(s) ^ simhash.majority(sets[0])).bit_count() <= simhash.RADIUS for s in sets)
+    monkeypatch.setattr(near, "BANDS", 0)
+    monkeypatch.setattr(near, "bands", lambda hashes: np.zeros(0, np.uint64))
+    assert sorted(r.doc_id for r in simhash.survivors(docs).collect()) == [0, 3, 4, 5, 6, 7, 8]
