@@ -71,9 +71,14 @@ PROFILE = (
 )
 
 
+def profiled(t: Tables, window_items: bool = True) -> DataFrame:
+    """Profiles of encounters, from events and encounters dealt by entity."""
+    return P.encounter_profile(t.dealt(t.events, "entity"), t.dealt(t.encounters, "entity"), window_items=window_items)
+
+
 @query("agg_enc_profile", PROFILE + "SELECT * REPLACE (round(los, 6) AS los, round(lod, 6) AS lod, round(pre_days, 6) AS pre_days) FROM pro")
 def _(t: Tables) -> DataFrame:
-    return rounded(P.encounter_profile(t.events, t.encounters), "los", "lod", "pre_days")
+    return rounded(profiled(t), "los", "lod", "pre_days")
 
 
 COUNTS = MEM + PRO + ", w AS (SELECT unnest([15, 90]) AS window_days), cnt AS (SELECT encounter, window_days, item, count(*) AS n FROM bef JOIN w ON ago <= window_days GROUP BY ALL)"
@@ -94,7 +99,7 @@ COHORT = (
 
 @query("agg_cohort_profile", COHORT + "SELECT * FROM cop")
 def cohort_profile(t: Tables) -> DataFrame:
-    rows = P.cohort_profile(P.encounter_profile(t.events, t.encounters), members(t), enough=10)
+    rows = P.cohort_profile(profiled(t, window_items=False), t.dealt(members(t), "encounter"), enough=10)
     return rounded(rows, *[c for c in rows.columns if c not in ("cohort", "n")])
 
 
@@ -118,7 +123,7 @@ COVERAGE = PROFILE + "".join(
 
 @query("agg_coverage_quantiles", COVERAGE)
 def _(t: Tables) -> DataFrame:
-    rows = P.coverage(P.encounter_profile(t.events, t.encounters), thresholds=(5, 20)).withColumnRenamed("window", "window_days")
+    rows = P.coverage(profiled(t, window_items=False), thresholds=(5, 20)).withColumnRenamed("window", "window_days")
     return rounded(rows, *rows.columns[1:])
 
 
