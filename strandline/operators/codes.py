@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,8 +59,11 @@ def first_code(codes: DataFrame, encounters: DataFrame, rule: Column) -> DataFra
     return dated.groupBy("entity").agg(F.min_by("code", F.struct("admit", "code")).alias("first_code"), F.min("admit").alias("first_at"))
 
 
-def first_group_dates(codes: DataFrame, encounters: DataFrame, version: int = 10, size: int = 3) -> DataFrame:
-    """(entity, grp, first_at): first admission with a code of each group, by the code's first characters."""
+def first_group_dates(codes: DataFrame, encounters: DataFrame, version: int = 10, size: int = 3, deal: Callable[..., DataFrame] = lambda rows, *keys: rows) -> DataFrame:
+    """(entity, grp, first_at): first admission with a code of each group, by the code's first characters.
+
+    deal: deals rows by keys over as many tasks as a large input needs.
+    """
     own = codes.filter(F.col("version") == version).select("encounter", F.substring(plain(F.col("code")), 1, size).alias("grp")).distinct()
     dated = own.join(encounters.select("entity", "encounter", "admit"), "encounter")
-    return dated.groupBy("entity", "grp").agg(F.min("admit").alias("first_at"))
+    return deal(dated, "entity").groupBy("entity", "grp").agg(F.min("admit").alias("first_at"))

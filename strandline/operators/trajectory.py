@@ -7,6 +7,8 @@ size check; what is shuffled is one row for each entity and group, and the encou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ BROADCAST_EDGES = 100_000
 FIVE_YEARS = 5 * 365
 
 
-def trajectory_rows(encounters: DataFrame, first_dates: DataFrame, edges: DataFrame) -> DataFrame:
+def trajectory_rows(encounters: DataFrame, first_dates: DataFrame, edges: DataFrame, deal: Callable[..., DataFrame] = lambda rows, *keys: rows) -> DataFrame:
     """Encounters of every edge's cohort with their label.
 
-    encounters: with entity attributes and ``next_admit``; first_dates: (entity, grp, first_at).
+    encounters: with entity attributes and ``next_admit``; first_dates: (entity, grp, first_at), read twice. deal: deals
+    rows by keys over as many tasks as a large input needs.
     An encounter counts if it begins within the edge's days after the first d1 and before the first d2, if its entity
     did not die in that time without d2, and if a next encounter begins within five years of the first d1. The label
     says whether the first d2 comes within five years.
@@ -30,8 +33,8 @@ def trajectory_rows(encounters: DataFrame, first_dates: DataFrame, edges: DataFr
         own = F.broadcast(own)
     one = first_dates.select("entity", F.col("grp").alias("d1"), F.col("first_at").alias("d1_at"))
     two = first_dates.select(F.col("entity").alias("e2"), F.col("grp").alias("g2"), F.col("first_at").alias("d2_at"))
-    pairs = one.join(own, "d1")
-    pairs = pairs.join(two, (F.col("entity") == F.col("e2")) & (F.col("d2") == F.col("g2")), "left").drop("e2", "g2")
+    pairs = deal(one.join(own, "d1"), "entity", "d2")
+    pairs = pairs.join(deal(two, "e2", "g2"), (F.col("entity") == F.col("e2")) & (F.col("d2") == F.col("g2")), "left").drop("e2", "g2")
     pairs = pairs.withColumns({"d1_until": plus_days(F.col("d1_at"), F.col("diff_days")), "d1_5y": plus_days(F.col("d1_at"), FIVE_YEARS)})
     rows = encounters.join(pairs, "entity")
     dead = F.coalesce((F.col("dod") <= F.col("d1_until")) & F.col("d2_at").isNull(), F.lit(False))

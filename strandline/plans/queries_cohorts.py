@@ -389,8 +389,8 @@ GROUPS = "(SELECT enc.entity, substr(code, 1, 3) AS grp, min(admit) AS first_at
 
 
 @query("agg_first_code", f"SELECT * FROM {GROUPS}")
-def _(t: Tables) -> DataFrame:
-    return C.first_group_dates(t.codes, t.encounters)
+def group_dates(t: Tables) -> DataFrame:
+    return C.first_group_dates(t.codes, t.encounters, deal=t.dealt)
 
 
 TRAJECTORY = f""", fst AS (SELECT * FROM {GROUPS}), nxt AS (SELECT *, lead(admit) OVER (PARTITION BY entity ORDER BY admit, encounter) AS next_admit FROM ppl),
@@ -410,7 +410,7 @@ pm AS (SELECT d1, d2, avg(age) AS mean_age, avg(gap) AS mean_days FROM pp GROUP
 
 def trajectories(t: Tables) -> DataFrame:
     encounters = firsts.with_next(t.people.select("entity", "encounter", "admit", "age", "gender", "dod"))
-    return trajectory.trajectory_rows(encounters, C.first_group_dates(t.codes, t.encounters), trajectory.select_edges(t.edges))
+    return trajectory.trajectory_rows(encounters, written(group_dates(t), "first-dates"), trajectory.select_edges(t.edges), t.dealt)
 
 
 def stats_of(t: Tables) -> DataFrame:
@@ -439,7 +439,7 @@ BIG = TRAJECTORY + STATS + "SELECT cohort, entity, encounter, label FROM tr JOIN
 def large_trajectories(t: Tables) -> DataFrame:
     """The rows are written once; the statistics and the result read them."""
     rows = written(trajectories(t).select("cohort", "d1", "d2", "entity", "encounter", "admit", "age", "gender", "dod", "d1_at", "d2_at", "label"), "trajectories")
-    large = trajectory.large_enough(trajectory.edge_stats(rows)).select("d1", "d2")
+    large = trajectory.large_enough(trajectory.edge_stats(t.dealt(rows, "entity"))).select("d1", "d2")
     return rows.join(large, ["d1", "d2"], "left_semi")
 
 

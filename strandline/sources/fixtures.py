@@ -45,7 +45,7 @@ class Tables:
 
     @cached_property
     def entities(self) -> DataFrame:
-        last = self.encounters.groupBy("entity").agg(F.max("disch").alias("last"))
+        last = self.dealt(self.encounters, "entity").groupBy("entity").agg(F.max("disch").alias("last"))
         return (
             self.raw("customer")
             .selectExpr("c_custkey as entity", "cast(15 + (c_custkey * 7) % 80 as int) as age", "if(c_custkey % 2 = 0, 'M', 'F') as gender")
@@ -116,7 +116,7 @@ class Tables:
     @cached_property
     def people(self) -> DataFrame:
         """Encounters with the attributes of their adult entity."""
-        return self.encounters.join(self.entities, "entity")
+        return self.dealt(self.encounters, "entity").join(self.entities, "entity")
 
     @cached_property
     def stay_people(self) -> DataFrame:

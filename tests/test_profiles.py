@@ -52,3 +52,17 @@ def test_scaled_groups_are_made_once(spark, tmp_path):
     found = profiles.minmax(spark.read.parquet(path), ["x", "y"])
     assert not any(path in f for f in found.inputFiles())
     assert {tuple(r) for r in found.collect()} == {("a", 0.0, None), ("b", 1.0, None), ("c", 0.5, None)}
+
+
+def test_trajectories_are_dealt_by_entity_and_read_lines_once(spark, sf_dir, monkeypatch):
+    """Joins and aggregates by entity run in as many tasks as the lines need, not the session's; first dates are made once."""
+    from strandline.plans import queries_cohorts
+    from strandline.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", 500)
+    t = fixtures.Tables(spark, sf_dir)
+    assert t.parts > 4
+    rows = queries_cohorts.trajectories(t)
+    assert rows.rdd.getNumPartitions() == t.parts
+    assert not any("lineitem" in f for f in rows.inputFiles())
+    assert queries_cohorts.group_dates(t).rdd.getNumPartitions() == t.parts
