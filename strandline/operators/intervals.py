@@ -7,6 +7,8 @@ rows and not with their product.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +74,18 @@ def followups(encounters: DataFrame, days: float, flags: list[str]) -> DataFrame
     return kept.drop("entity", "disch")
 
 
-def first_event_after(events: DataFrame, encounters: DataFrame, days: float, test: Column) -> DataFrame:
-    """(encounter, first_at): first fitting event of the entity in [end, end + days]; null where there is none."""
+def first_event_after(events: DataFrame, encounters: DataFrame, days: float, test: Column, deal: Callable[..., DataFrame] = lambda rows, *keys: rows) -> DataFrame:
+    """(encounter, first_at): first fitting event of the entity in [end, end + days]; null where there is none.
+
+    deal: deals rows by keys over as many tasks as a large input needs.
+    """
     width = max(float(days), 1.0)
     windows = encounters.select("entity", "encounter", "disch", plus_days(F.col("disch"), days).alias("__until"))
     near = windows.withColumn("__piece", F.explode(F.sequence(piece("disch", width), piece("__until", width))))
     own = events.filter(test).select("entity", "ts", piece("ts", width).alias("__piece"))
-    found = near.hint("merge").join(own, ["entity", "__piece"]).filter("ts >= disch and ts <= __until").groupBy("encounter").agg(F.min("ts").alias("first_at"))
-    return encounters.select("encounter").distinct().join(found, "encounter", "left")
+    found = deal(near, "entity", "__piece").hint("merge").join(deal(own, "entity", "__piece"), ["entity", "__piece"]).filter("ts >= disch and ts <= __until")
+    found = deal(found.select("encounter", "ts"), "encounter").groupBy("encounter").agg(F.min("ts").alias("first_at"))
+    return deal(encounters.select("encounter"), "encounter").distinct().join(found, "encounter", "left")
 
 
 def largest_rise(events: DataFrame, key: str = "stay", within: str = "INTERVAL 48 HOURS", rise: float = 0.3) -> DataFrame:

@@ -6,7 +6,7 @@ result has a row for each member with ``label``; unknown flags count as false, a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -264,13 +264,14 @@ def neutropenic_fever(
     return fever_labels(rows.withColumn("nf", F.col("fever") & F.col("neutropenia")), days_after, readmitted_only)
 
 
-def fever_labels(rows: DataFrame, days_after: int = 30, readmitted_only: bool = False) -> DataFrame:
+def fever_labels(rows: DataFrame, days_after: int = 30, readmitted_only: bool = False, deal: Callable[..., DataFrame] = lambda rows, *keys: rows) -> DataFrame:
     """For encounters with flags ``chemo`` and ``nf``: those with chemotherapy and without fever, with their label.
 
     Of the readmissions in the days after, only those before the first with chemotherapy decide. If none of these has
     fever, fever at or after that chemotherapy leaves the encounter out. Death without readmission leaves it out too.
+    deal: deals rows by keys over as many tasks as a large input needs.
     """
-    later = intervals.followups(rows, days_after, ["chemo", "nf"])
+    later = deal(intervals.followups(deal(rows, "entity"), days_after, ["chemo", "nf"]), "encounter")
     place = F.struct("next_admit", "next_encounter")
     per = later.groupBy("encounter").agg(
         F.count("*").alias("n"),
@@ -278,7 +279,7 @@ def fever_labels(rows: DataFrame, days_after: int = 30, readmitted_only: bool =
         F.min(F.when(F.col("next_nf"), place)).alias("nf_first"),
         F.max(F.when(F.col("next_nf"), place)).alias("nf_last"),
     )
-    own = rows.filter("chemo and not nf and died = 0").join(per, "encounter", "left")
+    own = deal(rows.filter("chemo and not nf and died = 0"), "encounter").join(per, "encounter", "left")
     none, split, any_nf = F.col("n").isNull(), F.col("chemo_at").isNotNull(), F.col("nf_first").isNotNull()
     before = F.coalesce(F.col("nf_first") < F.col("chemo_at"), F.lit(False))
     gone = none & F.coalesce(F.col("dod") <= plus_days(F.col("disch"), days_after), F.lit(False))
@@ -301,16 +302,21 @@ def aplasia(encounters: DataFrame, codes: DataFrame, procedures: DataFrame, even
     return aplasia_labels(rows, events, low, days_after)
 
 
-def aplasia_labels(rows: DataFrame, events: DataFrame, low: Column, days_after: int = 45) -> DataFrame:
-    """For encounters with flags ``chemo`` and ``transfusion``: those with chemotherapy and without aplasia, with their label."""
+def aplasia_labels(rows: DataFrame, events: DataFrame, low: Column, days_after: int = 45, deal: Callable[..., DataFrame] = lambda rows, *keys: rows) -> DataFrame:
+    """For encounters with flags ``chemo`` and ``transfusion``: those with chemotherapy and without aplasia, with their label.
+
+    deal: deals rows by keys over as many tasks as a large input needs.
+    """
     counts = events.filter(low).select("entity", "ts")
-    now = rows.select("encounter", "entity", "admit", "disch").join(counts, "entity").filter("ts between admit and disch").select("encounter").distinct().withColumn("low_now", F.lit(True))
-    later_low = intervals.first_event_after(events, rows, days_after, low)
-    other = rows.select("entity", F.col("encounter").alias("e2"), F.col("admit").alias("a2"), F.col("chemo").alias("c2"), F.col("transfusion").alias("t2"))
-    near = rows.select("entity", "encounter", "disch").join(other, "entity").filter((F.col("a2") >= F.col("disch")) & (F.col("a2") <= plus_days(F.col("disch"), days_after)))
+    of_entity = deal(rows, "entity")
+    now = of_entity.select("encounter", "entity", "admit", "disch").join(deal(counts, "entity"), "entity").filter("ts between admit and disch").select("encounter")
+    now = deal(now, "encounter").distinct().withColumn("low_now", F.lit(True))
+    later_low = intervals.first_event_after(events, rows, days_after, low, deal)
+    other = of_entity.select("entity", F.col("encounter").alias("e2"), F.col("admit").alias("a2"), F.col("chemo").alias("c2"), F.col("transfusion").alias("t2"))
+    near = of_entity.select("entity", "encounter", "disch").join(other, "entity").filter((F.col("a2") >= F.col("disch")) & (F.col("a2") <= plus_days(F.col("disch"), days_after)))
     strange = F.col("e2") != F.col("encounter")
-    per = near.groupBy("encounter").agg(F.count_if(strange).alias("n"), F.min(F.when(strange & F.col("c2"), F.col("a2"))).alias("chemo_at"), F.min(F.when(F.col("t2"), F.col("a2"))).alias("transfused_at"))
-    own = rows.join(now, "encounter", "left").join(later_low, "encounter", "left").join(per, "encounter", "left")
+    per = deal(near, "encounter").groupBy("encounter").agg(F.count_if(strange).alias("n"), F.min(F.when(strange & F.col("c2"), F.col("a2"))).alias("chemo_at"), F.min(F.when(F.col("t2"), F.col("a2"))).alias("transfused_at"))
+    own = deal(rows, "encounter").join(now, "encounter", "left").join(later_low, "encounter", "left").join(per, "encounter", "left")
     own = own.filter("chemo and died = 0 and not transfusion").filter(F.col("low_now").isNull())
     next_at = F.least("first_at", "transfused_at")
     empty = F.coalesce(F.col("n"), F.lit(0)) == 0

@@ -226,17 +226,17 @@ _WITH_CHEMOTHERAPY = "has_cancer and (ever_px or ever_dx)"
 def neutropenic_fever(p: K.Chemotherapy = K.Chemotherapy(), fever: tuple[str, ...] = ("R50",), neutropenia: tuple[str, ...] = ("D70",), days_after: int = 30, readmitted_only: bool = False) -> CohortSpec:
     flags = _chemotherapy(p) | {"fever": CodeFlag(C.matches(fever)), "neutropenia": CodeFlag(C.matches(neutropenia))}
 
-    def derive(rows, events, stays):
+    def derive(rows, events, stays, deal):
         rows = rows.filter(_WITH_CHEMOTHERAPY).selectExpr("entity", "encounter", "admit", "disch", "died", "dod", "chemo_px or chemo_dx as chemo", "fever and neutropenia as nf")
-        return K.fever_labels(rows, days_after, readmitted_only)
+        return K.fever_labels(rows, days_after, readmitted_only, deal)
 
     return CohortSpec("neutropenic_fever", "encounter", flags=flags, derive=derive)
 
 
 def aplasia(low: Column, transfused: Column, p: K.Chemotherapy = K.Chemotherapy(), days_after: int = 45) -> CohortSpec:
-    def derive(rows, events, stays):
+    def derive(rows, events, stays, deal):
         rows = rows.filter(_WITH_CHEMOTHERAPY).selectExpr("entity", "encounter", "admit", "disch", "died", "dod", "chemo_px or chemo_dx as chemo", "transfusion")
-        return K.aplasia_labels(rows, events, low, days_after)
+        return K.aplasia_labels(rows, events, low, days_after, deal)
 
     return CohortSpec("aplasia", "encounter", flags=_chemotherapy(p) | {"transfusion": CodeFlag(transfused, "procedures")}, events=low, derive=derive)
 
@@ -244,7 +244,7 @@ def aplasia(low: Column, transfused: Column, p: K.Chemotherapy = K.Chemotherapy(
 def everyone_else() -> CohortSpec:
     """All encounters of entities without a stay and without a procedure; no label."""
 
-    def derive(rows, events, stays):
+    def derive(rows, events, stays, deal):
         return C.without_entities(rows.filter("not any_procedure"), stays).withColumn("label", F.lit(0))
 
     return CohortSpec("everyone_else", "encounter", flags={"any_procedure": CodeFlag(F.lit(True), "procedures", "entity")}, derive=derive, known=False)

@@ -737,7 +737,7 @@ def extraction(t: Tables, specs: list[CohortSpec]) -> Extraction:
     text = F.when(F.col("item") == 50803, "Afib (Atrial Fibrillation)").when(F.col("item") == 50806, "a-flutter").otherwise("Sinus rhythm")
     blood = readers.items_by_label(t.items, "PRBC", "PACKED RBC").select("item", F.lit(True).alias("is_blood"))
     events = t.events.withColumn("text", text).join(blood, "item", "left")
-    return Extraction(specs, t.encounters, t.entities, t.codes, t.procedures, t.stays, events)
+    return Extraction(specs, t.encounters, t.entities, t.codes, t.procedures, t.stays, events, t.dealt)
 
 
 
@@ -757,5 +757,5 @@ def registry_sql() -> str:
 
 @query("cohort_registry", registry_sql())
 def _(t: Tables) -> DataFrame:
-    rows = extraction(t, chosen(["all"], registered())).members().groupBy("cohort")
+    rows = t.dealt(extraction(t, chosen(["all"], registered())).members(), "encounter").groupBy("cohort")
     return rows.agg(F.count("*").alias("n"), F.countDistinct("encounter").alias("encounters"), F.coalesce(F.sum("label"), F.lit(0)).alias("positives"))

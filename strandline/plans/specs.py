@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from strandline.functions.scalar import hours
 from strandline.sources.scratch import written
 
+#: Flags that a packed column holds: the bits of a long but its sign.
+WORD = 63
+
 #: A spec's own column by its name.
 Own = Callable[[str], Column]
 
@@ -56,8 +59,8 @@ class CohortSpec:
     """One cohort of stays or of encounters.
 
     over: names and (key, aggregate) of what is compared among rows with one entity or encounter. derive: instead of keep
-    and label, a function of (encounters with their flags under the spec's names, events, stays) for cohorts that need
-    joins of encounters. known: only entities with attributes (adults) are members.
+    and label, a function of (encounters with their flags under the spec's names, events, stays, deal) for cohorts that
+    need joins of encounters; deal deals rows by keys, as ``Extraction``'s. known: only entities with attributes (adults) are members.
     """
 
     name: str
@@ -68,7 +71,7 @@ class CohortSpec:
     keep: Callable[[Own], Column] = lambda own: F.lit(True)
     label: Callable[[Own], Column] = lambda own: F.lit(None)
     events: Column | None = None
-    derive: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None
+    derive: Callable[[DataFrame, DataFrame, DataFrame, Callable[..., DataFrame]], DataFrame] | None = None
     known: bool = True
 
     def own(self, name: str) -> Column:
@@ -86,46 +89,77 @@ class Extraction:
     """All members of some specs.
 
     encounters: entity, encounter, admit, ...; entities: entity with attributes; codes and procedures: encounter, code, ...;
-    stays: encounter, stay, intime, outtime, ...; events: entity, encounter, item, ts, value, ...
+    stays: encounter, stay, intime, outtime, ...; events: entity, encounter, item, ts, value, ...; deal: deals rows by keys
+    over as many tasks as a large input needs.
     """
 
-    def __init__(self, specs: Iterable[CohortSpec], encounters: DataFrame, entities: DataFrame, codes: DataFrame, procedures: DataFrame, stays: DataFrame, events: DataFrame):
+    def __init__(
+        self, specs: Iterable[CohortSpec], encounters: DataFrame, entities: DataFrame, codes: DataFrame, procedures: DataFrame, stays: DataFrame, events: DataFrame, deal: Callable[..., DataFrame] = lambda rows, *keys: rows
+    ):
         self.specs = list(specs)
         self.tables = {"codes": codes, "procedures": procedures}
-        self.encounters, self.entities, self.stays, self.events = encounters, entities, stays, events
+        self.encounters, self.entities, self.stays, self.events, self.deal = encounters, entities, stays, events, deal
+        self.places = {s.column(n): divmod(i, WORD) for i, (s, n) in enumerate((s, n) for s in self.specs for n in s.flags)}
+        self.words = [f"__flags{i}" for i in range(-(-len(self.places) // WORD))]
+
+    def words_of(self, rules: Mapping[str, Column]) -> list[Column]:
+        """For each packed column the bits of the rules that hold; null is false."""
+        bits: dict[int, list[Column]] = {}
+        for name, rule in rules.items():
+            word, bit = self.places[name]
+            bits.setdefault(word, []).append(F.when(rule, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
+        return [reduce(Column.bitwiseOR, bits.get(i, [F.lit(0).cast("long")])).alias(word) for i, word in enumerate(self.words)]
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """Packed rows with a column for each flag, under the specs' names."""
+        own = {n: F.getbit(self.words[word], F.lit(bit)) == 1 for n, (word, bit) in self.places.items() if n not in rows.columns}
+        return rows.select("*", *[test.alias(n) for n, test in own.items()]).drop(*self.words)
 
     def flags(self, table: str) -> DataFrame | None:
-        """(encounter, flag...) of all specs: one aggregate of a table of codes."""
+        """(encounter, packed flags) of all specs: one aggregate of a table of codes."""
         rules = {s.column(n): f.rule for s in self.specs for n, f in s.flags.items() if f.table == table}
         if not rules:
             return None
-        rows = self.tables[table].filter(F.col("encounter").isNotNull()).groupBy("encounter")
-        return rows.agg(*[F.bool_or(F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
+        rows = self.tables[table].filter(F.col("encounter").isNotNull()).select("encounter", *self.words_of(rules))
+        return rows.groupBy("encounter").agg(*[F.bit_or(w).alias(w) for w in self.words])
 
     def flagged(self) -> DataFrame:
-        """Encounters with their entity's attributes (``known`` if there are any) and the flags of their own codes."""
-        rows = self.encounters.join(self.entities.withColumn("known", F.lit(True)), "entity", "left")
-        for table in self.tables:
-            if (found := self.flags(table)) is not None:
-                rows = rows.join(found, "encounter", "left")
-        names = [s.column(n) for s in self.specs for n in s.flags]
-        return rows.withColumns({n: F.coalesce(n, F.lit(False)) for n in ["known", *names]})
+        """Encounters with the packed flags of their own codes."""
+        rows = self.deal(self.encounters, "encounter")
+        found = {table: own for table in self.tables if (own := self.flags(table)) is not None}
+        for table, own in found.items():
+            rows = rows.join(own.select("encounter", *[F.col(w).alias(f"{w}_{table}") for w in self.words]), "encounter", "left")
+        held = {w: reduce(Column.bitwiseOR, [F.coalesce(f"{w}_{table}", F.lit(0).cast("long")) for table in found], F.lit(0).cast("long")) for w in self.words}
+        return rows.select(*self.encounters.columns, *[bits.alias(w) for w, bits in held.items()])
 
     @cached_property
-    def wide_encounters(self) -> DataFrame:
-        """Encounters with the flags of all specs, written."""
-        rows = written(self.flagged(), "flagged")
-        of_entity = {"__first": F.min(F.struct("admit", "encounter"))}
+    def packed_encounters(self) -> DataFrame:
+        """Encounters with their entity's attributes (``known`` if there are any) and the packed flags of all specs, written.
+
+        Flags are packed, as a written table and a join cost by their columns. What is aggregated by entity is dealt by it.
+        """
+        rows = self.deal(written(self.flagged(), "flagged"), "entity")
+        of_entity, dated = [0] * len(self.words), {}
         for s in self.specs:
             for n, f in s.flags.items():
+                word, bit = self.places[s.column(n)]
                 if f.dated:
-                    of_entity[s.column(n)] = F.min(F.when(s.own(n), F.col("admit")))
+                    dated[s.column(n)] = F.min(F.when(F.getbit(self.words[word], F.lit(bit)) == 1, F.col("admit")))
                 elif f.level == "entity":
-                    of_entity[s.column(n)] = F.bool_or(s.own(n))
-        found = rows.groupBy("entity").agg(*[a.alias(n) for n, a in of_entity.items()])
-        wide = rows.drop(*of_entity).join(found, "entity")
+                    of_entity[word] |= 1 << bit
+        every = [F.bit_or(w).alias(f"{w}_entity") for w, mask in zip(self.words, of_entity) if mask]
+        found = rows.groupBy("entity").agg(F.min(F.struct("admit", "encounter")).alias("__first"), *every, *[a.alias(n) for n, a in dated.items()])
+        wide = rows.join(self.entities.withColumn("known", F.lit(True)), "entity", "left").join(found, "entity")
+        words = [(F.col(w).bitwiseOR(F.col(f"{w}_entity").bitwiseAND(F.lit(mask))) if mask else F.col(w)).alias(w) for w, mask in zip(self.words, of_entity)]
         first = F.struct("admit", "encounter") == F.col("__first")
-        return written(_compared(wide.withColumn("is_first_encounter", first).drop("__first"), [s for s in self.specs if s.level == "encounter"]), "encounters")
+        kept = [c for c in wide.columns if c not in ("known", *self.words) and not c.startswith("__")]
+        wide = wide.select(*kept, F.coalesce("known", F.lit(False)).alias("known"), first.alias("is_first_encounter"), *words)
+        return written(self.compared(wide, [s for s in self.specs if s.level == "encounter"]), "encounters")
+
+    @cached_property
+    def wide_encounters(self) -> DataFrame:
+        """Encounters with the flags of all specs."""
+        return self.named(self.packed_encounters)
 
     @cached_property
     def used_events(self) -> DataFrame:
@@ -135,24 +169,38 @@ class Extraction:
 
     @cached_property
     def wide_stays(self) -> DataFrame:
-        """Stays with their encounter's columns, the measures of all specs, and what these compare, written."""
-        own = [c for c in self.wide_encounters.columns if c == "encounter" or c not in self.stays.columns]
-        rows = written(self.stays.join(self.wide_encounters.select(own), "encounter"), "stays")
-        rows = rows.join(rows.groupBy("encounter").agg(F.max("intime").alias("last_intime")), "encounter")
+        """Stays with their encounter's columns, the measures of all specs, and what these compare."""
+        own = [c for c in self.packed_encounters.columns if c == "encounter" or c not in self.stays.columns]
+        rows = written(self.deal(self.stays, "encounter").join(self.packed_encounters.select(own), "encounter"), "stays")
+        rows = self.deal(rows, "encounter")
+        wide = rows.join(rows.groupBy("encounter").agg(F.max("intime").alias("last_intime")), "encounter")
         if any(s.measures for s in self.specs):
-            rows = rows.join(self.measured(rows.select("encounter", "stay", "intime", "outtime")), "stay", "left")
-        return written(_compared(rows, [s for s in self.specs if s.level == "stay"]), "stays")
+            wide = wide.join(self.measured(rows.select("encounter", "stay", "intime", "outtime")), ["encounter", "stay"], "left")
+        return self.named(written(self.compared(wide, [s for s in self.specs if s.level == "stay"]), "stays"))
 
     def measured(self, stays: DataFrame) -> DataFrame:
-        """(stay, measure...) of all specs: one aggregate of events."""
-        rows = self.used_events.drop("entity").join(stays, "encounter")
+        """(encounter, stay, measure...) of all specs: one aggregate of events, by encounter and stay as they are dealt by encounter."""
+        rows = self.deal(self.used_events.drop("entity"), "encounter").join(stays, "encounter")
         rows = rows.withColumns({"hours": hours(F.col("intime"), F.col("ts")), "inside": (F.col("ts") >= F.col("intime")) & (F.col("ts") <= F.col("outtime"))})
         lagged = {s.column(n): m for s in self.specs for n, m in s.measures.items() if m.within}
         for name, m in lagged.items():
             rows = rows.withColumn(f"__part_{name}", F.when(m.part, F.col("value")))
-            rows = rows.withColumn(f"__least_{name}", F.expr(f"min(`__part_{name}`) over (partition by stay order by ts range between {m.within} preceding and current row)"))
+            rows = rows.withColumn(f"__least_{name}", F.expr(f"min(`__part_{name}`) over (partition by encounter, stay order by ts range between {m.within} preceding and current row)"))
         every = {s.column(n): m for s in self.specs for n, m in s.measures.items()}
-        return rows.groupBy("stay").agg(*[m.value(F.col(f"__least_{n}") if m.within else F.lit(None)).alias(n) for n, m in every.items()])
+        return rows.groupBy("encounter", "stay").agg(*[m.value(F.col(f"__least_{n}") if m.within else F.lit(None)).alias(n) for n, m in every.items()])
+
+    def compared(self, rows: DataFrame, specs: list[CohortSpec]) -> DataFrame:
+        """Packed rows with the aggregates that the specs compare: one aggregate for each key."""
+        wanted: dict[str, list[Column]] = {}
+        for s in specs:
+            for name, (key, value) in s.over(s.own).items():
+                wanted.setdefault(key, []).append(value.alias(s.column(name)))
+        if not wanted:
+            return rows
+        plain = rows = written(rows, "compared")
+        for key, values in wanted.items():
+            rows = self.deal(rows, key).join(self.named(self.deal(plain, key)).groupBy(key).agg(*values), key, "left")
+        return rows
 
     def members(self) -> DataFrame:
         """(cohort, entity, encounter, stay, label) of all specs."""
@@ -165,25 +213,11 @@ class Extraction:
             if s.derive is not None:
                 renamed = {s.column(n): n for n in s.flags}
                 rows = self.wide_encounters.filter("known") if s.known else self.wide_encounters
-                found = s.derive(rows.withColumnsRenamed(renamed), self.used_events, self.wide_stays)
+                found = s.derive(rows.withColumnsRenamed(renamed), self.used_events, self.wide_stays, self.deal)
                 parts.append(found.select(F.lit(s.name).alias("cohort"), "entity", "encounter", F.lit(None).cast(self.stays.schema["stay"].dataType).alias("stay"), F.col("label").cast("int").alias("label")))
         return reduce(DataFrame.unionByName, parts)
 
 
-def _compared(rows: DataFrame, specs: list[CohortSpec]) -> DataFrame:
-    """rows with the aggregates that the specs compare: one aggregate for each key."""
-    wanted: dict[str, list[Column]] = {}
-    for s in specs:
-        for name, (key, value) in s.over(s.own).items():
-            wanted.setdefault(key, []).append(value.alias(s.column(name)))
-    if not wanted:
-        return rows
-    plain = rows = written(rows, "compared")
-    for key, values in wanted.items():
-        rows = rows.join(plain.groupBy(key).agg(*values), key, "left")
-    return rows
-
-
 def _kept(rows: DataFrame, specs: list[CohortSpec], stay: Column) -> DataFrame:
     """Members of all specs from one pass: each row once for each cohort that keeps it."""
     found = []

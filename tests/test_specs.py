@@ -84,3 +84,38 @@ def test_own_cohort_beside_registered_ones(spark, sf_dir):
     nothing = specs.Extraction([own, *registered.values()], *[(t.events if n == "events" else getattr(t, n)).limit(0) for n in TABLES])
     nothing.events = nothing.events.withColumn("text", F.lit("")).withColumn("is_blood", F.lit(False))
     assert members(nothing).collect() == []
+
+
+def test_flags_are_packed_and_steps_dealt(spark, sf_dir, monkeypatch):
+    """130 flags of three kinds: written tables hold no column for each, words meet the rows right, and steps run in as many tasks as the lines need."""
+    from strandline.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", 500)
+    groups = [f"{c}0{k}{d}" for c in "ABCDEFGH" for k in range(5) for d in (0, 5)][:65]
+    rules = {f"own{g}": specs.CodeFlag(C.matches((g,))) for g in groups} | {f"ever{g}": specs.CodeFlag(C.matches((g,)), level="entity") for g in groups[:-1]} | {"since": specs.CodeFlag(C.matches(("H",)), dated=True)}
+    spec = specs.CohortSpec("many", "encounter", flags=rules, over=lambda own: {"first": ("entity", F.min(F.when(own("everA000"), F.col("admit"))))})
+    names, before = {}, specs.written
+
+    def recorded(df, name):
+        names[name] = df.columns
+        return before(df, name)
+
+    monkeypatch.setattr(specs, "written", recorded)
+    t = fixtures.Tables(spark, sf_dir)
+    found = queries_cohorts.extraction(t, [spec])
+    rows = {r.encounter: r.asDict() for r in found.wide_encounters.collect()}
+    assert names["flagged"][-3:] == ["__flags0", "__flags1", "__flags2"] and not any("__own" in c or "__ever" in c for columns in names.values() for c in columns)
+    assert found.flagged().rdd.getNumPartitions() == t.parts > 4
+    held = {}
+    for r in t.codes.collect():
+        held.setdefault(r.encounter, set()).add(r.code)
+    of_entity = {}
+    for r in rows.values():
+        of_entity.setdefault(r["entity"], []).append(r)
+    for r in rows.values():
+        codes, every = held.get(r["encounter"], set()), set().union(*[held.get(x["encounter"], set()) for x in of_entity[r["entity"]]])
+        assert {g for g in groups if r[f"many__own{g}"]} == codes & set(groups)
+        assert {g for g in groups[:-1] if r[f"many__ever{g}"]} == every & set(groups[:-1])
+        assert r["many__since"] == min((x["admit"] for x in of_entity[r["entity"]] if any(c.startswith("H") for c in held.get(x["encounter"], set()))), default=None)
+        assert r["many__first"] == (min(x["admit"] for x in of_entity[r["entity"]]) if "A000" in every else None)
+    assert any(r[f"many__own{groups[-1]}"] for r in rows.values())
